@@ -20,8 +20,8 @@ from .common import map_arrow, materialize
 
 #: Labelled documents that training reads, about: a bounded sample, taken by the hash of doc_id.
 SAMPLE = 8000
-#: Quantile bins of a statistic, ridge penalty, and the part of the path's shift that counts.
-BINS, RIDGE, SITE_WEIGHT = 12, 2.0, 1.0
+#: Edges of a statistic's bins at quantiles of rows, and of distinct values; ridge penalty, and the part of the path's shift that counts.
+BINS, RIDGE, SITE_WEIGHT = 10, 2.0, 1.0
 #: Documents with a lower probability are rejected.
 THRESHOLD = 0.35
 STATISTICS = ("words", "word_length", "distinct", "neighbours", "upper", "symbols", "digits", "capital_words", "compressed", "line_repeats", "odd_words", "long_words", "lone_symbols")
@@ -74,7 +74,10 @@ def _binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Classifier:
     """Ridge logistic regression by Newton's method. With one class only, or no rows, the prior alone."""
-    edges = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(x) else np.zeros((len(STATISTICS), BINS - 1))
+    edges = np.zeros((len(STATISTICS), 2 * BINS))
+    for k in range(len(STATISTICS) if len(x) else 0):  # of all values, and of distinct ones: most rows may share one value
+        levels = np.linspace(0, 1, BINS + 2)[1:-1]
+        edges[k] = np.sort(np.concatenate([np.quantile(x[:, k], levels), np.quantile(np.unique(x[:, k].round(4)), levels)]))
     d = _binned(x, edges)
     w = np.zeros(d.shape[1])
     w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
@@ -145,7 +148,7 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "p", "v")])
     k = strength(hosts, ["host"], F.lit(corpus))
     hosts = hosts.select("host", ((F.col("p") + k * corpus) / (F.col("n") + k)).alias("host_mean"))
-    both = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).select(paths["host"], "path", "n", "p", "v", "host_mean")
+    both = paths.join(hosts.toDF("h", "host_mean"), F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "p", "v", "host_mean")
     k = strength(both, ["host", "path"], F.col("host_mean"))
     return both.select("host", "path", "host_mean", ((F.col("p") + k * F.col("host_mean")) / (F.col("n") + k)).alias("path_mean")), corpus
 
