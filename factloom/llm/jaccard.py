@@ -76,6 +76,20 @@ def counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
 
 
+def fine_counts(s: np.ndarray) -> bytes:
+    """Counts of about a quarter as many groups as shingles, a power of two of GROUPS at least; 255 stands for any larger number."""
+    bits = max(6, int(len(s) // 4).bit_length())
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def fine_bound(x: bytes, y: bytes) -> int:
+    """At least the overlap of two sets with these fine_counts."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    a, b = np.where(a == 255, 1 << 40, a), np.where(b == 255, 1 << 40, b)
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)).sum())
+
+
 class CountTree:
     """An R-tree over count vectors, packed bottom-up from points sorted by size and by their most varying coordinate.
 
@@ -148,14 +162,14 @@ def _frequent(docs: DataFrame, sim: Similarity) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Written: doc_id, n, c1 and c2 (128 bits of the set), counts, and prefix, the shingles whose cells the set goes into. A set that a task has met before comes without prefix."""
+    """Written: doc_id, n, c1 and c2 (128 bits of the set), counts, fine counts, and prefix, the shingles whose cells the set goes into. A set that a task has met before comes without prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, sim))
 
     def run(batches):
         known, freq = frequent.value
         seen = set()
         for b in batches:
-            n, c1, c2, point, prefix = [], [], [], [], []
+            n, c1, c2, point, fine, prefix = [], [], [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles(text, sim.words)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -172,10 +186,11 @@ def _sets(docs: DataFrame, sim: Similarity) -> DataFrame:
                 else:
                     prefix.append(None)
                 point.append(counts(s).tobytes())
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(point, pa.binary()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "c1", "c2", "counts", "prefix"])
+                fine.append(fine_counts(s))
+            columns = [b.column(0), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), *(pa.array(x, pa.binary()) for x in (point, fine, prefix))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "c1", "c2", "counts", "fine", "prefix"])
 
-    return materialize(map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c1 long, c2 long, counts binary, prefix binary"), "sets")
+    return materialize(map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c1 long, c2 long, counts binary, fine binary, prefix binary"), "sets")
 
 
 def _shared_cells(sets: DataFrame) -> DataFrame:
@@ -217,8 +232,18 @@ def _shared_cells(sets: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of pairs(a, b) whose sets link, written. The texts of the classes concerned are read and cut again."""
-    pairs = materialize(pairs.distinct(), "pairs")
+    """Those of pairs(a, b) whose sets link, written. Finer counts drop most pairs that don't link; the texts of the classes left are read and cut again."""
+    fine = classes.select("node", "n", "fine")
+    points = pairs.distinct().join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
+
+    def bounded(batches):
+        for b in batches:
+            keep = [fine_bound(x, y) * (sim.num + sim.den) >= sim.num * (m + n) for m, n, x, y in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pairs = materialize(map_arrow(points, bounded, f"a {kind}, b {kind}").distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted.join(classes.select("node", "c1"), "node").withColumnRenamed("node", "wanted"), "wanted")
     small = wanted.count() <= BROADCAST_IDS
@@ -234,7 +259,6 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Simila
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(node, b.column(0).type), pa.array(out, pa.binary())], names=["node", "set"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     sets = materialize(map_arrow(texts, cut, f"node {kind}, set binary"), "verify")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
@@ -316,7 +340,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity(4, 85, 100)) ->
     docs = docs.select("doc_id", "text")
     sets = _sets(docs, sim)
     full = sets.where("n > 0 and doc_id is not null")
-    classes = materialize(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("counts").alias("counts")), "classes")
+    classes = materialize(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")), "classes")
     members = materialize(_shared_cells(sets).join(classes, "c1").select("cell", "node", "n", "counts"), "members")
     links = _verified(_first_of_cell(members, sim), classes, docs, sim)
     linked = components(links)
