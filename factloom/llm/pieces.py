@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_rows
@@ -236,7 +237,8 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(b):
         m = model(path)
-        return {"doc_id": b.column(0), "ids": [[int(i) for u in m.encode_text(t or "") for i in u.split(",")] for t in b.column(1).to_pylist()]}
+        ids = [[int(i) for u in m.encode_text(t or "") for i in u.split(",")] for t in b.column(1).to_pylist()]
+        return {"doc_id": b.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
     return by_rows(docs.select("doc_id", "text"), rows, "doc_id long, ids array<int>")
 

@@ -8,6 +8,7 @@ Windows whose entropy reaches the class's threshold merge into spans.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from typing import NamedTuple
 
@@ -69,7 +70,7 @@ def window_entropy(s: str, width: int) -> np.ndarray:
     n = len(s) - width + 1
     if n <= 0:
         return np.zeros(0)
-    logs = np.concatenate([[0.0], np.arange(1, width + 1) * np.log2(np.arange(1, width + 1))]).tolist()
+    logs = [0.0, *(k * math.log2(k) for k in range(1, width + 2))]  # one symbol is in before the other is out
     counts: dict[str, int] = {}
     total, out = 0.0, np.empty(n)
     for i, c in enumerate(s):
@@ -81,7 +82,7 @@ def window_entropy(s: str, width: int) -> np.ndarray:
             total += logs[k - 1] - logs[k]
             counts[gone] = k - 1
         if i >= width - 1:
-            out[i - width + 1] = np.log2(width) - total / width
+            out[i - width + 1] = math.log2(width) - total / width
     return out
 
 
