@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import lineage
+
 
 def words(text: Column | str) -> Column:
     """The words between single spaces. A fact's final ` .` becomes a token of its own, which makes facts prefix-free."""
@@ -26,7 +28,7 @@ def vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """
     distinct = tokens.select(F.explode(column).alias("word")).distinct()
     ranged = distinct.repartitionByRange("word").sortWithinPartitions("word").select("word", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("mono"))
-    local = ranged.select("word", "part", (F.col("mono") - (F.col("part").cast("long") * F.lit(1 << 33))).alias("at"))
+    local = lineage.cut(ranged.select("word", "part", (F.col("mono") - (F.col("part").cast("long") * F.lit(1 << 33))).alias("at")))  # ranges hold only as long as rows don't move
     counts = local.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
     return local.join(F.broadcast(before), "part").select("word", (F.col("at") + F.col("before")).alias("id"))
