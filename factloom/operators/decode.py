@@ -95,26 +95,30 @@ def greedy_walk(edge: DataFrame, steps: int = 64) -> DataFrame:
 def constrained_decode(states: DataFrame, leaves: DataFrame, steps: int, seed: int = 0) -> DataFrame:
     """Decode facts for every state(state, n) at once: up to n facts each, without repeats, scores from a hash of state, step and token.
 
+    If states has initial, an array of tokens, each fact of the state begins with them; a token of it that isn't allowed ends the state as REFUSED.
+
     All states advance one token a step by an equi-join of their prefix with the edges, less what their own emitted facts take away;
     a fact that ends is emitted and its state starts anew. Stops after steps at most, or when no state is left.
-    Returns state, ordinal, tokens, status: COMPLETE, or EXHAUSTED for a state that has no continuation left.
+    Returns state, ordinal, tokens, status: COMPLETE, or EXHAUSTED for a state that has no continuation left, or REFUSED.
     """
     edge = lineage.cut(trie.edges(leaves, leaves=True).select("prefix", "next_token", "numleaves"))
     nothing = F.expr("slice(array(''), 1, 0)")
-    live = states.select("state", "n", nothing.alias("prefix"), F.lit(0).alias("done")).where("n > 0")
+    initial = F.coalesce("initial", nothing) if "initial" in states.columns else nothing
+    live = states.select("state", "n", initial.alias("initial"), nothing.alias("prefix"), F.lit(0).alias("done")).where("n > 0")
+    forced = F.when(F.size("prefix") < F.size("initial"), F.get("initial", F.size("prefix")))
     out = live.limit(0).select("state", F.col("done").alias("ordinal"), F.col("prefix").alias("tokens"), F.lit("COMPLETE").alias("status"))
     for step in range(steps):
         taken = out.where("status = 'COMPLETE'").select("state", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("k"))
         taken = taken.groupBy("state", F.slice("tokens", F.lit(1), F.col("k")).alias("prefix"), F.element_at("tokens", F.col("k") + 1).alias("next_token")).agg(F.count("*").alias("gone"))
-        options = live.join(edge, "prefix").join(taken, ["state", "prefix", "next_token"], "left").where("numleaves > coalesce(gone, 0)")
+        options = live.join(edge, "prefix").join(taken, ["state", "prefix", "next_token"], "left").where("numleaves > coalesce(gone, 0)").where(forced.isNull() | (forced == F.col("next_token")))
         score = F.xxhash64(F.lit(seed), "state", F.lit(step), "next_token")
         chosen = options.groupBy("state").agg(F.min_by("next_token", F.struct(score.alias("s"), F.col("next_token").alias("t"))).alias("token"))
         moved = live.join(chosen, "state", "left").withColumn("grown", F.when(F.col("token").isNotNull(), F.concat("prefix", F.array("token"))).otherwise(F.col("prefix")))
         whole = leaves.select(F.col("tokens").alias("grown"), F.lit(True).alias("whole"))
         moved = lineage.cut(moved.join(whole, "grown", "left").withColumn("ends", F.coalesce(F.col("whole") & F.col("token").isNotNull(), F.lit(False))))
-        status = F.when(F.col("token").isNull(), "EXHAUSTED").otherwise("COMPLETE")
+        status = F.when(F.col("token").isNotNull(), "COMPLETE").when(forced.isNotNull(), "REFUSED").otherwise("EXHAUSTED")
         out = lineage.cut(out.unionByName(moved.where("ends or token is null").select("state", F.col("done").alias("ordinal"), F.col("grown").alias("tokens"), status.alias("status"))))
-        live = moved.where("token is not null").select("state", "n", F.when(F.col("ends"), nothing).otherwise(F.col("grown")).alias("prefix"), (F.col("done") + F.col("ends").cast("int")).alias("done")).where("done < n")
+        live = moved.where("token is not null").select("state", "n", "initial", F.when(F.col("ends"), nothing).otherwise(F.col("grown")).alias("prefix"), (F.col("done") + F.col("ends").cast("int")).alias("done")).where("done < n")
         if live.isEmpty():
             break
     return out

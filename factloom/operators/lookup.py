@@ -38,7 +38,14 @@ def next_tokens(probes: DataFrame, leaves: DataFrame, edge: DataFrame | None = N
 def subtract(a: Column | str, b: Column | str) -> Column:
     """Map a less map b, token by token; tokens with nothing left are gone. A null b takes nothing away."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.map_filter(F.map_zip_with(a, F.coalesce(b, F.map_from_arrays(F.array_except(F.map_keys(a), F.map_keys(a)), F.array().cast("array<bigint>"))), lambda k, x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))), lambda k, v: v > 0)
+    left = F.map_zip_with(a, F.coalesce(b, F.map_filter(a, lambda k, v: F.lit(False))), lambda k, x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))
+    return F.map_filter(left, lambda k, v: v > 0)
+
+
+def merge_maps(a: Column | str, b: Column | str) -> Column:
+    """Maps of next tokens added up."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
 
 
 def subtract_used(possible: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:

@@ -27,6 +27,30 @@ def where_avg(value: Column, flag: Column) -> Column:
     return F.avg(F.when(flag, value.cast("double")))
 
 
+def answer_frame(rows: DataFrame, judge: bool = False, groups: tuple[str, ...] = ()) -> DataFrame:
+    """One line for each answer, as a report's first table: rows of question, answer, prediction, flags and scores, under the report's headings.
+
+    rows has idx, question, answer, prediction, full_prediction, final, dontknow, em, im, bleu1, bleu4, meteor, rouge_f, new_tokens, triples; judge and the groups where they are asked for.
+    """
+    names = {
+        "idx": "Idx", "question": "Question", "answer": "Answer", "prediction": "Prediction", "em": "EM", "im": "IM", "bleu1": "BLEU-1", "bleu4": "BLEU-4", "meteor": "METEOR", "rouge_f": "ROUGE-L",
+        "final": "Final", "dontknow": "DontKnow", "new_tokens": "Tokens", "triples": "Triples", "full_prediction": "FullPrediction",
+    }
+    order = list(names.items())
+    if judge:
+        order.insert(6, ("judge", "Judge"))
+    order += list(zip(groups, ("Type", "AnsType"), strict=False))
+    return rows.select(*[F.col(k).alias(v) for k, v in order])
+
+
+def concatenated(frames: list[DataFrame]) -> DataFrame:
+    """All frames' rows; columns that a frame lacks are null."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
 def report_columns(tokens: str = "new_tokens", triples: str = "n_triples", scores: tuple[str, ...] = ()) -> list[Column]:
     """The aggregates of a report: counts, ratios, token statistics and score means, of all rows and of final answers (`_final`)."""
     n, final, answered = F.count("*"), F.col("final"), F.col("answered")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions import scores, tokens
+from factloom.functions import scores, tokens, udtf
 from factloom.functions import text as T
 from factloom.operators import decode, facts, lineage, lookup, qa, report, series, trie
 
@@ -637,3 +637,34 @@ def utc_stamps(spark, sf):
 def prompts(spark, sf):
     p = qa.prompt(F.col("c_name"), "Quote facts.", [("Who?", "Me.")], template="{answer_type}", answer_type="Answer briefly.")
     return table(spark, sf, "customer").select("c_custkey", F.array_join(F.transform(p, lambda m: F.concat_ws("|", m["role"], m["content"])), ";").alias("prompt"))
+
+
+@query(f"""WITH {_PAIRS} SELECT doc_id AS "Idx", b AS "Question", length(a) AS "Tokens", (lower(a) = lower(b))::INT AS "EM", source_type AS "Type" FROM p JOIN (SELECT doc_id, lang AS source_type FROM documents) USING (doc_id)""")
+def answer_frame(spark, sf):
+    """A report's first table over documents as predictions."""
+    lang = table(spark, sf, "documents").select("doc_id", "lang")
+    none = F.lit(None).cast("string")
+    rows = pairs(spark, sf).join(lang, "doc_id").select(
+        F.col("doc_id").alias("idx"), F.col("b").alias("question"), F.col("b").alias("answer"), F.col("a").alias("prediction"), F.col("a").alias("full_prediction"), F.lit(True).alias("final"), F.lit(False).alias("dontknow"),
+        T.exact_match(F.col("a"), F.col("b")).alias("em"), T.inclusion_match(F.col("a"), F.col("b")).alias("im"), *[none.alias(c) for c in ("bleu1", "bleu4", "meteor", "rouge_f", "triples")], F.char_length("a").cast("long").alias("new_tokens"), "lang",
+    )
+    return report.answer_frame(rows, groups=("lang",)).select("Idx", "Question", "Tokens", "EM", "Type")
+
+
+@query(f"""WITH {STEPS}, e AS (SELECT p, t, count(*) AS n, count(*) FILTER (WHERE nation IN {_USED}) AS used FROM steps GROUP BY p, t)
+SELECT array_to_string(p, ' ') AS prefix, string_agg(t || ':' || (n + used), ',' ORDER BY t) AS next FROM e GROUP BY p HAVING sum(used) > 0""")
+def merged_maps(spark, sf):
+    """Maps of next tokens of two trees added up, where both have the node."""
+    seqs = sequences(spark, sf)
+    used = table(spark, sf, "nation").join(table(spark, sf, "region").where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("nation"))
+    two = trie.nodes(trie.edges(seqs.join(used, "nation", "left_semi"))).select("key", F.col("next").alias("more"))
+    both = trie.nodes(trie.edges(seqs)).join(two, "key")
+    return both.select(spaced("key").alias("prefix"), lookup.merge_maps("next", "more").alias("next")).select("prefix", F.expr(_NEXT).alias("next"))
+
+
+@query("""SELECT doc_id, array_to_string(string_split(text, ' ')[1:k], ' ') AS prefix, k AS depth FROM (SELECT item_id AS doc_id, text, unnest(range(0, len(string_split(text, ' ')))) AS k FROM benchmark)""")
+def prefix_function(spark, sf):
+    """Prefixes of each item by the SQL table function."""
+    udtf.register(spark)
+    table(spark, sf, "benchmark").select("item_id", F.split("text", " ", -1).alias("tokens")).createOrReplaceTempView("factloom_items")
+    return spark.sql("SELECT item_id AS doc_id, array_join(p.prefix, ' ') AS prefix, cast(p.depth AS bigint) AS depth FROM factloom_items, LATERAL token_prefixes(tokens) p")

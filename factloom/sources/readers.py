@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from urllib.parse import parse_qs, urlsplit
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import text as T
 from factloom.operators import qa
 
 PROPERTIES = "id string, label string, datatype string, types array<string>"
@@ -58,6 +60,26 @@ def questions(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return qa.ADAPTERS[kind](spark.read.schema(schemas[kind]).json(path, multiLine=True))
 
 
+def dataset_path(name: str) -> str:
+    """A dataset's file below the folder that DATA_PATH names; it must be there. For local folders."""
+    path = os.path.join(os.environ.get("DATA_PATH", "."), name)
+    if not os.path.exists(path):
+        raise FileNotFoundError(path)
+    return path
+
+
+def analyses(spark: SparkSession, path: str) -> DataFrame:
+    """model, dataset, setting, metric and value of stored analyses (JSON files): their answered, exact/inclusion and other metrics. A metric that a file lacks has no row."""
+    maps = "map<string,double>"
+    parts = {"answered_metrics": "answered", "em_im_metrics": "matches", "other_metrics_all": "all", "other_metrics_answered": "final"}
+    schema = "metadata struct<experiment_name:string,model_config_path:string,dataset_config_path:string>, " + ", ".join(f"{p} {maps}" for p in parts)
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("a"))
+    each = F.array(*[F.struct(F.lit(n).alias("setting"), F.col(f"a.{p}").alias("m")) for p, n in parts.items()])
+    rows = whole.select("path", "a.metadata", F.explode(each).alias("s")).select("path", "metadata", "s.setting", F.explode("s.m").alias("metric", "value"))
+    base = lambda c: T.model_name(F.col(f"metadata.{c}"))
+    return rows.select("path", base("model_config_path").alias("model"), base("dataset_config_path").alias("dataset"), "setting", "metric", "value")
+
+
 def zipped_csv(spark: SparkSession, path: str, columns: list[str], password: str | None = None) -> DataFrame:
     """Rows of the CSV files in ZIP archives, which a password may protect; all columns are strings."""
     import csv

@@ -122,3 +122,24 @@ def test_decode_exhausts(spark):
     out = decode.constrained_decode(states, leaves, 20).orderBy("ordinal").collect()
     assert [r["status"] for r in out] == ["COMPLETE", "COMPLETE", "EXHAUSTED"]
     assert {tuple(r["tokens"]) for r in out[:2]} == {("a", "b"), ("a", "c")}
+
+
+def test_command_lines(spark, tmp_path):
+    from factloom import build_index, walk
+
+    (tmp_path / "facts.txt").write_text("<a> <p> <b> .\n<a> <p> <c> .\n<d> <p> <e> .\n")
+    out = walk.main([str(tmp_path / "facts.txt"), "--initial", "<a> <p>", "--n", "3"])
+    assert sorted(out) == ["COMPLETE: <a> <p> <b> .", "COMPLETE: <a> <p> <c> .", out[-1]] and out[-1].startswith(("EXHAUSTED", "REFUSED"))
+    assert walk.main([str(tmp_path / "facts.txt"), "--initial", "<x>"]) == ["REFUSED: "]
+    build_index.main([str(tmp_path / "facts.txt"), str(tmp_path / "index"), "--switch", "2"])
+    assert readers.open_index(spark, str(tmp_path / "index")).where("depth = 0").first()["numleaves"] == 3
+
+
+def test_analyses_pivot(spark, tmp_path):
+    for k, v in enumerate((0.5, 0.25)):
+        meta = {"experiment_name": "e", "model_config_path": f"/m/m{k}_model.json", "dataset_config_path": "/d/qa.json"}
+        (tmp_path / f"{k}.json").write_text(json.dumps({"metadata": meta, "em_im_metrics": {"EM": v}, "answered_metrics": {"n": 3}}))
+    rows = readers.analyses(spark, str(tmp_path / "*.json"))
+    out = report.pivot_first(rows.where("metric = 'EM'").withColumn("c", F.concat_ws("|", "dataset", "metric")), "model", "c", "value", "path", scale=100.0)
+    assert {r["model"]: r["qa|EM"] for r in out.collect()} == {"m0": 50.0, "m1": 25.0}
+    assert report.concatenated([rows.select("model"), rows.select("metric")]).count() == 8
