@@ -90,8 +90,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         near = both.where("b < a") if small else both
         least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         moved = near.where("b < a" if small else "b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        out = moved.union(least.select("a", F.col("m").alias("b"))) if small else moved.union(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
+        return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     def stamp(t: DataFrame) -> tuple:
         return tuple(t.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first())

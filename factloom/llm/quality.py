@@ -126,7 +126,7 @@ def evidence(docs: DataFrame, classifier: Classifier, columns: list[str]) -> Dat
     return map_arrow(docs.select(*columns, "text"), run, schema)
 
 
-def strength(sums: DataFrame, within: list[str], mean: Column) -> float:
+def strength(sums: DataFrame, mean: Column) -> float:
     """Prior strength k, in documents, of groups with sums n, p, v (of p (1 - p)) around mean: within variance over variance between groups, 1 to 10000."""
     m = F.col("p") / F.col("n")
     got = sums.where("n >= 2").agg(
@@ -146,10 +146,10 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     total = paths.agg(F.sum("n"), F.sum("p")).first()
     corpus = (total[1] + 0.5) / (total[0] + 1) if total[0] else 0.5
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "p", "v")])
-    k = strength(hosts, ["host"], F.lit(corpus))
+    k = strength(hosts, F.lit(corpus))
     hosts = hosts.select("host", ((F.col("p") + k * corpus) / (F.col("n") + k)).alias("host_mean"))
     both = paths.join(hosts.toDF("h", "host_mean"), F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "p", "v", "host_mean")
-    k = strength(both, ["host", "path"], F.col("host_mean"))
+    k = strength(both, F.col("host_mean"))
     return both.select("host", "path", "host_mean", ((F.col("p") + k * F.col("host_mean")) / (F.col("n") + k)).alias("path_mean")), corpus
 
 
