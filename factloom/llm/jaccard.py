@@ -82,12 +82,24 @@ def fine_counts(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def fine_bound(x: bytes, y: bytes) -> int:
-    """At least the overlap of two sets with these fine_counts."""
-    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
-    a, b = np.where(a == 255, 1 << 40, a), np.where(b == 255, 1 << 40, b)
-    n = min(len(a), len(b))
-    return int(np.minimum(a.reshape(n, -1).sum(1), b.reshape(n, -1).sum(1)).sum())
+def fine_bounds(fine: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs (i, j) of sets with these fine_counts, at least their overlap. The finer counts of a pair are folded to the coarser ones."""
+    lengths = np.array([len(x) for x in fine])
+    low = np.minimum(lengths[i], lengths[j])
+    out = np.empty(len(i), np.int64)
+    for level in np.unique(low):
+        rows = np.flatnonzero(low == level)
+        own = np.unique(np.concatenate([i[rows], j[rows]]))
+        folded = np.empty((len(own), level), np.int32)
+        for n in np.unique(lengths[own]):
+            at = np.flatnonzero(lengths[own] == n)
+            x = np.frombuffer(b"".join(fine[k] for k in own[at]), np.uint8).reshape(len(at), level, -1)
+            folded[at] = np.where(x == 255, 1 << 20, x.astype(np.int32)).sum(2)
+        a, b = np.searchsorted(own, i[rows]), np.searchsorted(own, j[rows])
+        step = max(1, (1 << 22) // int(level))
+        for k in range(0, len(rows), step):
+            out[rows[k : k + step]] = np.minimum(folded[a[k : k + step]], folded[b[k : k + step]]).sum(1, dtype=np.int64)
+    return out
 
 
 class CountTree:
@@ -238,8 +250,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Simila
 
     def bounded(batches):
         for b in batches:
-            keep = [fine_bound(x, y) * (sim.num + sim.den) >= sim.num * (m + n) for m, n, x, y in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
-            mask = pa.array(keep, pa.bool_())
+            m, n = b.column(2).to_numpy(), b.column(3).to_numpy()
+            at = np.arange(b.num_rows)
+            bounds = fine_bounds([*b.column(4).to_pylist(), *b.column(5).to_pylist()], at, at + b.num_rows)
+            mask = pa.array(bounds * (sim.num + sim.den) >= sim.num * (m + n))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -286,15 +300,15 @@ def _first_of_cell(members: DataFrame, sim: Similarity) -> DataFrame:
     return near.select(F.col("first.node").alias("a"), F.col("node").alias("b"))
 
 
-def _tree_pairs(members: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs that survive in the trees of members(cell, node, n, counts, component, first): of different components, without those of the cell's first class."""
+def _tree_pairs(members: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs that survive in the trees of members(cell, node, n, counts, component), and by their finer counts: of different components, without those of the cell's first class."""
     kind = members.schema["node"].dataType.simpleString()
     sizes = members.groupBy("cell").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first"))
     open_cells = sizes.where("members >= 3 and low <> high").select("cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "first")
     dealt = members.join(open_cells, "cell").where("node <> first").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "component", "counts"
-    )
+    ).join(classes.select("node", "fine"), "node").select("cell", "x", "y", "own", "node", "n", "component", "counts", "fine")
 
     def run(batches):
         key, parts = None, []
@@ -306,10 +320,15 @@ def _tree_pairs(members: DataFrame, sim: Similarity) -> DataFrame:
             if len(node) < 2 or (component == component[0]).all():
                 return
             points = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, GROUPS)
+            fine = t["fine"].to_pylist()
             for i, j in CountTree(points, n, component).pairs(sim.num, sim.den):
                 keep = component[i] != component[j]
                 if cell_x != cell_y:
                     keep &= own[i] != own[j]
+                i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                keep = fine_bounds(fine, i, j) * (sim.num + sim.den) >= sim.num * (n[i] + n[j])
                 i, j = node[i[keep]], node[j[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
@@ -345,7 +364,7 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity(4, 85, 100)) ->
     links = _verified(_first_of_cell(members, sim), classes, docs, sim)
     linked = components(links)
     marked = members.join(linked.withColumnRenamed("component", "found"), "node", "left").select("cell", "node", "n", "counts", F.coalesce("found", "node").alias("component"))
-    more = _verified(_tree_pairs(marked, sim), classes, docs, sim)
+    more = _verified(_tree_pairs(marked, classes, sim), classes, docs, sim)
     if not more.isEmpty():
         linked = components(links.union(more))
     release(members)
