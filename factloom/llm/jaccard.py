@@ -77,26 +77,28 @@ def counts(s: np.ndarray) -> np.ndarray:
 
 
 def fine_counts(s: np.ndarray) -> bytes:
-    """Counts of about a quarter as many groups as shingles, a power of two of GROUPS at least; 255 stands for any larger number."""
-    bits = max(6, int(len(s) // 4).bit_length())
-    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    """Counts of at least as many groups as shingles, a power of two of 256 at least, two in a byte; 15 stands for any larger number."""
+    bits = max(8, int(len(s) - 1).bit_length()) if len(s) else 8
+    c = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
+    return (c[::2] | c[1::2] << 4).tobytes()
 
 
 def fine_bounds(fine: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For pairs (i, j) of sets with these fine_counts, at least their overlap. The finer counts of a pair are folded to the coarser ones."""
-    lengths = np.array([len(x) for x in fine])
+    lengths = np.array([2 * len(x) for x in fine])
     low = np.minimum(lengths[i], lengths[j])
     out = np.empty(len(i), np.int64)
     for level in np.unique(low):
         rows = np.flatnonzero(low == level)
         own = np.unique(np.concatenate([i[rows], j[rows]]))
-        folded = np.empty((len(own), level), np.int32)
+        folded = np.empty((len(own), level), np.int16)
         for n in np.unique(lengths[own]):
             at = np.flatnonzero(lengths[own] == n)
-            x = np.frombuffer(b"".join(fine[k] for k in own[at]), np.uint8).reshape(len(at), level, -1)
-            folded[at] = np.where(x == 255, 1 << 20, x.astype(np.int32)).sum(2)
+            packed = np.frombuffer(b"".join(fine[k] for k in own[at]), np.uint8).reshape(len(at), -1)
+            x = np.stack([packed & 15, packed >> 4], 2).reshape(len(at), level, -1).astype(np.int16)
+            folded[at] = np.minimum(np.where(x == 15, 8192, x).sum(2), 16384)
         a, b = np.searchsorted(own, i[rows]), np.searchsorted(own, j[rows])
-        step = max(1, (1 << 22) // int(level))
+        step = max(1, (1 << 21) // int(level))
         for k in range(0, len(rows), step):
             out[rows[k : k + step]] = np.minimum(folded[a[k : k + step]], folded[b[k : k + step]]).sum(1, dtype=np.int64)
     return out
