@@ -303,10 +303,17 @@ def _first_of_cell(members: DataFrame, sim: Similarity) -> DataFrame:
 
 
 def _tree_pairs(members: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs that survive in the trees of members(cell, node, n, counts, component), and by their finer counts: of different components, without those of the cell's first class."""
+    """Pairs that survive in the trees of members(cell, node, n, counts, component), and by their finer counts: of different components, without those of the cell's first class.
+
+    Of cells with the same members, by number and 128 bits of hash, one is enough: near copies share most of their cells.
+    """
     kind = members.schema["node"].dataType.simpleString()
-    sizes = members.groupBy("cell").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first"))
-    open_cells = sizes.where("members >= 3 and low <> high").select("cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "first")
+    sizes = members.groupBy("cell").agg(
+        F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first"),
+        F.expr("bit_xor(xxhash64(node))").alias("h1"), F.expr("bit_xor(xxhash64(node, 7))").alias("h2"),
+    )
+    distinct = sizes.where("members >= 3 and low <> high").groupBy("members", "first", "h1", "h2").agg(F.min("cell").alias("cell"))
+    open_cells = distinct.select("cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "first")
     dealt = members.join(open_cells, "cell").where("node <> first").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "component", "counts"
