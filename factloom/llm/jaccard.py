@@ -176,7 +176,7 @@ def _frequent(docs: DataFrame, sim: Similarity) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Written: doc_id, n, c1 and c2 (128 bits of the set), counts, fine counts, and prefix, the shingles whose cells the set goes into. A set that a task has met before comes without prefix."""
+    """Written: doc_id, n, c1 and c2 (128 bits of the set), counts, fine counts, and prefix, the shingles whose cells the set goes into. A set that a task has met before in a row with a doc_id, and a row without one, come without prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, sim))
 
     def run(batches):
@@ -184,13 +184,13 @@ def _sets(docs: DataFrame, sim: Similarity) -> DataFrame:
         seen = set()
         for b in batches:
             n, c1, c2, point, fine, prefix = [], [], [], [], [], []
-            for text in b.column(1).to_pylist():
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, sim.words)
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
                 c1.append(int.from_bytes(key[:8], "little", signed=True))
                 c2.append(int.from_bytes(key[8:], "little", signed=True))
-                if len(s) and key not in seen:
+                if len(s) and doc is not None and key not in seen:
                     seen.add(key)
                     f = np.zeros(len(s), np.uint64)
                     if len(known):

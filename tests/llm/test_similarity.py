@@ -59,6 +59,14 @@ def test_jaccard_edge_cases(spark):
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
 
 
+def test_a_null_row_hides_no_near_copy(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "x"])
+    df = spark.createDataFrame([(None, text), (3, text), (10, near), (None, near)], "doc_id long, text string").coalesce(1)
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard.jaccard_groups(df).collect())
+    assert got == [("10", "3"), ("3", "3"), ("None", "None"), ("None", "None")]
+
+
 def test_count_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     for trial in range(5):
