@@ -2,7 +2,9 @@
 
 Candidates are maximal runs of key-like characters. Over each run of a class, a window of fixed width slides; its symbol counts
 change by one in and one out per step, and with them the sum of c log2 c, so a step costs the same whatever the width.
-Windows whose entropy reaches the class's threshold merge into spans.
+A run with a window whose entropy and changes of kind (lower, upper, digit) reach the class's thresholds, or whose entropy alone reaches a higher one, is a span as a whole, if the run has the class's groups.
+Both thresholds are at or below what all but a few in a thousand windows of random keys of the class reach, changes of base32 keys (2 in a hundred have fewer) excepted.
+Runs of letters of one case aren't told from words, nor are keys shorter than a window found.
 """
 
 from __future__ import annotations
@@ -23,27 +25,34 @@ from .common import by_rows
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 
 
 class CharClass(NamedTuple):
-    """A character class to slide over: its name, members, window width, bits a character that a window needs, and groups of which it needs members."""
+    """A character class to slide over: its name, members, window width, bits a character and changes of kind that a window needs, bits at which any changes do, and groups of which a run needs members."""
 
     kind: str
     members: str
     width: int
     bits: float
+    changes: int
+    sure: float
     groups: tuple[str, ...]
 
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 CLASSES = (
-    CharClass("entropy_hex", _DIGIT + "abcdefABCDEF", 24, 3.2, (_DIGIT, "abcdefABCDEF")),
-    CharClass("entropy_base64", _LOWER + _UPPER + _DIGIT + "+/_-", 20, 3.9, (_DIGIT, _LOWER, _UPPER)),
+    CharClass("entropy_hex", _DIGIT + "abcdefABCDEF", 24, 2.88, 2, 3.2, (_DIGIT, "abcdefABCDEF")),
+    CharClass("entropy_base64", _LOWER + _UPPER + _DIGIT + "+/_-", 20, 3.5, 6, 3.9, (_DIGIT, _LOWER, _UPPER)),
+    CharClass("entropy_lower", _LOWER + _DIGIT, 20, 3.2, 2, math.inf, (_DIGIT, _LOWER)),
+    CharClass("entropy_upper", _UPPER + _DIGIT, 20, 3.14, 2, math.inf, (_DIGIT, _UPPER)),
 )
-#: Candidates that hold one of these, in either case, aren't secrets: placeholders, alphabets, documented examples; and UUIDs.
-ALLOWED = ("example", "placeholder", "changeme", "your_", "dummy", "xxxx", "abcdefghij", "0123456789", "1234567890", "sha256-", "sha512-")
-UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+#: Parts of candidates that aren't secrets: placeholders, a documented example, the digests of integrity attributes, and UUIDs. So are ALPHABET successive characters (9 before 0) or more.
+ALLOWED = re.compile(
+    "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|sha256-[A-Za-z0-9+/_-]{43}=?|sha512-[A-Za-z0-9+/_-]{86}(?:==)?|(?i:example|placeholder|changeme|your_|dummy|x{4,})"
+    "|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+)
+ALPHABET = 8
 
 
 def _table(members: str) -> np.ndarray:
@@ -54,6 +63,7 @@ def _table(members: str) -> np.ndarray:
 
 _HEX_TABLE = _table("0123456789abcdef")
 _KEY_TABLE = _table(_LOWER + _UPPER + _DIGIT + "+/_-=")
+_CHAR_KIND = _table(_LOWER) * 1 + _table(_UPPER) * 2 + _table(_DIGIT) * 3
 
 
 def runs(flags: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -86,24 +96,42 @@ def window_entropy(s: str, width: int) -> np.ndarray:
     return out
 
 
-def allowed(candidate: str) -> bool:
-    low = candidate.lower()
-    return any(a in low for a in ALLOWED) or UUID.search(candidate) is not None
+def unallowed(candidate: str) -> list[tuple[int, int]]:
+    """Start and end of what a candidate has besides its allowed parts."""
+    free = np.ones(len(candidate), bool)
+    for m in ALLOWED.finditer(candidate):
+        free[m.start() : m.end()] = False
+    codes = np.frombuffer(candidate.encode("utf-32-le"), np.uint32).astype(np.int64)
+    for a, b in runs((np.diff(codes) == 1) | (codes[:-1] == ord("9")) & (codes[1:] == ord("0")), ALPHABET - 1):
+        free[a : b + 1] = False
+    return runs(free, 1)
+
+
+def _mixed(part: str) -> bool:
+    """Whether letters alone change case as no words in camel case do."""
+    return len(re.findall("(?=[A-Z]{2})", part)) >= 2 and len(re.findall("[a-z][A-Z]", part)) >= 4
 
 
 def entropy_spans(candidate: str, classes: tuple[CharClass, ...] = CLASSES) -> list[tuple[str, int, int]]:
-    """Spans (kind, start, end) of one candidate string in which every character lies in a window of high entropy."""
+    """Spans (kind, start, end) of the runs of one candidate string that hold a window of high entropy, without those within another class's."""
     codes = np.minimum(np.frombuffer(candidate.encode("utf-32-le"), np.uint32), 128)
-    out = []
+    out: list[tuple[str, int, int]] = []
     for c in classes:
         for a, b in runs(_table(c.members)[codes], c.width):
             part = candidate[a:b]
-            high = window_entropy(part, c.width) >= c.bits
-            for group in c.groups:  # every window needs a member of each group
-                inside = np.concatenate([[0], np.cumsum(np.array([ch in group for ch in part]))])
-                high &= inside[c.width :] - inside[: -c.width] > 0
-            for i, j in runs(high, 1):
-                out.append((c.kind, a + i, a + j + c.width - 1))
+            if any(s <= a and b <= e for _, s, e in out):
+                continue
+            has = [any(ch in group for ch in part) for group in c.groups]
+            if not all(has) and not (c.kind == "entropy_base64" and all(has[1:]) and _mixed(part)):
+                continue
+            kinds = _CHAR_KIND[codes[a:b]]
+            change = (kinds[1:] != kinds[:-1]) & (kinds[1:] > 0) & (kinds[:-1] > 0)
+            inside = np.concatenate([[0], np.cumsum(change)])
+            bits, changes = window_entropy(part, c.width), inside[c.width - 1 :] - inside[: len(part) - c.width + 1]
+            if ((bits >= c.sure) | (bits >= c.bits) & (changes >= c.changes)).any():
+                while c.kind == "entropy_base64" and b < min(len(candidate), a + len(part) + 2) and candidate[b] == "=":  # padding
+                    b += 1
+                out.append((c.kind, a, b))
     return out
 
 
@@ -119,9 +147,8 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
     base += [("hex", a, b) for a, b in runs(_HEX_TABLE[codes], 24)]
     added = []
     for a, b in runs(_KEY_TABLE[codes], min(c.width for c in CLASSES)):
-        candidate = text[a:b]
-        if not allowed(candidate):
-            added += [(k, a + i, a + j) for k, i, j in entropy_spans(candidate) if not any(s <= a + i and a + j <= e for _, s, e in base)]
+        for x, y in unallowed(text[a:b]):
+            added += [(k, a + x + i, a + x + j) for k, i, j in entropy_spans(text[a + x : a + y]) if not any(s <= a + x + i and a + x + j <= e for _, s, e in base)]
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     return sorted(base, key=order), sorted(base + added, key=order)
 

@@ -63,6 +63,23 @@ def test_added_spans_allow_list_and_redaction():
     assert secrets.redact(f"é {key} b password: hunter22!") == "é [SECRET] b [SECRET]!"
 
 
+def test_random_keys_are_found_whole():
+    r = random.Random(7)
+    lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for members, least in ((lower + upper + digit + "+/", 0.98), (lower + digit, 0.98), (upper + digit, 0.98), (upper + "234567", 0.95)):
+        for n in (20, 24, 32, 40):
+            keys = ["".join(r.choice(members) for _ in range(n)) for _ in range(500)]
+            assert sum(secrets.redact(f"see {k} now") == "see [SECRET] now" for k in keys) >= least * len(keys)
+
+
+def test_allow_list_clears_only_its_part():
+    key, uuid = "q9Zt3LmN0pQ2rS7uVxY1aBcD", "123e4567-e89b-12d3-a456-426614174000"
+    assert secrets.redact(f"{uuid}/{key}") == f"{uuid}[SECRET]"
+    assert secrets.redact(f"dummy={key}==") == "dummy=[SECRET]"
+    for quiet in (f"sha256-{key}{key[:19]}=", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ThisIsSomeLongClassName", "Mai-2024-Zusammenfassung", "internationalisierung2024", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"):
+        assert secrets.scan(quiet)[1] == []
+
+
 def test_secret_digest(spark):
     df = spark.createDataFrame([(1, "é token=abcdef12 x", 1), (2, None, 1), (2, None, 1), (3, "", 1)], "doc_id long, text string, spans int")
     got = {r["doc_id"]: r for r in secrets.secret_digest(df).collect()}
