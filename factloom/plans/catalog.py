@@ -587,6 +587,13 @@ def utf8_tokens(spark, sf):
     return table(spark, sf, "documents").where("text <> '' and ascii(text) < 128").select("doc_id", F.size(t).cast("long").alias("n_bytes"), F.element_at(t, 1).alias("head"))
 
 
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, TRY_CAST('0x' || substr(hex(encode(text)), 1, 2) AS INT) AS head FROM documents")
+def utf8_tokens_all(spark, sf):
+    """Byte tokens of every document: how many, and the first; of an empty text none, of a null one neither."""
+    t = tokens.utf8("text")
+    return table(spark, sf, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(t)).cast("long").alias("n_bytes"), F.get(t, F.lit(0)).alias("head"))
+
+
 @query("WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark) SELECT word, row_number() OVER (ORDER BY word) - 1 AS id FROM w")
 def vocabulary(spark, sf):
     return tokens.vocabulary(table(spark, sf, "benchmark").select(F.split("text", " ", -1).alias("tokens")))
