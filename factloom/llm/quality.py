@@ -153,8 +153,8 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return both.select("host", "path", "host_mean", ((F.col("p") + k * F.col("host_mean")) / (F.col("n") + k)).alias("path_mean")), corpus
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """Score each row of docs(doc_id, text and what host and path need): doc_id, doc_score, host_score, path_score, quality_score, kept.
+def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """Score each row of docs(doc_id, text and what host and path need): doc_id, doc_score, host_score, path_score, quality_score, kept; with the named columns of carry after doc_id.
 
     host and path default to source, and source with lang. Null hosts and paths are groups of their own. A row is kept if quality_score >= threshold.
     Null and empty texts are scored as empty. Repeated rows are scored each. An empty table gives an empty result; with no usable label all scores are 0.5 or so and all rows are kept.
@@ -162,8 +162,8 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     """
     host = F.col("source") if host is None else host
     path = F.concat_ws("/", F.col("source"), F.col("lang")) if path is None else path
-    slim = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), "text")
-    scored = evidence(slim, learn(docs.select("doc_id", "text"), labels, sample), ["doc_id", "host", "path"])
+    slim = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), *carry, "text")
+    scored = evidence(slim, learn(docs.select("doc_id", "text"), labels, sample), slim.columns[:-1])
     scored = materialize(scored, "evidence")
     means, corpus = posteriors(scored)
     means = means.toDF("h", "p", "host_mean", "path_mean")
@@ -171,5 +171,5 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     joined = scored.join(means, scored["host"].eqNullSafe(means["h"]) & scored["path"].eqNullSafe(means["p"]))
     shift = logit(F.least(F.greatest("path_mean", F.lit(1e-3)), F.lit(1 - 1e-3))) - F.log(F.lit(corpus / (1 - corpus)))
     combined = 1 / (1 + F.exp(-(F.col("log_odds") + SITE_WEIGHT * shift)))
-    out = joined.select("doc_id", (1 / (1 + F.exp(-F.col("log_odds")))).alias("doc_score"), F.col("host_mean").alias("host_score"), F.col("path_mean").alias("path_score"), combined.alias("quality_score"))
+    out = joined.select("doc_id", *slim.columns[3:-1], (1 / (1 + F.exp(-F.col("log_odds")))).alias("doc_score"), F.col("host_mean").alias("host_score"), F.col("path_mean").alias("path_score"), combined.alias("quality_score"))
     return out.withColumn("kept", F.col("quality_score") >= threshold)

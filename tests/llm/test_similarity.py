@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from brute import dedup_lines, jaccard_components, unite
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm import embeddings, jaccard, secrets
@@ -152,6 +153,20 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {i for i, _ in rows(safe)}
 
 
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark, sf):
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(5, one), (5, two), (5, two), (3, one + " x"), (9, two + " x"), (12, "some other text"), (12, "and one more"), (None, one)]
+    df = spark.createDataFrame([(*r, "en", "s", 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    got = sorted(((r["doc_id"], r["text"]) for r in stages["near_duplicates"](spark, df, sf).collect()), key=str)
+    assert got == sorted([(3, one + " x"), (5, two), (12, "some other text"), (12, "and one more"), (None, one)], key=str)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = {r["doc_id"] for r in stages["quality"](spark, docs, sf).select("doc_id").collect()}
+    bad = min(r["doc_id"] for r in docs.select("doc_id").collect() if r["doc_id"] not in good)
+    shared = docs.withColumn("doc_id", F.when(F.col("doc_id") == bad, min(good)).otherwise(F.col("doc_id")))
+    assert stages["quality"](spark, shared, sf).where(F.col("doc_id") == min(good)).count() == 1
+
+
 def test_pipeline_repeated_and_null_rows(spark, sf):
     text = "some words that make up a document of a fair length, to be kept as it is\nanother line of it here"
     df = spark.createDataFrame([(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, text + " more", "en", "s", 9), (None, None, None, None, None), (None, text, None, None, None), (7, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
