@@ -431,8 +431,16 @@ def stratified_sample(spark, sf):
     return qa.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", fraction=0.2)
 
 
+#: Columns that a pivot may have.
+COLUMNS = 10_000
+
+
 def event_types(spark: SparkSession, sf: str) -> list[str]:
-    return [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(1000).collect()]
+    """All event types, which become columns; more than COLUMNS are an error."""
+    found = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").limit(COLUMNS + 1).collect()]
+    if len(found) > COLUMNS:
+        raise ValueError(f"more than {COLUMNS} event types can't be columns")
+    return found
 
 
 @query("""PIVOT (SELECT user_id, event_type, event_id, value FROM events) ON event_type USING round(arg_min(value, event_id) * 100, 6) GROUP BY user_id""")
@@ -493,8 +501,9 @@ def prop_filter(spark, sf):
     kinds = ["string", "time", "quantity", "url", "wikibase-item", "external-id"]
     datatype = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("p_size") % 6 + 1).cast("int"))
     props = p.select("p_partkey", datatype.alias("datatype"), F.split("p_type", " ").alias("types"))
-    known = [r[0] for r in props.select(F.explode("types").alias("t")).distinct().orderBy("t").limit(1000).collect()]  # the words of a fixed vocabulary
-    return facts.keep_properties(props, [t for t in known if t not in ("COPPER", "ECONOMY", "SMALL")]).select("p_partkey")
+    unwanted = F.array(*[F.lit(t) for t in ("COPPER", "ECONOMY", "SMALL")])
+    left = props.withColumn("types", F.array_intersect("types", unwanted))
+    return facts.keep_properties(left, []).select("p_partkey")
 
 
 _LABEL_ROWS = """l AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Q' ELSE 'P' END AS kind, doc_id // 6 AS id, CASE (doc_id // 2) % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'alt_label' ELSE 'description' END AS what, source AS text FROM documents)"""

@@ -39,6 +39,13 @@ def test_utf8_tokens_of_every_document(spark, tmp_path):
     assert sorted(c.execute(catalog.ORACLE["utf8_tokens_all"]).fetchall(), key=str) == got
 
 
+def test_more_than_a_thousand_types(spark, tmp_path):
+    spark.range(1001).selectExpr("concat('t', id) as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert len(catalog.event_types(spark, str(tmp_path))) == 1001
+    spark.range(1002).selectExpr("id as p_partkey", "0 as p_size", "if(id < 1001, concat('T', id), 'X SMALL') as p_type").write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog.QUERIES["prop_filter"](spark, str(tmp_path)).count() == 1001
+
+
 def test_entry(spark):
     import __spark_entry__
 
