@@ -151,7 +151,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "
     linkable = units.where("x is not null and vec_id is not null")
     classes = materialize(linkable.groupBy("c1", "c2").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("weight"), F.first("x").alias("x"), F.length(F.first("x")).alias("size")), "classes")
     found = []
-    for size in [r["size"] for r in classes.select("size").distinct().limit(1000).collect()]:  # almost always one length
+    for size in _lengths(classes):  # almost always one length
         own = classes.where(F.col("size") == size)
         n = own.count()
         lot = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(min(1.0, 0.9 * SAMPLE / n) * (1 << 20)) + 1
@@ -173,6 +173,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "
     return joined.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def _lengths(classes: DataFrame) -> list[int]:
+    """All sizes that two classes or more have; a class alone in its size has nothing to link with."""
+    return [r["size"] for r in classes.groupBy("size").count().where("count > 1").orderBy("size").collect()]
+
+
 def _leaf_links(classes: DataFrame, forest: Forest, cosine: float, kind: str) -> DataFrame:
     """node, links and root of the classes that have links in a leaf."""
     shared = classes.sparkSession.sparkContext.broadcast(forest)

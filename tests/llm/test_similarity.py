@@ -122,6 +122,13 @@ def test_forest_against_all_pairs(spark, monkeypatch, block):
     assert by[9005]["n_links"] == by[9006]["n_links"] == 1 and by[9006]["component_id"] == 9005 and by[None]["n_links"] == 0
 
 
+def test_vectors_of_more_than_a_thousand_lengths(spark):
+    assert len(embeddings._lengths(spark.range(2200).selectExpr("id % 1100 as size"))) == 1100
+    rows = [(k, [1.0] * k) for k in range(1, 1101)] + [(2000, [1.0] * 1099 + [1.01])]
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[1100] == got[2000] == 1 and sum(got.values()) == 2
+
+
 def test_forest_of_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
