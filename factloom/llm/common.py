@@ -37,12 +37,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that nothing reads any more."""
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of columns has, in either case."""
+    taken, name = {c.lower() for c in columns}, f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def release(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete tables of materialize(), or folders beside them, that nothing reads any more."""
     for t in tables:
-        path = getattr(t, "_scratch", None)
+        path = t if isinstance(t, str) else getattr(t, "_scratch", None)
         if path and urlparse(path).path.count("/factloom/"):
-            spark = t.sparkSession
+            spark = spark or t.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -103,3 +111,30 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         release(e)
         e = following
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b"))).distinct()
+
+
+def labelled(linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """node and component_id, the smallest doc of the component's classes(node, doc), for components() of nodes."""
+    least = linked.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
+    return linked.join(least, "component").select("node", "component_id")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows that share their first keys columns, of batches sorted by these."""
+    key, parts = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy() for k in range(keys)]
+        change = np.zeros(b.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = np.flatnonzero(change).tolist()
+        for s, e in zip([0, *edges], [*edges, b.num_rows], strict=True):
+            if (now := tuple(c[s] for c in columns)) != key:
+                if parts:
+                    yield pa.Table.from_batches(parts)
+                key, parts = now, []
+            parts.append(b.slice(s, e - s))
+    if parts:
+        yield pa.Table.from_batches(parts)

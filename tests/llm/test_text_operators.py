@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from brute import dedup_lines
@@ -24,7 +25,7 @@ ODD = [(1, "a long line that repeats here\nx\n\nA LONG line that repeats here \n
 def odd(spark, extra=""):
     """Nulls, empty texts, repeated rows, a null id, and extra columns with clashing names."""
     rows = ODD + [(k, f"word{k}\na long line that Repeats here", "en") for k in range(4, 8)] + [(9, "y" * 30000 + "\n" + " z" * 20000, "fr")]
-    return spark.createDataFrame([(*r, "s", 1) for r in rows], f"doc_id long, text string, lang string, source string, n_lines int{extra}")
+    return spark.createDataFrame([(*r, "s", 1, *[0] * extra.count(",")) for r in rows], f"doc_id long, text string, lang string, source string, n_lines int{extra}")
 
 
 # secrets
@@ -91,9 +92,11 @@ def test_secret_digest(spark):
 # lines
 
 
-@pytest.mark.parametrize("bound", [64 << 20, 0])  # with the filters, and beyond their bound
-def test_lines_against_plain(spark, monkeypatch, bound):
-    monkeypatch.setattr(lines, "BROADCAST_BYTES", bound)
+@pytest.mark.parametrize("small", [False, True])  # one shard and chunk, or many; with hot keys apart
+def test_lines_against_plain(spark, monkeypatch, small):
+    if small:
+        for name, value in {"SHARD_BITS": 64, "MOST_BITS": 64, "CHUNK": 7, "HOT_DOCS": 4}.items():
+            monkeypatch.setattr(lines, name, value)
     r = random.Random(4)
     pool = [f"  Line number {k} of the pool, long enough " for k in range(8)] + ["short", "", "ÄÖÜ äöü long enough for a key", "äöü ÄÖÜ long enough for a key"]
     docs = [(k % 25, "\n".join(r.choice(pool) for _ in range(r.randrange(6)))) for k in range(30)] + [(None, pool[0]), (50, None), (51, "")]
@@ -106,17 +109,39 @@ def test_lines_against_plain(spark, monkeypatch, bound):
 def test_lines_edge_cases(spark):
     assert lines.line_digest(odd(spark)).count() == 10
     assert lines.line_digest(odd(spark).limit(0)).count() == 0
-    kept = lines.drop_repeated_lines(odd(spark))
-    assert kept.columns == [*odd(spark).columns, "__n_lines", "__n_dropped"]
+    docs = odd(spark, ", __n_lines int, __Drops int, __of int, __n_dropped int")
+    kept, n_lines, n_dropped = lines.drop_repeated_lines(docs)
+    assert kept.columns == [*docs.columns, n_lines, n_dropped] and n_lines not in docs.columns and kept.count() == 10
 
 
-def test_filters_never_miss_a_repeat(spark):
-    h = [(k * 0x9E3779B97F4A7C15 + 1 << 3) % (1 << 64) - (1 << 63) for k in range(3000)]
-    df = spark.createDataFrame([(x,) for x in h + h[:500]], "h long").repartition(4)
-    bits = {r["shard"]: np.unpackbits(np.frombuffer(zlib.decompress(r["bits"]), np.uint8)) for r in lines.seen_again(df, 3).collect()}
-    shard, p, q = lines._places(np.array(h), 3)
-    hit = np.array([bits[s][a] and bits[s][b] for s, a, b in zip(shard, p, q, strict=True)])
-    assert hit[:500].all() and hit[500:].mean() < 0.1
+def line_documents(spark):
+    """Each document has 20 lines of its own and one of 3 common ones."""
+    rows = [(k, "\n".join([f"a line that only document {k} holds, number {j}" for j in range(20)] + [f"common line of kind {k % 3}, long enough"])) for k in range(400)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+
+@pytest.mark.parametrize("bits", [1 << 11, 1 << 22])
+def test_only_suspected_repeats_shuffle(spark, monkeypatch, bits):
+    monkeypatch.setattr(lines, "SHARD_BITS", bits)
+    monkeypatch.setattr(lines, "MOST_BITS", bits)
+    docs = line_documents(spark)
+    found = lines.suspects(docs, 20).toPandas()
+    common = [hashlib.sha256(f"common line of kind {k}, long enough".encode()).digest() for k in range(3)]
+    assert set(common) <= set(map(bytes, found.digest)) and sum(bytes(d) in common for d in found.digest) == 400
+    assert len(found) < 400 + 0.05 * 8000  # of 8,000 lines without a repeat, few are suspected
+    name = lines._line_table(docs, 20)
+    shape = lines.Filter.of(8400)
+    table = spark.table(name)
+    plan = lines._suspected(table, lines.replies(lines.messages(table, shape), shape), shape)._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"DROP TABLE {name}")
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert sorted(moved) == ["chunk", "shard"]  # messages and answers move, lines don't
+    assert "Bucketed: true" in plan and "Broadcast" not in plan
+
+
+def test_filters_grow_with_the_lines():
+    assert lines.Filter.of(0).shards == 1 and lines.Filter.of(1 << 20) == (4, 1 << 22)
+    assert lines.Filter.of(1 << 32).bits == 1 << 24 and lines.Filter.of(1 << 40).bits == lines.MOST_BITS
 
 
 # languages
@@ -227,22 +252,43 @@ def test_html_edge_cases(spark):
 # pieces
 
 
+def library_agrees(m, texts):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text, (ids, back) in zip(texts, m.encode_texts(texts), strict=True):
+        ids = [int(i) for i in ids.split(",")] if ids else []
+        assert ids == sp.encode(text) and back == sp.decode(ids) == m.decode_ids(ids)[1:], repr(text)
+
+
 def test_pieces_against_the_library():
-    sp, m = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.model(PIECES)
     r = random.Random(7)
     parts = ["a", "e", "n", "the", "ing", " ", "  ", "▁", "▁▁", "\n", " \n", "é", "日", "𝔘", "\0", ".", "\t", "<s>", "<0x0A>", "1", "�", "́", "A", "tion", "  " * 9]
-    for _ in range(4000):
-        text = "".join(r.choice(parts) for _ in range(r.randrange(25)))
-        units = m.encode_text(text)
-        ids = [int(i) for u in units for i in u.split(",")]
-        assert ids == sp.encode(text) and m.decode_text(units) == sp.decode(ids) == m.decode_ids(ids)[1:], repr(text)
+    library_agrees(pieces.model(PIECES), ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(6000)])
+
+
+def test_pieces_of_the_documents(sf):
+    texts = [t or "" for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()]
+    library_agrees(pieces.PieceModel.load(PIECES), texts)
 
 
 def test_pieces_memory_and_long_words(monkeypatch):
     monkeypatch.setattr(pieces, "MEMORY", 3)
-    sp, m = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.PieceModel.load(PIECES)
-    for text in ("one two three four five six one two", "ab" * 3000, "z" * 5000, " " * 100 + "x"):
-        assert [int(i) for u in m.encode_text(text) for i in u.split(",")] == sp.encode(text)
+    monkeypatch.setattr(pieces, "PAIRS", 3)
+    monkeypatch.setattr(pieces, "MOVES", 5)
+    monkeypatch.setattr(pieces, "TOGETHER", 4)
+    texts = ["one two three four five six one two", "ab" * 3000, "z" * 5000, " " * 100 + "x", "one two", "", "seven one", "é日é" * 50, "two é日é"]
+    m = pieces.PieceModel.load(PIECES)
+    for _ in range(2):
+        library_agrees(m, texts)
+    assert all(len(u) <= 64 for u in m.memory)
+
+
+def test_pieces_refuse_other_models(tmp_path):
+    whole = open(PIECES, "rb").read()
+    field = lambda number, data: bytes([number << 3 | 2, len(data)]) + data
+    for extra in (field(2, b"\x18\x01"), field(3, b"\x18\x00"), field(3, b"\x20\x01"), field(3, b"\x12\x01x"), field(1, b"\x0a\x01q\x18\x04")):
+        (tmp_path / "m.model").write_bytes(whole + extra)  # later fields of a part replace earlier ones
+        with pytest.raises(ValueError):
+            pieces.PieceModel.load(str(tmp_path / "m.model"))
 
 
 def test_piece_digest(spark):
