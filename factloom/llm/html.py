@@ -1,29 +1,31 @@
 """HTML extraction by the maximum-scoring subsequence.
 
-A page becomes a sequence of words and tags. Words score positive, tags negative, and words inside elements that labelled pages show to be
-boilerplate score negative too; a linear scan finds the contiguous region of the greatest sum, and the region's words outside such elements are the main text.
-Weights are log odds of lying in the main text, by element, from labelled pages: a bounded sample of pages that mark their main text as their one article.
-Fixed lists of structural names give the prior, as evidence of so many words, and decide where no page does.
+A page becomes a sequence of words and tags. A linear scan finds the contiguous region of the greatest sum of their scores, and the region's words outside
+boilerplate elements are the main text; words and tags of boilerplate elements score nothing, so that they can't part an article.
+
+All weights are log odds of lying in the main text, learned from a bounded sample of labelled pages, those that mark their main text as their one article:
+a word's by the block element that holds it and by whether it is link text, a tag's by its name (tags score below zero, the more the less main text they come with),
+and an element's by the words of its class, id and role, or its name. Fixed lists of names give the prior only, as evidence of so many words.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, by_rows
 
-#: Labelled pages that training reads, about, by the hash of page_id; elements that get a weight, at most.
-SAMPLE, ELEMENTS = 512, 4096
-#: Words of evidence that the prior counts for, and the weight below which an element is boilerplate.
-PRIOR_WORDS, BOILERPLATE = 200.0, -1.0
+#: Labelled pages that training reads, about, by the hash of page_id (twice as many at most); open elements that are told apart.
+SAMPLE, DEPTH = 512, 512
+#: Words of evidence that the prior counts for, tags likewise, and the weight below which an element is boilerplate.
+PRIOR_WORDS, PRIOR_TAGS, BOILERPLATE = 200.0, 20.0, -1.0
 
 #: Names of HTML elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,27 +40,49 @@ NAMES = frozenset(
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager copyright legal disclaimer contentinfo complementary "
     "paywall outbrain taboola skip hidden".split()
 )
-#: Scores: a word; a word of a link outside paragraphs; a word outside the one article of a page that has one; a word in boilerplate, which is left out anyway; an inline tag; another tag; a tag of boilerplate.
-WORD, LINK, OUTSIDE, BAD_WORD, INLINE_TAG, TAG, BAD_TAG = 1.0, -0.5, -1.0, -0.1, -0.01, -0.1, -1.5
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:"[^"]*"|'[^']*'|[^'">])*+>|[^<]+|<""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: Words that say nothing beside such a name, as in site-footer.
+DECOR = frozenset("site page main post entry article content block box container wrapper wrap inner outer section area region row col column left right top bottom list item items group slot unit body global primary secondary js the".split())
+#: Prior log odds: of a word, of link text outside prose, of an element by its name; of a token that is such a name, that has one beside decor, that has one beside other words.
+WORD, LINK, NAME, TOKEN, COMPOUND, HINT = 1.0, -0.5, -3.0, -3.0, -2.0, -0.9
+#: Scores of an inline and another tag without evidence; of a tag within a page's one article, of a word there at least, and of a word outside.
+INLINE_TAG, TAG, ARTICLE_TAG, ARTICLE_WORD, OUTSIDE = -0.01, -0.1, -0.001, 0.5, -1.0
+
+_TAG = re.compile(r"""</?[a-zA-Z](?:[^>"'=]++|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>""")
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _NAME = re.compile(r"[A-Za-z]+")
+_CLOSED_BY = frozenset("p li dt dd tr td th option".split())
+_ENDS_PARAGRAPH = frozenset("p li dt dd tr td th option div ul ol dl table section article footer nav aside header main h1 h2 h3 h4 h5 h6 form blockquote pre".split())
+_PROSE = frozenset("p article main td blockquote".split())
+
+
+class Element:
+    """An open element: its keys, its parent, whether it lies in a link outside prose, in an article or main element; the name of the block that holds its text; words in it that are no link text."""
+
+    __slots__ = ("own", "parent", "link", "inner", "prose", "block", "words", "bad", "labelled")
+
+    def __init__(self, own: tuple[str, ...], parent: Element | None):
+        name = own[0]
+        self.own, self.parent, self.words, self.bad, self.labelled = own, parent, 0, False, [0, 0]
+        self.inner = bool(parent and parent.inner) or name in ("article", "main")
+        self.prose = bool(parent and parent.prose) or name in _PROSE
+        self.link = bool(parent and parent.link) or name == "a"
+        self.block = parent.block if parent and name in INLINE else name
+
+    def context(self) -> str:
+        return f"word {self.block}" + (" in a link" if self.link and not self.prose else "")
 
 
 class Piece(NamedTuple):
-    """A text or a tag of a page: kind is text, open or close; name, the tag's; own, the keys of the element; path, the keys of all open elements; block, the number of the block."""
+    """A text or a tag of a page: kind is text, open or close; text, what it says; element, the one it lies in or that it opens or closes; block, the number of the block."""
 
     kind: str
-    name: str
     text: str
-    own: tuple[str, ...]
-    path: tuple[tuple[str, ...], ...]
+    element: Element
     block: int
 
 
 def _keys(name: str, attributes: str) -> tuple[str, ...]:
-    """The element's name, then its class, id and role words as .word; .hidden if it isn't shown."""
+    """The element's name, then its class, id and role tokens as .token; .hidden if it isn't shown."""
     out = [name]
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         which, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -66,101 +90,172 @@ def _keys(name: str, attributes: str) -> tuple[str, ...]:
             if which == "hidden" or value.lower() == "true":
                 out.append(".hidden")
         else:
-            # camelCase, dashes and underscores part words
-            out += ["." + w.lower() for w in _NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))]
+            out += ["." + w for w in value.split()]
     return tuple(dict.fromkeys(out))
 
 
-def pieces(page: str) -> list[Piece]:
-    """Texts and tags of a page in order. Comments, scripts, styles and the like are left out; broken markup never fails."""
+def _tag_name(tag: str) -> str:
+    return re.match(r"</?([^\s/>]+)", tag)[1].lower()
+
+
+def _tokens(page: str):
+    """Texts and tags of markup, each read once: (text, None) or (None, tag). Comments, declarations and what scripts and the like hold are left out."""
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            yield page[at:], None
+            return
+        if start > at:
+            yield page[at:start], None
+        after = page[start + 1 : start + 3]
+        if after[:1] in ("!", "?") and after:
+            if page.startswith("<![CDATA[", start):
+                end = page.find("]]>", start)
+                yield page[start + 9 : n if end < 0 else end].replace("&", "&amp;"), None
+                at = n if end < 0 else end + 3
+                continue
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(mark, start + 2)
+            at = n if end < 0 else end + len(mark)
+        elif re.match("/?[a-zA-Z]", after):
+            if start > last:  # the page ends within a tag
+                return
+            m = _TAG.match(page, start) if quotes else None
+            quotes = m is not None  # after a quote without an end, tags end at the next >
+            end = m.end() if m else page.find(">", start) + 1
+            tag = page[start:end]
+            yield None, tag
+            at, name = end, _tag_name(tag)
+            if name in RAW and tag[1] != "/" and not tag.endswith("/>"):  # what it holds is no markup
+                end = re.compile(f"</{name}(?![\\w-])[^>]*>?", re.IGNORECASE).search(page, at)
+                at = end.end() if end else n
+        else:
+            yield "<", None
+            at = start + 1
+
+
+def pieces(page: str) -> tuple[list[Piece], list[Element]]:
+    """Texts and tags of a page in order, and its elements, parents first. Scripts, styles and the like are left out; broken markup never fails, and the time is in proportion to the length.
+
+    Elements deeper than DEPTH count as text of the deepest one.
+    """
     out: list[Piece] = []
-    stack: list[tuple[str, ...]] = []
-    path: tuple[tuple[str, ...], ...] = ()
-    at, block = 0, 0
-    while m := _TOKEN.match(page, at):
-        at, token = m.end(), m[0]
-        if token[0] != "<" or token == "<":
-            out.append(Piece("text", "", token, (), path, block))
-            continue
-        if token[1] in "!?":
-            if token.startswith("<![CDATA["):
-                out.append(Piece("text", "", token[9:].removesuffix("]]>").replace("&", "&amp;"), (), path, block))
+    root = Element(("",), None)
+    elements, stack, open_names, below = [root], [root], Counter(), 0
+    block = 0
+    for text, tag in _tokens(page):
+        if text is not None:
+            out.append(Piece("text", text, stack[-1], block))
             continue
-        closing = token[1] == "/"
-        name = re.match(r"[^\s/>]+", token[1 + closing :])[0].lower()
+        closing = tag[1] == "/"
+        name = _tag_name(tag)
         if name not in INLINE:
             block += 1
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    own = stack[k]
-                    del stack[k:]
-                    path = tuple(stack)
-                    out.append(Piece("close", name, "", own, path, block))
-                    break
+            if below:
+                below -= 1
+            elif open_names[name]:
+                while True:
+                    e = stack.pop()
+                    open_names[e.own[0]] -= 1
+                    if e.own[0] == name:
+                        break
+                out.append(Piece("close", name, e, block))
             continue
-        own = _keys(name, token[1 + len(name) : -1])
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}\\b[^>]*>?", re.IGNORECASE).search(page, at)
-            if not token.endswith("/>"):
-                at = end.end() if end else len(page)
             continue
-        if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in ("div", "ul", "ol", "table", "section", "article", "footer", "nav", "aside", "header", "h1", "h2", "h3", "h4", "h5", "h6", "form", "blockquote", "pre"):
+        if name in _ENDS_PARAGRAPH and not below and (open_names["p"] or name in _CLOSED_BY and open_names[name]):
             # an open paragraph ends where a block starts, an open item where the next one starts
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
+            for k in range(len(stack) - 1, 0, -1):
+                other = stack[k].own[0]
+                if other == "p" or other == name and name in _CLOSED_BY:
+                    for e in stack[k:]:
+                        open_names[e.own[0]] -= 1
                     del stack[k:]
                     break
-                if stack[k][0] not in INLINE:
+                if other not in INLINE:
                     break
-        out.append(Piece("open", name, "", own, tuple(stack), block))
-        if name not in VOID and not token.endswith("/>"):
-            stack.append(own)
-        path = tuple(stack)
-    return out
-
-
-def prior(key: str) -> float:
-    """Log odds of main text that the fixed lists give a key."""
-    if key.startswith("."):
-        return -3.0 if key[1:] in NAMES else 0.0
-    return -3.0 if key in STRUCTURAL else 1.0 if key in ("article", "main") else 0.0
+        if name in VOID or tag.endswith("/>"):
+            out.append(Piece("open", name, Element((name,), stack[-1]), block))
+        elif below or len(stack) >= DEPTH:
+            below += 1
+        else:
+            e = Element(_keys(name, tag[1 + len(name) : -1]), stack[-1])
+            out.append(Piece("open", name, e, block))
+            elements.append(e)
+            stack.append(e)
+            open_names[name] += 1
+    for p in out:
+        if p.kind == "text" and not p.element.link:
+            p.element.words += len(p.text.split())
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.words += e.words
+    return out, elements
+
+
+def token_prior(token: str) -> float:
+    """Log odds of main text that the fixed lists give a class, id or role token. camelCase, dashes and underscores part words."""
+    words = [w.lower() for w in _NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token))]
+    if not (named := [w for w in words if w in NAMES]):
+        return TOKEN if token.lower() in NAMES else 0.0
+    rest = [w for w in words if w not in NAMES]
+    return TOKEN if not rest else COMPOUND if DECOR.issuperset(rest) else HINT
+
+
+def _log_odds(inside: float, outside: float, prior: float, weight: float) -> float:
+    p = 1 / (1 + math.exp(-prior))
+    return math.log((inside + weight * p) / (outside + weight * (1 - p)))
 
 
 class Weights:
-    """Log odds of main text by key; .get(keys) of an element is its most telling key's, and is remembered."""
+    """Log odds of main text by key, from evidence: for each key, how often it was seen inside and outside."""
 
     def __init__(self, evidence: dict[str, tuple[float, float]] | None = None):
-        self.of: dict[str, float] = {}
-        for key, (inside, outside) in (evidence or {}).items():
-            p = 1 / (1 + np.exp(-prior(key)))
-            self.of[key] = float(np.clip(np.log((inside + PRIOR_WORDS * p) / (outside + PRIOR_WORDS * (1 - p))), -4, 4))
+        self.seen = evidence or {}
         self._memory: dict = {}
 
-    def element(self, own: tuple[str, ...]) -> float:
-        """Of elements that any text may use, only class, id and role words count."""
-        if own not in self._memory:
+    def _remembered(self, key, work):
+        if (found := self._memory.get(key)) is None:
             if len(self._memory) > 100_000:
                 self._memory.clear()
-            name, words = own[0], own[1:]
-            found = [self.of.get(w, prior(w)) for w in words] if name not in KEPT else []
-            if name in STRUCTURAL:
-                found.append(self.of.get(name, prior(name)))
-            if ".hidden" in own:
-                found.append(-4.0)
-            self._memory[own] = min(found, default=0.0)
-        return self._memory[own]
-
-    def boilerplate(self, path: tuple[tuple[str, ...], ...]) -> bool:
-        """Whether an open element is boilerplate; the header of an article isn't."""
-        if path not in self._memory:
-            bad, inner = False, False
-            for own in path:
-                inner |= own[0] in ("article", "main")
-                if self.element(own) < BOILERPLATE and not (own[0] == "header" and inner and len(own) == 1):
-                    bad = True
-            self._memory[path] = bad
-        return self._memory[path]
+            found = self._memory[key] = work(key)
+        return found
+
+    def word(self, context: str) -> float:
+        """Of a word in a context."""
+        return self._remembered(context, lambda c: min(2.0, max(-2.0, _log_odds(*self.seen.get(c, (0, 0)), LINK if c.endswith("link") else WORD, PRIOR_WORDS))))
+
+    def tag(self, name: str) -> float:
+        """Of a tag: below zero."""
+        start = INLINE_TAG if name in INLINE or name in ("p", "br") else TAG
+        return self._remembered(("tag", name), lambda _: start * math.exp(-min(2.0, max(-2.0, _log_odds(*self.seen.get(f"tag {name}", (0, 0)), 0.0, PRIOR_TAGS)))))
+
+    def element(self, own: tuple[str, ...]) -> tuple[float, bool, bool]:
+        """Of an element: its weight; whether its compound tokens alone make it boilerplate; whether only the name header does."""
+        return self._remembered(own, self._element)
+
+    def _element(self, own: tuple[str, ...]) -> tuple[float, bool, bool]:
+        name, firm, loose, header = own[0], [0.0], [0.0], True
+        if name in KEPT:
+            return 0.0, False, False
+        for key in (name, *own[1:]) if name in STRUCTURAL else own[1:]:
+            before = NAME if key == name or key == ".hidden" else token_prior(key[1:])
+            inside, outside = self.seen.get(key, (0, 0))
+            found = _log_odds(inside, outside, before, PRIOR_WORDS)
+            (loose if before == COMPOUND and inside + outside < PRIOR_WORDS else firm).append(found)
+            header &= found >= BOILERPLATE or "header" in key.lower()
+        low = min(*firm, *loose)
+        return low, min(firm) >= BOILERPLATE, header
+
+    def judge(self, elements: list[Element]) -> None:
+        """Mark boilerplate elements and what lies in them. The header of an article isn't, nor what compound tokens alone speak against if it holds most of the page's words."""
+        total = elements[0].words
+        for e in elements[1:]:
+            low, loose, header = self.element(e.own)
+            spared = loose and 2 * e.words > total or header and e.parent.inner
+            e.bad = e.parent.bad or low < BOILERPLATE and not spared
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -177,47 +272,55 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, weights: Weights) -> str:
     """The main text of a page: its blocks in order, white space inside a block as one space, joined by one space."""
-    parts = pieces(page or "")
-    one = sum(p.kind == "open" and p.name in ("article", "main") and not weights.boilerplate((*p.path, p.own)) for p in parts) == 1
+    parts, elements = pieces(page or "")
+    weights.judge(elements)
+    one = sum(e.own[0] in ("article", "main") and not e.bad for e in elements) == 1
     scores = []
-    for p in parts:
-        bad = weights.boilerplate(p.path)
-        if p.kind == "text":
-            n = len(p.text.split())
-            link = not bad and any(own[0] == "a" for own in p.path) and not any(own[0] in ("p", "article", "main", "td", "blockquote") for own in p.path)
-            outside = one and not any(own[0] in ("article", "main") for own in p.path)
-            scores.append(n * (BAD_WORD if bad else OUTSIDE if outside else LINK if link else WORD))
-        elif bad or weights.element(p.own) < BOILERPLATE:
-            scores.append(BAD_TAG)
+    for kind, text, e, _ in parts:
+        if e.bad:
+            scores.append(0.0)
+        elif kind == "text":
+            word = weights.word(e.context())
+            scores.append(len(text.split()) * (word if not one else max(word, ARTICLE_WORD) if e.inner else OUTSIDE))
         else:
-            scores.append(INLINE_TAG if p.name in INLINE or p.name in ("p", "br") else TAG)
+            scores.append(ARTICLE_TAG if one and e.inner else weights.tag(text))
     start, end = best_region(scores)
     blocks: dict[int, list[str]] = {}
-    for p in parts[start:end]:
-        if p.kind == "text" and not weights.boilerplate(p.path):
-            blocks.setdefault(p.block, []).append(p.text)
+    for kind, text, e, block in parts[start:end]:
+        if kind == "text" and not e.bad:
+            blocks.setdefault(block, []).append(text)
     texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks.values())
     return " ".join(t for t in texts if t)
 
 
 def evidence(page: str | None) -> dict[str, list[int]] | None:
-    """For each key: words inside and outside the page's main text. None if the page doesn't mark its main text as its one article."""
-    parts = pieces(page or "")
-    if sum(p.kind == "open" and p.name == "article" for p in parts) != 1:
+    """For each context, tag and element key: words or tags inside and outside the page's main text. None if the page doesn't mark its main text as its one article."""
+    parts, elements = pieces(page or "")
+    if sum(e.own[0] == "article" for e in elements) != 1:
         return None
-    plain, out = Weights(), {}
-    for p in parts:
-        if p.kind == "text" and (n := len(p.text.split())):
-            outside = plain.boilerplate(p.path) or not any(own[0] == "article" for own in p.path)
-            for key in {k for own in p.path for k in own}:
-                out.setdefault(key, [0, 0])[outside] += n
+    Weights().judge(elements)
+    out: dict[str, list[int]] = {}
+    for kind, text, e, _ in parts:
+        outside = e.bad or not e.inner
+        n = len(text.split()) if kind == "text" else 1
+        out.setdefault(e.context() if kind == "text" else f"tag {text}", [0, 0])[outside] += n
+        if kind == "text":
+            e.labelled[outside] += n
+    for e in reversed(elements[1:]):
+        for k in (0, 1):
+            e.parent.labelled[k] += e.labelled[k]
+        for key in e.own:
+            a, b = out.get(key, (0, 0))
+            out[key] = [a + e.labelled[0], b + e.labelled[1]]
     return out
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights from about sample pages of pages(page_id, html)."""
+    """Weights from about sample pages of pages(page_id, html), twice as many at most."""
     n = pages.count()
     some = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20)))
+    if n > sample and some.select("page_id").count() > 2 * sample:  # where page_ids repeat
+        some = some.limit(2 * sample)
 
     def run(batches):
         for whole in batches:
@@ -231,14 +334,13 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[k, 0] for k in keys], pa.int64()), pa.array([total[k, 1] for k in keys], pa.int64())], names=["key", "inside", "outside"])
 
     sums = some.select("html").mapInArrow(run, "key string, inside long, outside long").groupBy("key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    top = sums.orderBy(F.desc(F.col("inside") + F.col("outside")), "key").limit(ELEMENTS).collect()
-    return Weights({r["key"]: (r["inside"], r["outside"]) for r in top})
+    return Weights({r["key"]: (r["inside"], r["outside"]) for r in sums.collect()})  # as many as the sample's pages have
 
 
 def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """For each row of pages(page_id, url, html): page_id, url, text, n_chars (code points of text).
 
-    Null and empty pages, and pages without a word outside boilerplate, have an empty text. Repeated rows stay repeated. An empty table gives an empty result.
+    Null and empty pages, and pages without a word outside boilerplate, have an empty text. A page that ends within a tag ends before it. Repeated rows stay repeated. An empty table gives an empty result.
     Other columns are ignored. Weights are learned from the same pages unless given. Nothing of the pages is shuffled.
     """
     weights = weights or learn(pages.select("page_id", "html"))

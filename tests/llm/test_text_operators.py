@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -235,6 +236,61 @@ def test_broken_pages(page, text):
     assert html.extract(page, html.Weights()) == text
 
 
+WORDS, MORE, ADS = " ".join(f"w{k}" for k in range(20)), " ".join(f"v{k}" for k in range(20)), "ad " * 400
+WHOLE = [
+    (f"<p>{WORDS}</p><div class='advert'>{ADS}</div><p>{MORE}</p>", f"{WORDS} {MORE}"),
+    (f"<article><p>{WORDS}</p><aside>{ADS}</aside><p>{MORE}</p></article>", f"{WORDS} {MORE}"),
+    (f"<div><p>{WORDS}</p><div class=comments>{ADS}</div><p>{MORE}</p></div>", f"{WORDS} {MORE}"),
+    (f"<div class='share-price related-work'><p>{WORDS}</p></div>", WORDS),
+    (f"<section class=page-promotion-history><p>{WORDS}</p></section>", WORDS),
+    (f"<div class=content-sidebar-wrap><div><p>{WORDS}</p></div><div class='widget-area sidebar'>{MORE}</div></div>", WORDS),
+    (f"<article><p>{WORDS}</p><ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul></article>", f"{WORDS} one two"),
+    (f"<p>{WORDS}<script>if (a<b) x='</p>'</script> {MORE}</p>", f"{WORDS} {MORE}"),
+    (f"<p data-class=ad data-id=footer>{WORDS}</p>", WORDS),
+    (f"<nav><ul><li><a href=x>home</a></li></ul></nav><p>{WORDS}</p><div class=site-footer>{MORE}</div>", WORDS),
+]
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_whole_articles(sf, learned):
+    found = {}
+    if learned:
+        for page in pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist():
+            for key, (a, b) in (html.evidence(page) or {}).items():
+                found[key] = (found.get(key, (0, 0))[0] + a, found.get(key, (0, 0))[1] + b)
+    weights = html.Weights(found)
+    for page, text in WHOLE:
+        assert html.extract(page, weights) == text, page
+
+
+def test_pages_without_their_articles(sf):
+    """Weights learned from pages with an article find the same text where the mark is gone."""
+    pages = pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist()
+    found = {}
+    for page in pages[: len(pages) // 2]:
+        for key, (a, b) in (html.evidence(page) or {}).items():
+            found[key] = (found.get(key, (0, 0))[0] + a, found.get(key, (0, 0))[1] + b)
+    weights = html.Weights(found)
+    assert weights.word("word p") > 1.5 > -1 > weights.word("word li in a link") and weights.tag("p") > weights.tag("li")
+    for page in pages[len(pages) // 2 :]:
+        assert html.extract(page, weights) == html.extract(page.replace("<article>", "<div>").replace("</article>", "</div>"), weights)
+
+
+def test_learned_names_override_the_lists():
+    page = "<article><div class=banner><p>" + "word " * 300 + "</p></div></article><div class=zone><p>" + "other " * 300 + "</p></div>"
+    found = html.evidence(page)
+    assert found[".banner"] == [0, 300]  # the label itself leaves out what the lists call boilerplate
+    weights = html.Weights({".zone": (0, 5000), ".banner": (5000, 0)})
+    assert html.extract("<div class=zone>a b</div><div class=banner>c d</div>", weights) == "c d"
+
+
+@pytest.mark.parametrize("page", ["<div>w " * 150_000, '<a "x ' * 160_000, '<a b="x ' * 120_000, "<a b=\"> <a b='> " * 60_000, "<" * 1_000_000, "<script>" * 100_000, "<!--" * 250_000, "<b>" * 1000 + "</i>" * 200_000, "<b>" * 500 + "<p></p>" * 100_000, "<a " + "class='x class=\"y " * 60_000 + ">", "&amp" * 200_000])
+def test_a_megabyte_of_odd_markup_takes_linear_time(page):
+    began = time.process_time()
+    html.extract(page, html.Weights())
+    assert time.process_time() - began < 8  # the square would take minutes
+
+
 def test_best_region_against_all_stretches():
     r = random.Random(6)
     for _ in range(300):
