@@ -7,13 +7,15 @@ boxes, then of points, that can't reach the similarity. What survives is verifie
 Counts of hashed shingles alone can't split a corpus between machines: all points of a size lie close together, and the tree would compare all
 with all. So trees are built in cells: a set goes into the cells of its rarest shingles, as many (all but the least overlap, plus one) that
 two similar sets meet in a cell for certain, whatever order "rarest" has; a sample of documents finds the frequent shingles that go last.
-Equal sets are one class before. In each cell, every class is first tested against the cell's first class, which links groups of near copies in linear work;
-only classes that then still belong to different components meet in the cell's tree. No cell is cut short; a large one is dealt out in pairs of blocks.
+Equal sets are one class before, known by 128 bits of its content. Every candidate comes out of a cell's tree, in two searches: the first asks the tree for what may link
+with the cell's first classes, by doc_id, which links groups of near copies in linear work; the second joins the tree with itself, without pairs of one component.
+No cell is cut short; a large one is dealt out in blocks, for the second search in pairs of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from typing import NamedTuple
 
 import numpy as np
@@ -22,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, components, map_arrow, materialize, mix64, release
+from .common import BATCH_ROWS, components, grouped, labelled, map_arrow, materialize, mix64, release
 
 #: Groups of shingles, that is dimensions of the tree; points of a leaf; children of a box.
 GROUPS, LEAF, FAN = 64, 16, 8
 #: Frequent shingles that go last in the order, at most; the part of the documents that is sampled for them, and how many documents at least.
 FREQUENT, SAMPLE_PART, SAMPLE_LEAST = 200_000, 1 / 32, 8192
-#: Classes of a cell's block.
-BLOCK = 4096
+#: Classes of a cell's block, and first classes of a block that the first search asks for.
+BLOCK, HUBS = 1024, 4
 #: Documents up to which the ids of those to verify are broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -72,6 +74,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def content(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set, as two signed words."""
+    return struct.unpack("<qq", hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+
+
 def counts(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
 
@@ -104,6 +111,11 @@ def fine_bounds(fine: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def open_ended(points: np.ndarray) -> np.ndarray:
+    """Counts of which 65535 stands for any larger number."""
+    return np.where(points == 65535, 1 << 28, points).astype(np.int32)
+
+
 class CountTree:
     """An R-tree over count vectors, packed bottom-up from points sorted by size and by their most varying coordinate.
 
@@ -111,7 +123,7 @@ class CountTree:
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray):
-        points = np.where(points == 65535, 1 << 28, points).astype(np.int32)
+        points = open_ended(points)
         slab = np.argsort(sizes, kind="stable").argsort(kind="stable") // (LEAF * FAN)
         order = np.lexsort((points[:, points.var(0).argmax()], slab))
         self.order, self.points, self.sizes, self.component = order, points[order], sizes[order].astype(np.int64), component[order]
@@ -132,6 +144,18 @@ class CountTree:
         keep = bound * (num + den) >= num * (low[i] + low[j])
         return i[keep], j[keep]
 
+    def near(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
+        """Points that may link with a given one."""
+        at = np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            top, low, high, *_ = self.levels[level]
+            at = at[(high[at] * den >= size * num) & (size * den >= low[at] * num)]
+            at = at[np.minimum(top[at], point).sum(1, dtype=np.int64) * (num + den) >= num * (low[at] + size)]
+            if level:
+                at = (at[:, None] * self.steps[level - 1] + np.arange(self.steps[level - 1])).ravel()
+                at = at[at < len(self.levels[level - 1][0])]
+        return self.order[at]
+
     def pairs(self, num: int, den: int):
         """Yield arrays (i, j) of points, i < j by place, that may link."""
         frontier = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -186,10 +210,10 @@ def _sets(docs: DataFrame, sim: Similarity) -> DataFrame:
             n, c1, c2, point, fine, prefix = [], [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, sim.words)
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                key = content(s)
                 n.append(len(s))
-                c1.append(int.from_bytes(key[:8], "little", signed=True))
-                c2.append(int.from_bytes(key[8:], "little", signed=True))
+                c1.append(key[0])
+                c2.append(key[1])
                 if len(s) and doc is not None and key not in seen:
                     seen.add(key)
                     f = np.zeros(len(s), np.uint64)
@@ -245,12 +269,12 @@ def _shared_cells(sets: DataFrame) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "c1").mapInArrow(shared, "cell long, c1 long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of pairs(a, b) whose sets link, written. Finer counts drop most pairs that don't link; the texts of the classes left are read and cut again."""
+def _bounded(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of pairs(a, b) of classes that may link by their finer counts."""
     fine = classes.select("node", "n", "fine")
     points = pairs.distinct().join(fine.toDF("a", "n_a", "fine_a"), "a").join(fine.toDF("b", "n_b", "fine_b"), "b").select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
 
-    def bounded(batches):
+    def run(batches):
         for b in batches:
             m, n = b.column(2).to_numpy(), b.column(3).to_numpy()
             at = np.arange(b.num_rows)
@@ -258,24 +282,28 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Simila
             mask = pa.array(bounds * (sim.num + sim.den) >= sim.num * (m + n))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    pairs = materialize(map_arrow(points, bounded, f"a {kind}, b {kind}").distinct(), "pairs")
+    return map_arrow(points, run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of pairs(a, b) of classes whose sets link, written. The texts of these classes are read and cut again."""
+    pairs = materialize(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(wanted.join(classes.select("node", "c1"), "node").withColumnRenamed("node", "wanted"), "wanted")
+    wanted = materialize(wanted.join(classes.select("node", "doc", "c1", "c2"), "node"), "wanted")
     small = wanted.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("wanted")).select("doc_id", "c1", "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("doc")).select("node", "c1", "c2", "text")
 
     def cut(batches):
         for b in batches:
             node, out = [], []
-            for doc, c1, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, c1, c2, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = shingles(text, sim.words)
-                if int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True) == c1:
-                    node.append(doc)
+                if content(s) == (c1, c2):  # rows that share a doc_id may hold other sets
+                    node.append(k)
                     out.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, b.column(0).type), pa.array(out, pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(out, pa.binary())], names=["node", "set"])
 
-    sets = materialize(map_arrow(texts, cut, f"node {kind}, set binary"), "verify")
+    sets = materialize(map_arrow(texts, cut, "node long, set binary"), "verify")
     both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
 
     def check(batches):
@@ -290,93 +318,126 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Simila
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    links = materialize(map_arrow(both, check, f"a {kind}, b {kind}").distinct(), "links")
+    links = materialize(map_arrow(both, check, "a long, b long").distinct(), "links")
     release(pairs, wanted, sets)
     return links
 
 
-def _first_of_cell(members: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs of each class with the smallest class of its cell, as far as sizes allow."""
-    first = members.groupBy("cell").agg(F.min(F.struct("node", "n")).alias("first"))
-    near = members.select("cell", "node", "n").join(first, "cell").where("node <> first.node").where((F.least("n", "first.n") * sim.den) >= (F.greatest("n", "first.n") * sim.num))
-    return near.select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-
-
-def _tree_pairs(members: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs that survive in the trees of members(cell, node, n, counts, component), and by their finer counts: of different components, without those of the cell's first class.
+def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Written: cell, blocks, own (the class's block), is_first (whether it is the cell's first class, by doc), doc, node, n, counts, for each class of a cell.
 
     Of cells with the same members, by number and 128 bits of hash, one is enough: near copies share most of their cells.
     """
-    kind = members.schema["node"].dataType.simpleString()
     sizes = members.groupBy("cell").agg(
-        F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("first"),
-        F.expr("bit_xor(xxhash64(node))").alias("h1"), F.expr("bit_xor(xxhash64(node, 7))").alias("h2"),
-    )
-    distinct = sizes.where("members >= 3 and low <> high").groupBy("members", "first", "h1", "h2").agg(F.min("cell").alias("cell"))
-    open_cells = distinct.select("cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"), "first")
-    dealt = members.join(open_cells, "cell").where("node <> first").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "component", "counts"
-    ).join(classes.select("node", "fine"), "node").select("cell", "x", "y", "own", "node", "n", "component", "counts", "fine")
+        F.count("*").alias("members"), F.min(F.struct("doc", "node")).alias("first"), F.expr("bit_xor(xxhash64(node))").alias("h1"), F.expr("bit_xor(xxhash64(node, 7))").alias("h2")
+    )
+    cells = sizes.groupBy("members", "first", "h1", "h2").agg(F.min("cell").alias("cell"))
+    blocks = cells.select("cell", F.col("first.node").alias("first"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    rows = members.select("cell", "node").join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return materialize(rows.join(classes.select("node", "doc", "n", "counts"), "node").select("cell", "blocks", "own", (F.col("node") == F.col("first")).alias("is_first"), "doc", "node", "n", "counts"), "cells")
+
+
+def _points(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, GROUPS)
+
+
+def _near_first(dealt: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of the first classes of a cell's block and what the block's tree finds near them. The cell's first class goes into every block."""
+    blocks = F.when(F.col("is_first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    rows = dealt.select("cell", F.explode(blocks).alias("block"), "doc", "node", "n", "counts")
 
     def run(batches):
-        key, parts = None, []
+        for t in grouped(batches, 2):
+            if t.num_rows < 2:
+                continue
+            t = t.sort_by([("doc", "ascending"), ("node", "ascending")])
+            node, n = t["node"].to_numpy(), t["n"].to_numpy()
+            points = _points(t)
+            x = open_ended(points)
+            tree = CountTree(points, n, node) if len(node) > LEAF else None  # else, the tree is one leaf
+            first, second = [], []
+            for at in range(min(HUBS, len(node) - 1)):
+                size = int(n[at])
+                if tree:
+                    found = tree.near(x[at], size, sim.num, sim.den)
+                else:
+                    found = np.flatnonzero((np.minimum(x, x[at]).sum(1, dtype=np.int64) * (sim.num + sim.den) >= sim.num * (n + size)) & (n * sim.den >= size * sim.num) & (size * sim.den >= n * sim.num))
+                found = node[found[found > at]]
+                first.append(np.full(len(found), node[at]))
+                second.append(found)
+            i, j = np.concatenate(first), np.concatenate(second)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+    return rows.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a long, b long")
+
 
-        def done():
-            t = pa.Table.from_batches(parts)
-            cell_x, cell_y = key[1], key[2]
+def _tree_pairs(dealt: DataFrame, classes: DataFrame, linked: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of different components that survive in the trees of the cells, and by their finer counts."""
+    labels = dealt.select("cell", "node").join(linked, "node", "left").select("cell", F.coalesce("component", "node").alias("component"))
+    still_open = labels.groupBy("cell").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("members") > HUBS + 1).where("low <> high").select("cell")
+    rows = dealt.where("not is_first").join(still_open, "cell", "left_semi").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "component", "counts")
+    rows = rows.join(classes.select("node", "fine"), "node").select("cell", "x", "y", "own", "node", "n", "component", "counts", "fine")
+
+    def run(batches):
+        for t in grouped(batches, 3):
             node, n, component, own = (t[c].to_numpy() for c in ("node", "n", "component", "own"))
             if len(node) < 2 or (component == component[0]).all():
-                return
-            points = np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, GROUPS)
-            fine = t["fine"].to_pylist()
-            for i, j in CountTree(points, n, component).pairs(sim.num, sim.den):
+                continue
+            fine, apart = t["fine"].to_pylist(), t["x"][0].as_py() != t["y"][0].as_py()
+            for i, j in CountTree(_points(t), n, component).pairs(sim.num, sim.den):
                 keep = component[i] != component[j]
-                if cell_x != cell_y:
+                if apart:
                     keep &= own[i] != own[j]
                 i, j = i[keep], j[keep]
-                if not len(i):
-                    continue
-                keep = fine_bounds(fine, i, j) * (sim.num + sim.den) >= sim.num * (n[i] + n[j])
-                i, j = node[i[keep]], node[j[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+                if len(i):
+                    keep = fine_bounds(fine, i, j) * (sim.num + sim.den) >= sim.num * (n[i] + n[j])
+                    i, j = node[i[keep]], node[j[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cell, x, y = (b.column(k).to_numpy() for k in range(3))
-            edges = np.flatnonzero((cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
-            for s, e in zip([0, *edges], [*edges, b.num_rows], strict=True):
-                if (now := (cell[s], x[s], y[s])) != key:
-                    if parts:
-                        yield from done()
-                    key, parts = now, []
-                parts.append(b.slice(s, e - s))
-        if parts:
-            yield from done()
-
-    return dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity(4, 85, 100)) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id that links lead to.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Texts without a word, empty and null ones have no shingle and no link.
-    Rows that share a doc_id are judged each by its own text. Rows with a null doc_id have no component and link nothing. An empty table gives an empty result.
+    Rows that share a doc_id are judged each by its own text, and link nothing by sharing it. Rows with a null doc_id have no component and link nothing. An empty table gives an empty result.
     No link between different sets is lost: cells, blocks and trees only drop pairs that can't link, and what is skipped within a component is connected already.
     """
     docs = docs.select("doc_id", "text")
     sets = _sets(docs, sim)
     full = sets.where("n > 0 and doc_id is not null")
-    classes = materialize(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine")), "classes")
-    members = materialize(_shared_cells(sets).join(classes, "c1").select("cell", "node", "n", "counts"), "members")
-    links = _verified(_first_of_cell(members, sim), classes, docs, sim)
+    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("fine").alias("fine"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so numbers stay
+    members = materialize(_shared_cells(sets).join(classes.select("c1", "doc", "node"), "c1").select("cell", "doc", "node"), "members")
+    dealt = _dealt(members, classes)
+    release(members)
+    links = _verified(_bounded(_near_first(dealt, sim), classes, sim), classes, docs, sim)
     linked = components(links)
-    marked = members.join(linked.withColumnRenamed("component", "found"), "node", "left").select("cell", "node", "n", "counts", F.coalesce("found", "node").alias("component"))
-    more = _verified(_tree_pairs(marked, classes, sim), classes, docs, sim)
+    more = _verified(_tree_pairs(dealt, classes, linked, sim), classes, docs, sim)
     if not more.isEmpty():
         linked = components(links.union(more))
-    release(members)
-    owner = full.select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "node"), ["c1", "c2"]).select("doc_id", "n", "node")
-    joined = owner.join(linked, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    release(dealt, links, more)
+    owner = full.select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "node", "doc"), ["c1", "c2"])
+    joined = owner.join(labelled(linked, classes), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     return joined.unionByName(sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+#: The letters that are lower-cased.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM words),
+held AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM held x JOIN held y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sets x ON a = x.doc_id JOIN sets y ON b = y.doc_id
+  WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(b) AS component_id FROM sets JOIN reach ON doc_id = a GROUP BY doc_id
+"""

@@ -80,5 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard": jaccard.ORACLE_SQL,
+    "op6_embedding_near_dedup": embeddings.ORACLE_SQL,
     "op9_line_dedup": lines.ORACLE_SQL,
 }

@@ -68,6 +68,26 @@ def test_a_null_row_hides_no_near_copy(spark):
     assert got == [("10", "3"), ("3", "3"), ("None", "None"), ("None", "None")]
 
 
+def test_an_id_with_two_texts_links_nothing(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"o{k}" for k in range(60))
+    df = spark.createDataFrame([(0, near), (1, text), (1, other), (1, other), (5, other + " y")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_groups(df).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (1, 1), (5, 1)]
+
+
+def test_first_search_of_a_tree():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 6, (6, jaccard.GROUPS))
+    points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(40)]).astype(np.uint16)
+    sizes = points.sum(1).astype(np.int64)
+    tree = jaccard.CountTree(points, sizes, np.arange(len(points)))
+    for at in range(0, len(points), 17):
+        both = np.minimum(points, points[at]).sum(1)
+        want = set(np.flatnonzero((both * 185 >= 85 * (sizes + sizes[at])) & (sizes * 100 >= 85 * sizes[at]) & (sizes[at] * 100 >= 85 * sizes)))
+        assert set(tree.near(points[at], int(sizes[at]), 85, 100)) == want
+
+
 def test_count_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     for trial in range(5):
@@ -122,6 +142,42 @@ def test_forest_against_all_pairs(spark, monkeypatch, block):
     assert by[9005]["n_links"] == by[9006]["n_links"] == 1 and by[9006]["component_id"] == 9005 and by[None]["n_links"] == 0
 
 
+@pytest.mark.parametrize("levels", [8, 16, 22])
+def test_recall_does_not_fall_with_depth(levels):
+    rng = np.random.default_rng(levels)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.95, 0.96, len(x))[:, None]
+    y = cosine * x + np.sqrt(1 - cosine**2) * side
+    forest = embeddings.Forest(x[: embeddings.SAMPLE], embeddings.LEAF << levels, 0.95)
+    assert forest.levels == levels
+    pairs = slice(embeddings.SAMPLE, None)
+    met = [set() for _ in range(len(x) - embeddings.SAMPLE)]
+    for row, tree, leaf in zip(*forest.leaves(x[pairs]), strict=True):
+        met[row].add((tree, leaf))
+    found = np.zeros(len(met), bool)
+    for row, tree, leaf in zip(*forest.leaves(y[pairs]), strict=True):
+        found[row] |= (tree, leaf) in met[row]
+    assert found.mean() >= 0.99
+
+
+def test_an_id_with_two_vectors_links_nothing(spark):
+    v, near, far = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    got = embeddings.near_duplicates(spark.createDataFrame([(0, v), (1, near), (1, far), (2, far)], "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(0, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1)]
+
+
+def test_paths_come_back():
+    forest = embeddings.Forest(np.random.default_rng(1).normal(size=(100, 8)), 20000, 0.95, trees=3)
+    row, tree, leaf = forest.leaves(np.random.default_rng(2).normal(size=(7, 8)))
+    counts, leaves = embeddings.unpack_paths(embeddings.pack_paths(forest, 7, row, tree, leaf), 3, forest.number)
+    back = set(zip(np.repeat(np.arange(7), counts.sum(1)), np.repeat(np.tile(np.arange(3), 7), counts.ravel()), leaves, strict=True))
+    assert back == set(zip(row, tree, leaf, strict=True)) and len(leaves) == len(row)
+
+
 def test_vectors_of_more_than_a_thousand_lengths(spark):
     assert len(embeddings._lengths(spark.range(2200).selectExpr("id % 1100 as size"))) == 1100
     rows = [(k, [1.0] * k) for k in range(1, 1101)] + [(2000, [1.0] * 1099 + [1.01])]
