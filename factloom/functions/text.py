@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CUT_MARKS = r"<\|im_end\|>|<\|end_of_text\|>"
 ANSWER = r"(?d)Answer: (.*)\.?"
 DONT_KNOW = "i don't know"
+#: Patterns of numbers in answers.
+NUMBER, MARKED_NUMBER = r"(-?[0-9.,]+)", r"#### (-?[0-9.,]+)"
 
 
 def extract_answer(full: Column) -> Column:
@@ -58,14 +60,14 @@ def model_name(path: Column) -> Column:
 
 
 def last_number(text: Column) -> Column:
-    """The last number of a text, without thousands separators; null if there is none."""
-    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(-?[0-9.,]+)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(""))), lambda x: x.rlike("[0-9]"))
-    return F.try_element_at(found, F.lit(-1))
+    """The last number of a text as it stands there, with its commas; null if there is none. A single dot is a number only where nothing else is."""
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
+    return F.coalesce(F.try_element_at(F.filter(found, lambda x: x != "."), F.lit(-1)), F.try_element_at(found, F.lit(1)))
 
 
 def marked_number(text: Column) -> Column:
     """The number after the first ####, without commas and dollar signs; null if there is none."""
-    return F.nullif(F.translate(F.regexp_extract(text, r"#### (-?[0-9.,]+)", 1), ",$", ""), F.lit(""))
+    return F.nullif(F.translate(F.regexp_extract(text, MARKED_NUMBER, 1), ",$", ""), F.lit(""))
 
 
 def list_text(raw: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ def grid(index: Column, beams: int) -> tuple[Column, Column]:
     return F.floor(index / beams).cast("long"), F.pmod(index, F.lit(beams)).cast("long")
 
 
+def reset(states: DataFrame, batch: int | str) -> DataFrame:
+    """States of a new batch: the same beams, nothing generated, no pattern met, no fact used. Batches are keys, so no state of an earlier one is touched."""
+    return states.select(F.lit(batch).alias("batch"), "beam", F.lit(-1).cast("long").alias("cursor"), F.lit(0).cast("long").alias("run"), F.expr("slice(array(''), 1, 0)").alias("used"))
+
+
 def last_filled(array: Column, empty: int = -1) -> Column:
     """Position (from 0) of the last entry that isn't empty; -1 if there is none."""
     at = F.transform(array, lambda x, i: F.when(x != empty, i).otherwise(F.lit(-1)))
@@ -74,51 +81,66 @@ def yes_no(scores: DataFrame, keys: list[str], yes: list[int], no: list[int], to
     return best.withColumn("decision", F.when(F.col(token).isin(*yes), "yes").otherwise("no"))
 
 
-def greedy_walk(edge: DataFrame, steps: int = 64) -> DataFrame:
-    """From the root, always to the child with the most leaves (of equals the smallest token): tokens of the walk, one row for each step.
+def greedy_walk(edge: DataFrame) -> DataFrame:
+    """From the root, always to the child with the most leaves (of equals the smallest token): tokens of the walk, one row for each step, down to a leaf.
 
-    One child of each node survives the first aggregation; each step is then one equi-join over all walks. Ends at a leaf or after steps.
+    One child of each node survives the first aggregation; each step is then one equi-join over all walks.
     """
     best = edge.groupBy("prefix", "depth").agg(F.max("numleaves").alias("top"))
     child = lineage.cut(edge.join(best, ["prefix", "depth"]).where("numleaves = top").groupBy("prefix", "depth").agg(F.min("next_token").alias("next_token"), F.max("top").alias("numleaves")))
     spark = edge.sparkSession
-    child.createOrReplaceTempView("factloom_child")
-    return spark.sql(f"""
+    steps = (child.agg(F.max("depth")).first()[0] or 0) + 1
+    view = f"factloom_child_{uuid.uuid4().hex}"
+    child.createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"""
         WITH RECURSIVE walk(step, tokens, numleaves) MAX RECURSION LEVEL {steps + 2} AS (
-          SELECT 1, array(next_token), numleaves FROM factloom_child WHERE depth = 0
+          SELECT 1, array(next_token), numleaves FROM {view} WHERE depth = 0
           UNION ALL
           SELECT step + 1, array_append(tokens, next_token), c.numleaves
-          FROM walk w JOIN factloom_child c ON c.prefix = w.tokens WHERE step < {steps})
+          FROM walk w JOIN {view} c ON c.prefix = w.tokens)
         SELECT step, tokens, numleaves FROM walk""")
+    finally:
+        spark.catalog.dropTempView(view)  # the plan holds what it read
 
 
 def constrained_decode(states: DataFrame, leaves: DataFrame, steps: int, seed: int = 0) -> DataFrame:
-    """Decode facts for every state(state, n) at once: up to n facts each, without repeats, scores from a hash of state, step and token.
+    """Decode facts for every state(state, n) at once: up to n facts each, without repeats, scores from the md5 of seed, state, step and token (the least is best).
 
     If states has initial, an array of tokens, each fact of the state begins with them; a token of it that isn't allowed ends the state as REFUSED.
 
     All states advance one token a step by an equi-join of their prefix with the edges, less what their own emitted facts take away;
-    a fact that ends is emitted and its state starts anew. Stops after steps at most, or when no state is left.
-    Returns state, ordinal, tokens, status: COMPLETE, or EXHAUSTED for a state that has no continuation left, or REFUSED.
+    a fact that ends is emitted and its state starts anew. What an emitted fact takes is added to a table of its own, so that a step reads each fact's edges only once.
+    Stops after steps at most, or when no state is left. Returns state, ordinal, tokens, status: COMPLETE, EXHAUSTED for a state that has no continuation left,
+    REFUSED, or UNFINISHED for what a state still live after the last step has got so far.
     """
     edge = lineage.cut(trie.edges(leaves, leaves=True).select("prefix", "next_token", "numleaves"))
+    whole = leaves.select(F.col("tokens").alias("grown"), F.lit(True).alias("whole"))
     nothing = F.expr("slice(array(''), 1, 0)")
     initial = F.coalesce("initial", nothing) if "initial" in states.columns else nothing
     live = states.select("state", "n", initial.alias("initial"), nothing.alias("prefix"), F.lit(0).alias("done")).where("n > 0")
     forced = F.when(F.size("prefix") < F.size("initial"), F.get("initial", F.size("prefix")))
-    out = live.limit(0).select("state", F.col("done").alias("ordinal"), F.col("prefix").alias("tokens"), F.lit("COMPLETE").alias("status"))
+    out: list[DataFrame] = []
+    taken = None
     for step in range(steps):
-        taken = out.where("status = 'COMPLETE'").select("state", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("k"))
-        taken = taken.groupBy("state", F.slice("tokens", F.lit(1), F.col("k")).alias("prefix"), F.element_at("tokens", F.col("k") + 1).alias("next_token")).agg(F.count("*").alias("gone"))
-        options = live.join(edge, "prefix").join(taken, ["state", "prefix", "next_token"], "left").where("numleaves > coalesce(gone, 0)").where(forced.isNull() | (forced == F.col("next_token")))
-        score = F.xxhash64(F.lit(seed), "state", F.lit(step), "next_token")
+        options = live.join(edge, "prefix").where(forced.isNull() | (forced == F.col("next_token")))
+        if taken is not None:
+            options = options.join(taken, ["state", "prefix", "next_token"], "left").where("numleaves > coalesce(gone, 0)")
+        score = F.md5(F.concat_ws(":", F.lit(seed), "state", F.lit(step), "next_token"))
         chosen = options.groupBy("state").agg(F.min_by("next_token", F.struct(score.alias("s"), F.col("next_token").alias("t"))).alias("token"))
         moved = live.join(chosen, "state", "left").withColumn("grown", F.when(F.col("token").isNotNull(), F.concat("prefix", F.array("token"))).otherwise(F.col("prefix")))
-        whole = leaves.select(F.col("tokens").alias("grown"), F.lit(True).alias("whole"))
         moved = lineage.cut(moved.join(whole, "grown", "left").withColumn("ends", F.coalesce(F.col("whole") & F.col("token").isNotNull(), F.lit(False))))
         status = F.when(F.col("token").isNotNull(), "COMPLETE").when(forced.isNotNull(), "REFUSED").otherwise("EXHAUSTED")
-        out = lineage.cut(out.unionByName(moved.where("ends or token is null").select("state", F.col("done").alias("ordinal"), F.col("grown").alias("tokens"), status.alias("status"))))
+        out.append(moved.where("ends or token is null").select("state", F.col("done").alias("ordinal"), F.col("grown").alias("tokens"), status.alias("status")))
+        emitted = moved.where("ends").select("state", F.col("grown").alias("tokens"))
+        if not emitted.isEmpty():
+            steps_of = emitted.select("state", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)).alias("k"))
+            new = steps_of.select("state", F.slice("tokens", F.lit(1), F.col("k")).alias("prefix"), F.element_at("tokens", F.col("k") + 1).alias("next_token"), F.lit(1).cast("long").alias("gone"))
+            taken = lineage.cut((new if taken is None else taken.unionByName(new)).groupBy("state", "prefix", "next_token").agg(F.sum("gone").alias("gone")))
         live = moved.where("token is not null").select("state", "n", "initial", F.when(F.col("ends"), nothing).otherwise(F.col("grown")).alias("prefix"), (F.col("done") + F.col("ends").cast("int")).alias("done")).where("done < n")
         if live.isEmpty():
             break
-    return out
+    rest = live.select("state", F.col("done").alias("ordinal"), F.col("prefix").alias("tokens"), F.lit("UNFINISHED").alias("status"))
+    for part in out:
+        rest = rest.unionByName(part)
+    return rest

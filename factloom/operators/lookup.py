@@ -22,10 +22,10 @@ def next_tokens(probes: DataFrame, leaves: DataFrame, edge: DataFrame | None = N
 
     leaves(tokens) are distinct and maximal. A probe that is a leaf, or goes past one, is COMPLETE; one that leaves the tree is NOT_FOUND; without leaves all are EMPTY.
     """
-    edge = trie.edges(leaves, leaves=True) if edge is None else edge
+    p = probes.select("probe").distinct()
+    edge = trie.edges_at(p, leaves) if edge is None else edge.join(p, F.col("prefix") == F.col("probe"), "left_semi")
     node = trie.nodes(edge).select("key", "next")
     some = leaves.limit(1).select(F.lit(True).alias("any"))
-    p = probes.select("probe").distinct()
     # prefixes of a probe, itself included, against the leaves: the one equi-join that finds leaves which a probe reaches or passes
     reach = p.select("probe", F.explode(F.sequence(F.lit(1), F.size("probe"))).alias("k")).where(F.size("probe") > 0).select("probe", F.slice("probe", F.lit(1), F.col("k")).alias("head"))
     done = reach.join(leaves.select(F.col("tokens").alias("head")), "head", "left_semi").select("probe").distinct().withColumn("done", F.lit(True))
@@ -55,20 +55,19 @@ def subtract_used(possible: DataFrame, used: DataFrame, keys: list[str]) -> Data
     return possible.join(u, [*keys, "next_token"], "left").select(*keys, "next_token", left.alias("numleaves")).where("numleaves > 0")
 
 
-def persisted_next_tokens(probes: DataFrame, node: DataFrame, suffixes: DataFrame, switch: int) -> DataFrame:
-    """Look-up in the depth-cut form: probe and next. Probes shorter than switch read nodes, others the suffixes of their key; not found is an empty map.
+def persisted_next_tokens(probes: DataFrame, edge: DataFrame, suffixes: DataFrame, switch: int) -> DataFrame:
+    """Look-up in the depth-cut form: probe and next. Probes shorter than switch read edges, others the suffixes of their key; not found is an empty map.
 
-    Rows of a key that several batches wrote are added up.
+    Rows of an edge that several batches wrote are added up. Suffixes are expanded and counted only as deep as the probes of their key go, then meet them by equality,
+    so that many probes of a hot key don't multiply with its suffixes.
     """
     p = probes.select("probe").distinct()
-    rows = node.select("key", F.explode("next").alias("token", "n")).groupBy("key", "token").agg(F.sum("n").alias("n"))
-    short = p.where(F.size("probe") < switch).join(rows, F.col("probe") == F.col("key")).select("probe", "token", "n")
-    rest = F.expr(f"slice(probe, {switch + 1}, size(probe))")
-    deep = p.where(F.size("probe") >= switch).select("probe", F.slice("probe", 1, switch).alias("key"), rest.alias("rest")).join(suffixes, "key")
-    deep = deep.where((F.size("suffix") > F.size("rest")) & (F.slice("suffix", F.lit(1), F.size("rest")) == F.col("rest")))
-    deep = deep.groupBy("probe", F.element_at("suffix", F.size("rest") + 1).alias("token")).agg(F.count("*").alias("n"))
-    maps = short.unionByName(deep).groupBy("probe").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "n")))).alias("next"))
-    return p.join(maps, "probe", "left").select("probe", F.coalesce("next", _no_tokens(rows.schema["token"].dataType.simpleString())).alias("next"))
+    short = p.where(F.size("probe") < switch).join(edge.select("prefix", "next_token", "numleaves"), F.col("probe") == F.col("prefix"))
+    short = short.groupBy("probe", "next_token").agg(F.sum("numleaves").alias("numleaves"))
+    deep = trie.edges_at(p.where(F.size("probe") >= switch), trie.rooted(suffixes), switch).select(F.col("prefix").alias("probe"), "next_token", "numleaves")
+    pairs = F.sort_array(F.collect_list(F.struct("next_token", "numleaves")))
+    maps = short.unionByName(deep).groupBy("probe").agg(F.map_from_entries(pairs).alias("next"))
+    return p.join(maps, "probe", "left").select("probe", F.coalesce("next", _no_tokens(edge.schema["next_token"].dataType.simpleString())).alias("next"))
 
 
 class PointReader:

@@ -93,22 +93,28 @@ def quotas(counts: dict, size: int | None = None, fraction: float | None = None)
 
 
 def stratified_sample(df: DataFrame, columns: list[str], key: str, size: int | None = None, fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """A sample of exactly the size, its strata in proportion. Null values are a stratum of their own.
+    """A sample of exactly the size, its strata in proportion, as quotas() has it. Null values are a stratum of their own.
 
-    A first cut by the lot keeps each stratum's sort within a bounded number of rows: only rows whose lot is below a threshold that surely covers the quota are ranked.
+    Quotas come from the counts of the strata by windows, as many rows as there are strata. A first cut by the lot keeps each stratum's sort within a bounded number of rows:
+    only rows whose lot is below a threshold that surely covers the quota are ranked.
     """
-    counts = {tuple(r[c] for c in columns): r["__n"] for r in df.groupBy(*columns).agg(F.count("*").alias("__n")).collect()}  # strata, not rows
-    take = quotas(counts, size, fraction)
-    spark = df.sparkSession
-    # the quota's share of the stratum plus eight standard deviations, as a 60-bit threshold of the lot
-    rows = [(*k, n, min(1.0, (n + 8 * (n**0.5) + 16) / counts[k])) for k, n in take.items() if n]
-    schema = ", ".join(f"__s{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(columns)) + ", __take long, __share double"
+    if (size is None) == (fraction is None):
+        raise ValueError("give exactly one of size and fraction")
+    names = [f"__s{i}" for i in range(len(columns))]
+    counts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]).agg(F.count("*").alias("__n"))
+    every = Window.partitionBy(F.lit(0))
+    total = F.sum("__n").over(every)
+    wanted = F.floor(total * F.lit(fraction) + 0.5) if size is None else F.lit(size)
+    shares = counts.withColumn("__size", F.least(total, wanted.cast("long"))).withColumn("__all", total).withColumn("__product", F.col("__n").cast("decimal(38,0)") * F.col("__size"))
+    shares = shares.withColumn("__base", F.expr("cast(__product div __all as bigint)")).withColumn("__left", F.expr("cast(__product % __all as bigint)"))
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__left"), *[F.asc_nulls_first(n) for n in names]))
+    shares = shares.withColumn("__take", F.col("__base") + (rank <= F.col("__size") - F.sum("__base").over(every)).cast("long")).where("__take > 0")
+    # the quota's share of the stratum plus eight standard deviations, as a threshold of the lot
+    shares = shares.select(*names, "__take", F.least(F.lit(1.0), (F.col("__take") + 8 * F.sqrt("__take") + 16) / F.col("__n")).alias("__share"))
     on = F.lit(True)
-    for i, c in enumerate(columns):
-        on = on & df[c].eqNullSafe(F.col(f"__s{i}"))
-    order = lot(seed, F.col(key))
-    joined = df.join(F.broadcast(spark.createDataFrame(rows, schema)), on).withColumn("__lot", order)
-    near = joined.where(F.conv(F.substring("__lot", 1, 12), 16, 10).cast("double") / float(1 << 48) <= F.col("__share"))
+    for c, n in zip(columns, names, strict=True):
+        on = on & df[c].eqNullSafe(shares[n])
+    near = df.withColumn("__lot", lot(seed, F.col(key))).join(shares, on).where(F.conv(F.substring("__lot", 1, 12), 16, 10).cast("double") / float(1 << 48) <= F.col("__share"))
     w = Window.partitionBy(*columns).orderBy("__lot", key)
     return near.withColumn("__rank", F.row_number().over(w)).where("__rank <= __take").select(*df.columns)
 

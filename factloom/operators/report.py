@@ -150,6 +150,19 @@ def resume(todo: DataFrame, done: DataFrame, index: str) -> DataFrame:
     return todo.join(done.select(index), index, "left_anti")
 
 
+def resume_run(todo: DataFrame, done: DataFrame, index: str, header: DataFrame, now: dict[str, str], fields: list[str]) -> DataFrame:
+    """What a run still has to do: todo without the rows of its log, whose header(header) must agree with the run's own metadata in fields; raises ValueError if it doesn't."""
+    own = F.create_map(*[F.lit(x) for kv in now.items() for x in kv])
+    if not header.where(~T.same_run(F.col("header"), own, fields)).isEmpty():
+        raise ValueError("the log is of another run")
+    return resume(todo, done, index)
+
+
+def by_model(df: DataFrame, column: str = "model") -> DataFrame:
+    """Rows in the order of their model, each with its place from 0, for reports; models are few."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(column)) - 1).orderBy("place")
+
+
 def latex(df: DataFrame, caption: str = "") -> str:
     """A small result as a LaTeX table. Collects it."""
     rows = [df.columns, *[["" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v) for v in r] for r in df.collect()]]

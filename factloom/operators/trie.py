@@ -9,22 +9,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lineage
+
+
+#: Sequences that share their first two tokens up to which one window sorts them, and how many larger groups there are at most.
+HOT, HOT_GROUPS = 1_000_000, 10_000
+
 
 def maximal_leaves(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:
     """The distinct sequences that are no strict prefix of another. Empty sequences are none.
 
     In sorted order a sequence is a strict prefix of another exactly if it is one of its successor, so one window replaces
     a join with all prefixes. Sequences are windowed by their first two tokens (a sequence of one token goes to its own window, and
-    is tested against the first tokens of the longer ones).
+    is tested against the first tokens of the longer ones); groups too large for one task are sorted by ranges instead.
     """
-    distinct = sequences.select(F.col(tokens).alias("tokens")).where(F.size("tokens") > 0).distinct()
-    first, size = F.element_at("tokens", 1), F.size("tokens")
-    longer = distinct.where(size > 1)
-    w = Window.partitionBy(F.element_at("tokens", 1), F.element_at("tokens", 2)).orderBy("tokens")
-    after = F.lead("tokens").over(w)
-    kept = longer.withColumn("after", after).where(F.col("after").isNull() | (F.slice("after", 1, size) != F.col("tokens"))).select("tokens")
-    single = distinct.where(size == 1).join(longer.select(first.alias("head")).distinct(), first == F.col("head"), "left_anti")
-    return kept.unionByName(single.select("tokens"))
+    return _maximal(sequences.select(F.col(tokens).alias("tokens")), [])
+
+
+def _maximal(sequences: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct rows (keys, tokens) whose tokens no other row of the same keys continues."""
+    rows = sequences.where(F.size("tokens") > 0)
+    first, second, size = F.element_at("tokens", 1), F.element_at("tokens", 2), F.size("tokens")
+    longer = rows.where(size > 1).withColumns({"t1": first, "t2": second})
+    group = [*keys, "t1", "t2"]
+    sizes = longer.groupBy(*group).agg(F.count("*").alias("n"))
+    hot = sizes.where(F.col("n") > HOT)
+    if hot.isEmpty():
+        kept = _windowed(longer.select(*group, "tokens").distinct(), group)
+    else:
+        least = max(HOT, -(-longer.count() // HOT_GROUPS))
+        large = F.broadcast(sizes.where(F.col("n") > least).select(*group))  # HOT_GROUPS rows at most
+        kept = _windowed(longer.join(large, group, "left_anti").select(*group, "tokens").distinct(), group).unionByName(_ranged(longer.join(large, group, "left_semi").select(*group, "tokens"), group))
+    heads = longer.select(*keys, F.col("t1").alias("head")).distinct()
+    single = rows.where(size == 1).select(*keys, "tokens", first.alias("head")).distinct().join(heads, [*keys, "head"], "left_anti")
+    return kept.select(*keys, "tokens").unionByName(single.select(*keys, "tokens"))
+
+
+def _windowed(distinct: DataFrame, group: list[str]) -> DataFrame:
+    after = F.lead("tokens").over(Window.partitionBy(*group).orderBy("tokens"))
+    return distinct.withColumn("after", after).where(F.col("after").isNull() | (F.slice("after", 1, F.size("tokens")) != F.col("tokens"))).drop("after")
+
+
+def _ranged(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Likewise of rows that may repeat, in ranges of the sorted rows, whatever they share: only the first row of each range is needed beyond it."""
+    local = lineage.cut(rows.repartitionByRange(*group, "tokens").withColumn("part", F.spark_partition_id()))  # ranges hold only as long as rows don't move
+    distinct = local.distinct()
+    starts = local.groupBy("part").agg(F.min(F.struct(*group, "tokens")).alias("start"))  # as many as there are ranges
+    following = starts.select((F.dense_rank().over(Window.orderBy("part")) - 1).alias("place"), "part", "start")
+    following = following.select("part", F.lead("start").over(Window.orderBy("place")).alias("start"))
+    inside = F.lead(F.struct(*group, "tokens")).over(Window.partitionBy("part").orderBy(*group, "tokens"))
+    seen = distinct.withColumn("inside", inside).join(F.broadcast(following), "part").withColumn("next", F.coalesce("inside", "start"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"next.{g}"))
+    continued = F.col("next").isNotNull() & same & (F.slice("next.tokens", 1, F.size("tokens")) == F.col("tokens"))
+    return seen.where(~F.coalesce(continued, F.lit(False))).select(*group, "tokens")
 
 
 def _explode(leaves: DataFrame, depth: int | None, count: Column) -> DataFrame:
@@ -61,6 +100,23 @@ def level_sizes(visits: DataFrame, node_bytes: int = 64, edge_bytes: int = 16) -
     return out.select("level", "nodes", "min", "max", "mean", *[F.col("q")[k].alias(n) for k, n in enumerate(("q75", "q90", "q99"))])
 
 
+def edges_at(probes: DataFrame, leaves: DataFrame, head: int = 1) -> DataFrame:
+    """Only the edges below probes(probe), of leaves(tokens), distinct and maximal.
+
+    Leaves are cut down to those that begin with the first head tokens of a probe, and only as deep as its probes go; a probe of fewer tokens than head must be the root.
+    """
+    p = probes.select("probe").distinct()
+    first = lambda c: F.slice(c, 1, head)
+    heads = p.where(F.size("probe") >= head).groupBy(first("probe").alias("head")).agg(F.max(F.size("probe")).alias("most"))
+    near = leaves.join(heads, first("tokens") == F.col("head")).where(F.size("tokens") > head)
+    deep = near.select("tokens", F.explode(F.sequence(F.lit(head), F.least(F.size("tokens") - 1, "most"))).alias("depth"))
+    deep = deep.select(F.slice("tokens", F.lit(1), F.col("depth")).alias("prefix"), "depth", F.element_at("tokens", F.col("depth") + 1).alias("next_token"))
+    deep = deep.join(p, F.col("prefix") == F.col("probe"), "left_semi").groupBy("prefix", "depth", "next_token").agg(F.count("*").alias("numleaves"))
+    root = leaves.groupBy(F.element_at("tokens", 1).alias("next_token")).agg(F.count("*").alias("numleaves"))
+    root = root.select(F.slice(F.array("next_token"), 1, 0).alias("prefix"), F.lit(0).alias("depth"), "next_token", "numleaves").join(p, F.col("prefix") == F.col("probe"), "left_semi")
+    return deep.unionByName(root)
+
+
 def nodes(edge: DataFrame) -> DataFrame:
     """key, depth, numleaves and next, the map from tokens to leaves."""
     kv = F.sort_array(F.collect_list(F.struct("next_token", "numleaves")))
@@ -68,12 +124,14 @@ def nodes(edge: DataFrame) -> DataFrame:
 
 
 def depth_cut(sequences: DataFrame, switch: int) -> tuple[DataFrame, DataFrame]:
-    """The persisted form: nodes of keys shorter than switch tokens, and suffixes(key, suffix) of what leaves hold below keys of switch tokens.
+    """The persisted form: edges below prefixes shorter than switch tokens, and suffixes(key, suffix) of what leaves hold below keys of switch tokens.
+
+    Edges stay rows, one for each child, so that no row grows with a node's children; nodes() makes maps of them.
 
     With a root token in front of every key, as the original counts, its switch parameter is one more than ours.
     """
     leaves = maximal_leaves(sequences)
-    upper = nodes(edges(leaves, depth=switch, leaves=True))
+    upper = edges(leaves, depth=switch, leaves=True)
     lower = leaves.where(F.size("tokens") > switch).select(F.slice("tokens", 1, switch).alias("key"), F.expr(f"slice(tokens, {switch + 1}, size(tokens))").alias("suffix"))
     return upper, lower
 
@@ -98,10 +156,7 @@ def merge_edges(*trees: DataFrame) -> DataFrame:
 
 def batch_summed(sequences: DataFrame, batch: str = "batch") -> DataFrame:
     """Edges of trees built for each batch alone, added up."""
-    distinct = sequences.select(batch, "tokens").where(F.size("tokens") > 0).distinct()
-    w = Window.partitionBy(batch, F.element_at("tokens", 1)).orderBy("tokens")
-    kept = distinct.withColumn("after", F.lead("tokens").over(w)).where(F.col("after").isNull() | (F.slice("after", 1, F.size("tokens")) != F.col("tokens")))
-    return _explode(kept.select("tokens"), None, F.count("*"))
+    return _explode(_maximal(sequences.select(batch, "tokens"), [batch]).select("tokens"), None, F.count("*"))
 
 
 def recount(edge: DataFrame) -> DataFrame:

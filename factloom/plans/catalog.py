@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -298,12 +299,21 @@ def greedy_walk(spark, sf):
     return walk.select(F.col("step").cast("long").alias("step"), spaced("tokens").alias("tokens"), "numleaves")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FACTS},
+live AS (
+  SELECT 0 AS step, n_nationkey::BIGINT AS state, []::VARCHAR[] AS prefix, []::VARCHAR[][] AS done, NULL::VARCHAR[] AS emitted FROM nation
+  UNION ALL
+  SELECT step + 1, state, CASE WHEN emitted IS NULL THEN grown ELSE []::VARCHAR[] END, CASE WHEN emitted IS NULL THEN done ELSE list_append(done, emitted) END, emitted
+  FROM (SELECT o.step, o.state, o.done, list_append(o.prefix, o.t) AS grown, (SELECT tok FROM leaves WHERE tok = list_append(o.prefix, o.t) LIMIT 1) AS emitted
+    FROM (SELECT l.step, l.state, l.prefix, l.done, arg_min(tok[len(prefix) + 1], md5('3:' || state || ':' || step || ':' || tok[len(prefix) + 1])) AS t
+      FROM live l JOIN leaves ON len(tok) > len(l.prefix) AND tok[1:len(l.prefix)] = l.prefix AND NOT list_contains(l.done, tok)
+      WHERE len(l.done) < 2 AND l.step < 40 GROUP BY ALL) o))
+SELECT state, (len(done) - 1)::INT AS ordinal, array_to_string(emitted, ' ') AS tokens, 'COMPLETE' AS status FROM live WHERE emitted IS NOT NULL""")
 def constrained_decode(spark, sf):
-    """Two facts for each nation's state, none twice; scores are hashes, which SQL elsewhere lacks."""
+    """Two facts for each nation's state out of all facts, none twice; scores are hashes."""
     states = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("state"), F.lit(2).alias("n"))
-    seqs = sequences(spark, sf).where(F.element_at("tokens", 2) == "<in")
-    return decode.constrained_decode(states, trie.maximal_leaves(seqs).select("tokens"), 40, seed=3).select("state", "ordinal", spaced("tokens").alias("tokens"), "status")
+    leaves = trie.maximal_leaves(sequences(spark, sf)).select("tokens")
+    return decode.constrained_decode(states, leaves, 40, seed=3).select("state", "ordinal", spaced("tokens").alias("tokens"), "status")
 
 
 @query(f"WITH {_SCORES} SELECT state, CASE WHEN arg_max(token, (score, -token)) IN (1, 2) THEN 'yes' ELSE 'no' END AS decision FROM s WHERE token IN (1, 2, 3, 4) GROUP BY state")
@@ -443,13 +453,17 @@ def event_types(spark: SparkSession, sf: str) -> list[str]:
     return found
 
 
-@query("""PIVOT (SELECT user_id, event_type, event_id, value FROM events) ON event_type USING round(arg_min(value, event_id) * 100, 6) GROUP BY user_id""")
+#: The event types of the tables, for SQL that can't find out its columns.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query("SELECT user_id, " + ", ".join(f"round(arg_min(value, event_id) FILTER (WHERE event_type = '{t}') * 100, 6) AS {t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id")
 def pivot_first(spark, sf):
     out = report.pivot_first(table(spark, sf, "events"), "user_id", "event_type", "value", "event_id", event_types(spark, sf), 100.0)
     return out.select(*[F.round(c, 6).alias(c) if c != "user_id" else F.col(c) for c in out.columns])
 
 
-@query("""PIVOT (SELECT user_id, event_type, event_id FROM events) ON event_type USING coalesce(max(event_id)::VARCHAR, '--') GROUP BY user_id""")
+@query("SELECT user_id, " + ", ".join(f"coalesce((max(event_id) FILTER (WHERE event_type = '{t}'))::VARCHAR, '--') AS {t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id")
 def pivot_last(spark, sf):
     return report.pivot_last(table(spark, sf, "events"), "user_id", "event_type", "event_id", "event_id", event_types(spark, sf))
 
@@ -589,15 +603,8 @@ def reward_scores(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.round(score, 9).alias("score"))
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, ascii(text)::INT AS head FROM documents WHERE text <> '' AND ascii(text) < 128")
-def utf8_tokens(spark, sf):
-    """Byte tokens: how many a text has, and the first where it is a character of one byte."""
-    t = tokens.utf8("text")
-    return table(spark, sf, "documents").where("text <> '' and ascii(text) < 128").select("doc_id", F.size(t).cast("long").alias("n_bytes"), F.element_at(t, 1).alias("head"))
-
-
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, TRY_CAST('0x' || substr(hex(encode(text)), 1, 2) AS INT) AS head FROM documents")
-def utf8_tokens_all(spark, sf):
+def utf8_tokens(spark, sf):
     """Byte tokens of every document: how many, and the first; of an empty text none, of a null one neither."""
     t = tokens.utf8("text")
     return table(spark, sf, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.size(t)).cast("long").alias("n_bytes"), F.get(t, F.lit(0)).alias("head"))
@@ -682,5 +689,9 @@ def merged_maps(spark, sf):
 def prefix_function(spark, sf):
     """Prefixes of each item by the SQL table function."""
     udtf.register(spark)
-    table(spark, sf, "benchmark").select("item_id", F.split("text", " ", -1).alias("tokens")).createOrReplaceTempView("factloom_items")
-    return spark.sql("SELECT item_id AS doc_id, array_join(p.prefix, ' ') AS prefix, cast(p.depth AS bigint) AS depth FROM factloom_items, LATERAL token_prefixes(tokens) p")
+    view = f"factloom_items_{uuid.uuid4().hex}"
+    table(spark, sf, "benchmark").select("item_id", F.split("text", " ", -1).alias("tokens")).createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"SELECT item_id AS doc_id, array_join(p.prefix, ' ') AS prefix, cast(p.depth AS bigint) AS depth FROM {view}, LATERAL token_prefixes(tokens) p")
+    finally:
+        spark.catalog.dropTempView(view)  # the plan holds what it read

@@ -8,12 +8,13 @@ import zipfile
 from urllib.parse import parse_qs, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import qa
 
+#: Columns of the files read here, and the parts of a stored analysis.
 PROPERTIES = "id string, label string, datatype string, types array<string>"
 PREDICTION = (
     "idx long, question string, answer_complete string, prediction string, full_prediction string, prompt string, full_sample string, triples array<string>, new_tokens_generated long, reached_max_tokens boolean"
@@ -40,16 +41,25 @@ def properties(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROPERTIES).json(path, multiLine=True)
 
 
-def log(spark: SparkSession, path: str, schema: str, header: str = "map<string,string>") -> tuple[DataFrame, DataFrame]:
-    """Header and rows of a JSON-lines log whose first line is the run's metadata: (path, header), (idx, columns of schema). idx counts rows from 0 within a file.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, line (its number from 0 within the file) and value of each line of text files, which may be split.
 
-    A file's first line is the one of its smallest offset, known by the block start that Spark reads it from and its order there; logs are read with one partition a file.
+    A block of a file is read in order by one task, so a line's number is the number of lines in the blocks before, plus its place within its own.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n", -1)).alias("line", "json")).where("json <> ''")
-    head = whole.where("line = 0").select("path", F.from_json("json", header).alias("header"))
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = lines.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(blocks.select("path", "start", "first", before.alias("before")), ["path", "start"]).select("path", (F.col("at") - F.col("first") + F.col("before")).alias("line"), "value")
+
+
+def log(spark: SparkSession, path: str, schema: str, header: str = "map<string,string>") -> tuple[DataFrame, DataFrame]:
+    """Header and rows of a JSON-lines log whose first line is the run's metadata: (path, header), (path, idx, columns of schema). idx counts rows from 0 within a file."""
+    lines = numbered_lines(spark, path)
+    head = lines.where("line = 0").select("path", F.from_json("value", header).alias("header"))
     names = [f.split()[0] for f in schema.split(", ")]
-    rows = whole.where("line > 0").select((F.col("line") - 1).cast("long").alias("idx"), F.from_json("json", schema).alias("row"))
-    return head, rows.select("idx", *[F.col(f"row.{n}").alias(n) for n in names if n != "idx"])
+    rows = lines.where("line > 0 and value <> ''").select("path", (F.col("line") - 1).cast("long").alias("idx"), F.from_json("value", schema).alias("row"))
+    return head, rows.select("path", "idx", *[F.col(f"row.{n}").alias(n) for n in names if n not in ("idx", "path")])
 
 
 def questions(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -114,12 +124,17 @@ def parse_url(url: str) -> dict:
 
 
 def open_index(spark: SparkSession, url: str) -> DataFrame:
-    """Nodes of a stored index: a table of factloom.sources.writers, or rows of (key, children, childrenleaves) over JDBC."""
+    """Edges (prefix, depth, next_token, numleaves) of a stored index: a table of factloom.sources.writers, or rows of (key, children, childrenleaves) over JDBC."""
     at = parse_url(url)
     if at["kind"] == "file":
-        return spark.read.parquet(f"{url}/nodes").select("key", "depth", "numleaves", "next")
+        return spark.read.parquet(f"{url}/edges").select("prefix", "depth", "next_token", "numleaves")
     if at["kind"] == "http":
         raise ValueError("an HTTP index answers single look-ups; read its table instead")
-    rows = spark.read.format("jdbc").options(url="jdbc:" + at["url"], dbtable=at["options"]["tablename"]).load()
-    child = rows.select("key", F.explode(F.arrays_zip("children", "childrenleaves")).alias("c")).groupBy("key", F.col("c.children").alias("token")).agg(F.sum("c.childrenleaves").alias("n"))
-    return child.groupBy("key").agg((F.size("key") - 1).alias("depth"), F.sum("n").alias("numleaves"), F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("next"))
+    return edges_of_rows(spark.read.format("jdbc").options(url="jdbc:" + at["url"], dbtable=at["options"]["tablename"]).load())
+
+
+def edges_of_rows(rows: DataFrame) -> DataFrame:
+    """Edges of rows of (key, children, childrenleaves), whose keys begin with a root token; rows of a key that several batches wrote are added up."""
+    child = rows.select("key", F.explode(F.arrays_zip("children", "childrenleaves")).alias("c"))
+    prefix = F.slice("key", F.lit(2), F.size("key"))
+    return child.groupBy(prefix.alias("prefix"), (F.size("key") - 1).alias("depth"), F.col("c.children").alias("next_token")).agg(F.sum("c.childrenleaves").alias("numleaves"))

@@ -1,7 +1,9 @@
 """Scalar functions, scores, samples, sources and the stream, on small inputs."""
 
 import json
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def test_matches(spark):
 
 
 def test_small_functions(spark):
-    assert column(spark, ["I have 1,200 and 3", "none"], T.last_number) == ["3", None]
+    assert column(spark, ["I have 3 and 1,200", "none", "4 . .", "."], T.last_number) == ["1,200", None, "4", "."]
     assert column(spark, ["so #### 1,200", "x"], T.marked_number) == ["1200", None]
     assert column(spark, ["/a/b_c_model.json"], T.model_name) == ["b c"]
     assert column(spark, ["Yes, it is", "no", None], T.fix_judge) == ["yes", "no", "no"]
@@ -80,9 +82,9 @@ def test_index_round_trip(spark, tmp_path):
     seqs = spark.createDataFrame([(["a", "b", "c"],), (["a", "b", "d"],), (["a", "x"],)], "tokens array<string>")
     writers.build_index(seqs, str(tmp_path / "index"), switch=2, config={"tokenizer": "words"})
     assert writers.index_config(spark, str(tmp_path / "index")) == {"switch": 2, "tokenizer": "words"}
-    nodes = readers.open_index(spark, str(tmp_path / "index"))
-    assert {tuple(r["key"]): r["next"] for r in nodes.collect()} == {(): {"a": 3}, ("a",): {"b": 2, "x": 1}}
-    assert dict(writers.disk_usage(spark, str(tmp_path / "index")))["nodes"] > 0
+    edges = readers.open_index(spark, str(tmp_path / "index"))
+    assert {(*r["prefix"], r["next_token"]): r["numleaves"] for r in edges.collect()} == {("a",): 3, ("a", "b"): 2, ("a", "x"): 1}
+    assert dict(writers.disk_usage(spark, str(tmp_path / "index")))["edges"] > 0
 
 
 def test_readers(spark, tmp_path):
@@ -105,6 +107,40 @@ def test_readers(spark, tmp_path):
         readers.parse_url("ftp://h/db")
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"{k} " + "x" * (k % 90) for k in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\n\nthree")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        rows = readers.numbered_lines(spark, f"{tmp_path}/*.txt").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {(r["path"][-5:], r["line"]): r["value"] for r in rows}
+    assert got == {**{("a.txt", k): x for k, x in enumerate(lines)}, ("b.txt", 0): "one", ("b.txt", 1): "", ("b.txt", 2): "three"} and len(rows) == len(got)
+
+
+def test_resume_refuses_another_run(spark):
+    todo, done = spark.range(5), spark.range(2)
+    head = spark.createDataFrame([({"model": "a", "note": "x"},)], "header map<string,string>")
+    assert report.resume_run(todo, done, "id", head, {"model": "a", "note": "y"}, ["model"]).count() == 3
+    with pytest.raises(ValueError):
+        report.resume_run(todo, done, "id", head, {"model": "b"}, ["model"])
+
+
+def test_samples_follow_their_quotas(spark):
+    r = random.Random(2)
+    rows = [(k, r.choice(["a", "b", None]), r.choice([1, 2, 3, None])) for k in range(500)]
+    df = spark.createDataFrame(rows, "id long, x string, y int")
+    for wanted in ({"size": 73}, {"fraction": 0.31}, {"size": 900}, {"size": 0}):
+        counts = Counter((x, y) for _, x, y in rows)
+        want = {k: n for k, n in qa.quotas(dict(counts), **wanted).items() if n}
+        got = Counter((x["x"], x["y"]) for x in qa.stratified_sample(df, ["x", "y"], "id", **wanted).collect())
+        assert got == want
+    assert qa.stratified_sample(df.limit(0), ["x"], "id", size=5).count() == 0
+
+
 def test_stream_modes(spark, tmp_path):
     rows = [(1, k, w) for k, w in enumerate("Fact: a b Fact: c".split())] + [(2, 0, "x")]
     spark.createDataFrame(rows, "key long, seq long, token string").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -124,6 +160,12 @@ def test_decode_exhausts(spark):
     assert {tuple(r["tokens"]) for r in out[:2]} == {("a", "b"), ("a", "c")}
 
 
+def test_decode_marks_what_it_leaves(spark):
+    leaves = trie.maximal_leaves(spark.createDataFrame([(["a", "b", "c"],)], "tokens array<string>"))
+    out = decode.constrained_decode(spark.createDataFrame([(1, 1)], "state int, n int"), leaves, 2).collect()
+    assert [(r["ordinal"], r["tokens"], r["status"]) for r in out] == [(0, ["a", "b"], "UNFINISHED")]
+
+
 def test_command_lines(spark, tmp_path):
     from factloom import build_index, walk
 

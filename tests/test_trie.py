@@ -71,6 +71,23 @@ def test_other_counts(spark):
     assert rows(trie.batch_summed(batches))[(), 10] == 2
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_hot_groups_are_sorted_by_ranges(spark, monkeypatch, seed):
+    """All sequences share a prefix, so one group holds them all; its sort still goes over several tasks."""
+    seqs = [[7, 7, 7, *s] for s in random_sequences(seed)] + [[7], [7, 7], [8], [8, 8], [8, 8]]
+    want = {tuple(r["tokens"]) for r in trie.maximal_leaves(frame(spark, seqs)).collect()}
+    monkeypatch.setattr(trie, "HOT", 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = trie.maximal_leaves(frame(spark, seqs))
+    assert {tuple(r["tokens"]) for r in got.collect()} == want and got.count() == len(want)
+    longer = frame(spark, [s for s in seqs if len(s) > 2]).selectExpr("tokens[0] as t1", "tokens[1] as t2", "tokens")
+    parts = longer.repartitionByRange("t1", "t2", "tokens").selectExpr("spark_partition_id() as p").distinct().count()
+    assert parts > 1 and {tuple(r["tokens"]) for r in trie._ranged(longer, ["t1", "t2"]).collect()} == {t for t in want if len(t) > 2}
+    batches = frame(spark, seqs).selectExpr("1 as batch", "tokens").unionByName(frame(spark, seqs).selectExpr("2 as batch", "tokens"))
+    assert trie.size(trie.batch_summed(batches)) == 2 * len(want)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_depth_cut_round_trip_and_dump(spark):
     f = frame(spark, ADDED)
     upper, lower = trie.depth_cut(f, 6)
