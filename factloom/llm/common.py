@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -34,9 +35,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path  # for release()
+    for made in _tracked:
+        made.append(out)
     return out
 
 
+_tracked: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tracked() -> Iterator[list[DataFrame]]:
+    """The tables that materialize() writes meanwhile, for release() when nothing reads them any more."""
+    _tracked.append(made := [])
+    try:
+        yield made
+    finally:
+        _tracked.remove(made)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that none of columns has, in either case."""
     taken, name = {c.lower() for c in columns}, f"__{name}"
@@ -114,9 +130,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def labelled(linked: DataFrame, classes: DataFrame) -> DataFrame:
-    """node and component_id, the smallest doc of the component's classes(node, doc), for components() of nodes."""
+    """node, component and component_id, the smallest doc of the component's classes(node, doc), for components() of nodes."""
     least = linked.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
-    return linked.join(least, "component").select("node", "component_id")
+    return linked.join(least, "component").select("node", "component", "component_id")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

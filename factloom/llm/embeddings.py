@@ -189,7 +189,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_column: str = "
     linked = components(links.select("node", "root"))
     release(*found)
     known = (
-        classes.join(sums, "node", "left").join(labelled(linked, classes), "node", "left")
+        classes.join(sums, "node", "left").join(labelled(linked, classes).drop("component"), "node", "left")
         .select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "doc").alias("component_id"))
     )
     joined = linkable.select("vec_id", "c1", "c2").join(known, ["c1", "c2"]).select("vec_id", "n_links", "component_id")

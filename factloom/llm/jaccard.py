@@ -200,7 +200,7 @@ def _frequent(docs: DataFrame, sim: Similarity) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Written: doc_id, n, c1 and c2 (128 bits of the set), counts, fine counts, and prefix, the shingles whose cells the set goes into. A set that a task has met before in a row with a doc_id, and a row without one, come without prefix."""
+    """Written: doc_id, digest (a hash of the text), n, c1 and c2 (128 bits of the set), counts, fine counts, and prefix, the shingles whose cells the set goes into. A set that a task has met before in a row with a doc_id, and a row without one, come without prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, sim))
 
     def run(batches):
@@ -225,10 +225,10 @@ def _sets(docs: DataFrame, sim: Similarity) -> DataFrame:
                     prefix.append(None)
                 point.append(counts(s).tobytes())
                 fine.append(fine_counts(s))
-            columns = [b.column(0), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), *(pa.array(x, pa.binary()) for x in (point, fine, prefix))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "c1", "c2", "counts", "fine", "prefix"])
+            columns = [b.column(0), b.column(2), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), *(pa.array(x, pa.binary()) for x in (point, fine, prefix))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "c1", "c2", "counts", "fine", "prefix"])
 
-    return materialize(map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c1 long, c2 long, counts binary, fine binary, prefix binary"), "sets")
+    return materialize(map_arrow(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest long, n long, c1 long, c2 long, counts binary, fine binary, prefix binary"), "sets")
 
 
 def _shared_cells(sets: DataFrame) -> DataFrame:
@@ -401,6 +401,8 @@ def _tree_pairs(dealt: DataFrame, classes: DataFrame, linked: DataFrame, sim: Si
 def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity(4, 85, 100)) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_shingles, component_id, the smallest doc_id that links lead to.
 
+    Besides, digest, the xxhash64 of the text, and component, a number that tells components apart which share their smallest doc_id (null without one).
+
     Words are runs of anything but ASCII white space, A-Z lower-cased. Texts without a word, empty and null ones have no shingle and no link.
     Rows that share a doc_id are judged each by its own text, and link nothing by sharing it. Rows with a null doc_id have no component and link nothing. An empty table gives an empty result.
     No link between different sets is lost: cells, blocks and trees only drop pairs that can't link, and what is skipped within a component is connected already.
@@ -419,9 +421,10 @@ def jaccard_groups(docs: DataFrame, sim: Similarity = Similarity(4, 85, 100)) ->
     if not more.isEmpty():
         linked = components(links.union(more))
     release(dealt, links, more)
-    owner = full.select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "node", "doc"), ["c1", "c2"])
-    joined = owner.join(labelled(linked, classes), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
-    return joined.unionByName(sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    owner = full.select("doc_id", "digest", "n", "c1", "c2").join(classes.select("c1", "c2", "node", "doc"), ["c1", "c2"]).join(labelled(linked, classes), "node", "left")
+    columns = ("doc_id", F.col("n").alias("n_shingles"))
+    joined = owner.select(*columns, F.coalesce("component_id", "doc").alias("component_id"), "digest", F.coalesce("component", "node").alias("component"))
+    return joined.unionByName(sets.where("n = 0 or doc_id is null").select(*columns, F.col("doc_id").alias("component_id"), "digest", F.lit(None).cast("long").alias("component")))
 
 
 #: The letters that are lower-cased.

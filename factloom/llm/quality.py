@@ -95,12 +95,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Classifier:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Fit on about sample rows of labels(doc_id, quality) and their texts in docs(doc_id, text). Rows with nulls are left out."""
+    """Fit on about sample rows of labels(doc_id, quality) and one text each in docs(doc_id, text), of several the one of the least hash. Rows with nulls are left out."""
     labels = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality").distinct()
     n = labels.count()
     lot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     some = labels.where(lot < min(1.0, sample / max(n, 1))).select(F.col("doc_id").alias("labelled"), F.col("quality").cast("double").alias("quality"))
-    rows = docs.where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("labelled")).select("text", "quality")
+    rows = docs.where("text is not null").join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
+    rows = rows.groupBy("labelled", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("row")).select("row.text", "quality")  # doc_ids may repeat without bound
 
     def run(batches):
         for b in batches:

@@ -20,7 +20,7 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), jaccard.Similarity(words=4, num=85, den=100))
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), jaccard.Similarity(words=4, num=85, den=100)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

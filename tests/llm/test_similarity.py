@@ -230,6 +230,28 @@ def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark, sf):
     assert stages["quality"](spark, shared, sf).where(F.col("doc_id") == min(good)).count() == 1
 
 
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = ["__rejected", "__digest", "__gone", "__drops", "__of", "__id", "__n_lines", "__n_dropped", "__first", "digest", "n", "kept", "component", "first", "row", "host", "path", "d", "m", "r"]
+    df = docs.select("*", *[F.col("doc_id").alias(c) for c in odd]).cache()
+    df = df.unionByName(df.where("doc_id % 4 = 0")).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        df = stage(spark, df, sf).cache()
+        assert df.columns == docs.columns + odd, name
+        assert df.where("doc_id is not null").where(" or ".join(f"`{c}` <> doc_id" for c in odd)).isEmpty() and df.where("doc_id is null").count() == 1
+    assert df.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def test_run_releases_what_it_wrote(spark, sf):
+    import os
+
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://") + "/factloom"
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    out = corpus_pipeline.run(spark, sf)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(top)) - before}
+    assert out.count() and left <= {"pipeline-secrets", "pieces", "chunks", "units", "patterns"}, left
+
+
 def test_pipeline_repeated_and_null_rows(spark, sf):
     text = "some words that make up a document of a fair length, to be kept as it is\nanother line of it here"
     df = spark.createDataFrame([(1, text, "en", "s", 9), (1, text, "en", "s", 9), (2, text + " more", "en", "s", 9), (None, None, None, None, None), (None, text, None, None, None), (7, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
