@@ -23,6 +23,8 @@ BUCKETS = 1 << 15
 SAMPLE, SCALE = 3000, 4.0
 #: Languages that can be learned at most; their codewords have at least twice as many bits as their logarithm asks for.
 LANGUAGES = 4096
+#: 3-grams of a long text that are weighed at once.
+PART = 1 << 20
 #: A text is ambiguous when the best two codewords' shares differ by less.
 CLOSE = 0.2
 
@@ -50,7 +52,11 @@ _FOLD[ord("\n")] = ord(" ")
 
 def gram_buckets(data: bytes) -> np.ndarray:
     """Buckets of the byte 3-grams of a text, letters A-Z lower-cased, between two spaces."""
-    b = _FOLD[np.frombuffer(b" " + data + b" ", np.uint8)]
+    return _buckets(b" " + data + b" ")
+
+
+def _buckets(data: bytes) -> np.ndarray:
+    b = _FOLD[np.frombuffer(data, np.uint8)]
     h = (b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
@@ -131,11 +137,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], i
             if known:
                 margins = np.empty((len(known), w.shape[1]))
                 for row, k in enumerate(known):
-                    total, data = np.zeros(w.shape[1]), texts[k].encode()
-                    for at in range(0, len(data), 1 << 20):  # long texts in parts that share two bytes
-                        g = gram_buckets(data[at : at + (1 << 20) + 2])
-                        total += w[g].sum(0, dtype=np.float64)
-                    margins[row] = total / (len(data) + 2)
+                    total, data = np.zeros(w.shape[1]), b" " + texts[k].encode() + b" "
+                    for at in range(0, len(data) - 2, PART):  # long texts in parts that share two bytes
+                        total += w[_buckets(data[at : at + PART + 2])].sum(0, dtype=np.float64)
+                    margins[row] = total / len(data)
                 share = decode(margins, code) if w.shape[1] else np.ones((len(known), 1))
                 best = share.argmax(1)
                 top = np.sort(share, 1)

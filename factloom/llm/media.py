@@ -170,6 +170,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
 
 def parse(data: bytes) -> dict:
     """The markers of a baseline JPEG file up to its scan: width, height, components, tables, restart interval, comment, where the scan starts."""
+    try:
+        return _parse(data)
+    except (struct.error, IndexError) as e:
+        raise JpegError("a header that breaks off") from e
+
+
+def _parse(data: bytes) -> dict:
     if data[:2] != b"\xff\xd8":
         raise JpegError("no start of image")
     at, out = 2, {"quant": {}, "huffman": {}, "restart": 0, "comment": b""}
