@@ -15,10 +15,11 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("index", help="folder of the index; replaced if it is there")
     p.add_argument("--prefix", default="", help="put before every fact")
     p.add_argument("--switch", type=int, default=6, help="tokens of the longest stored key")
+    p.add_argument("--tokenizer", default="words", help="words, utf8, or a tokenizer's JSON file")
     p.add_argument("--limit", type=int, help="facts to read at most, to try things out")
     a = p.parse_args(args)
     lines = readers.fact_lines(session(), a.facts, a.prefix, limit=a.limit)
-    writers.build_index(lines.select(tokens.words("fact").alias("tokens")), a.index, a.switch, {"tokenizer": "words"})
+    writers.build_index(lines.select(tokens.tokenizer(a.tokenizer)("fact").alias("tokens")), a.index, a.switch, {"tokenizer": a.tokenizer})
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,9 +87,9 @@ def reward(prediction: Column, truth: Column, n_triples: Column, reasoning: list
     return F.when(n_triples > 0, F.least(total, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
-def question_overlap(question: Column, triples: Column, weight: float = 0.1) -> Column:
-    """The greatest word Jaccard of the question with one of the triples, times weight; 0 without triples."""
-    return F.coalesce(F.array_max(F.transform(triples, lambda t: word_jaccard(question, t))), F.lit(0.0)) * weight
+def question_overlap(question: Column, triples: Column, weight: float = 0.1, aggregate: Callable[[Column], Column] = F.array_max, extract: Callable[[Column], Column] = lambda t: t) -> Column:
+    """The word Jaccard of the question with what extract takes from each of the triples, as aggregate has it (the greatest), times weight; 0 without triples."""
+    return F.coalesce(aggregate(F.transform(triples, lambda t: word_jaccard(question, extract(t)))), F.lit(0.0)) * weight
 
 
 def utc_stamp(ts: Column) -> Column:

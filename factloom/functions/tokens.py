@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,37 @@ def utf8(text: Column | str) -> Column:
     return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
+def subwords(text: Column | str, path: str) -> Column:
+    """Ids of the tokenizer in a JSON file that every executor has, without special tokens; null of a null text. In Arrow batches, as the library is no JVM code."""
+    def ids(texts: pd.Series) -> pd.Series:
+        tokenizer = _tokenizer(path)
+        known = texts.fillna("").tolist()
+        found = [e.ids for e in tokenizer.encode_batch(known, add_special_tokens=False)]
+        return pd.Series([None if missing else x for missing, x in zip(texts.isna(), found, strict=True)])
+
+    return F.pandas_udf(ids, "array<int>")(F.col(text) if isinstance(text, str) else text)
+
+
+_tokenizers: dict = {}
+
+
+def _tokenizer(path: str):
+    """The tokenizer of a file, loaded once in a worker."""
+    if path not in _tokenizers:
+        from tokenizers import Tokenizer
+
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
+
+
+#: Tokenizers by name: functions from a text column to a column of tokens. Other names are files for subwords(); others can be registered.
+TOKENIZERS: dict[str, Callable[[Column | str], Column]] = {"words": words, "utf8": utf8}
+
+
+def tokenizer(name: str) -> Callable[[Column | str], Column]:
+    return TOKENIZERS.get(name) or (lambda text: subwords(text, name))
+
+
 def vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
     """word and id of the distinct words, ids dense in the order of words.
 

@@ -44,6 +44,11 @@ def keep_properties(props: DataFrame, keep_types: list[str], datatypes: tuple[st
     return props.where(F.col("datatype").isin(*datatypes) & (F.size(F.array_except(F.coalesce("types", F.array().cast("array<string>")), wanted)) == 0))
 
 
+def without_ids(props: DataFrame, label: str = "label", word: str = "ID") -> DataFrame:
+    """Properties whose label doesn't speak of an ID."""
+    return props.where(~F.coalesce(F.contains(F.col(label), F.lit(word)), F.lit(False)))
+
+
 def title(wiki_title: Column, label: Column, description: Column) -> Column:
     """The encyclopedia's title, else `label (description)` where both are there, else null."""
     return F.coalesce(wiki_title, F.when((label != "") & (description != ""), F.concat(label, F.lit(" ("), description, F.lit(")"))))

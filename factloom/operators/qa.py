@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,6 +66,12 @@ def questions_only(qa: DataFrame) -> DataFrame:
     return qa.select("idx", "question")
 
 
+def describe(qa: DataFrame, **attributes: str) -> DataFrame:
+    """One row: how many questions there are, and the set's attributes as JSON, sorted by name."""
+    told = json.dumps(attributes, sort_keys=True)
+    return qa.agg(F.count("*").alias("n"), F.lit(told).alias("config"))
+
+
 def start_from(qa: DataFrame, k: int, stop: int | None = None) -> DataFrame:
     rows = qa.where(F.col("idx") >= k)
     return rows if stop is None else rows.where(F.col("idx") < stop)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import lineage
+from . import lineage, series
 
 
 #: Sequences that share their first two tokens up to which one window sorts them, and how many larger groups there are at most.
@@ -95,9 +95,8 @@ def level_sizes(visits: DataFrame, node_bytes: int = 64, edge_bytes: int = 16) -
     """Of raw_visits: by depth, estimated bytes of its nodes' subtrees (own and all below): nodes, min, max, mean and the quantiles 0.75, 0.9, 0.99."""
     below = visits.select("prefix", "depth", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"))
     trees = below.groupBy("level", F.slice("prefix", F.lit(1), F.col("level")).alias("root")).agg((F.count("*") * node_bytes + (F.count("*") - 1) * edge_bytes).alias("bytes"))
-    q = F.percentile("bytes", F.array(F.lit(0.75), F.lit(0.9), F.lit(0.99)))
-    out = trees.groupBy("level").agg(F.count("*").alias("nodes"), F.min("bytes").alias("min"), F.max("bytes").alias("max"), F.avg("bytes").alias("mean"), q.alias("q"))
-    return out.select("level", "nodes", "min", "max", "mean", *[F.col("q")[k].alias(n) for k, n in enumerate(("q75", "q90", "q99"))])
+    out = series.summary(trees, "bytes", ["level"], (0.75, 0.9, 0.99))
+    return out.select("level", F.col("num").alias("nodes"), "min", "max", F.col("avg").alias("mean"), "q75", "q90", "q99")
 
 
 def edges_at(probes: DataFrame, leaves: DataFrame, head: int = 1) -> DataFrame:

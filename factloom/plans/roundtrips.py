@@ -85,6 +85,12 @@ def titles(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", facts.title(page, F.col("n_name"), told).alias("title"))
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE p_name NOT LIKE '%1%'")
+def labels_without_ids(spark, sf):
+    """Properties whose label lacks a word."""
+    return facts.without_ids(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "1")
+
+
 # logs and runs
 
 
@@ -310,6 +316,19 @@ def questions_plain(spark, sf):
     return q.withColumn("n", F.lit(q.count()))
 
 
+@query("""SELECT count(*) AS n, '{"name": "nations", "split": "test"}' AS config FROM nation""")
+def question_set_config(spark, sf):
+    return qa.describe(table(spark, sf, "nation"), split="test", name="nations")
+
+
+@query("""SELECT doc_id, round(list_avg(list_transform(['x ' || source, 'y ' || lang], lambda t: len(list_intersect([string_split(lower(t), ' ')[2]], [lower(source)])) / (2 - len(list_intersect([string_split(lower(t), ' ')[2]], [lower(source)])))::DOUBLE)), 9) AS overlap FROM documents""")
+def mean_overlap_of_parts(spark, sf):
+    """The mean word overlap of a question with the second word of each triple."""
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))) / F.size(x)
+    rows = table(spark, sf, "documents").select("doc_id", "source", F.array(F.concat(F.lit("x "), "source"), F.concat(F.lit("y "), "lang")).alias("t"))
+    return rows.select("doc_id", F.round(T.question_overlap(F.col("source"), F.col("t"), 1.0, mean, lambda t: F.split(t, " ")[1]), 9).alias("overlap"))
+
+
 # the stored index
 
 
@@ -390,6 +409,40 @@ def token_keys(spark, sf):
     return trie.maximal_leaves(sequences(spark, sf)).select(tokens.joined("tokens").alias("key"), F.size("tokens").cast("long").alias("length"))
 
 
+@query(f"WITH {FACTS} SELECT 0 AS depth, count(*) AS numleaves FROM leaves UNION ALL SELECT 1, count(*) FROM leaves")
+def subword_tree(spark, sf):
+    """Leaves of a tree of subword ids, at the root and one level down: as many as there are facts, whatever the ids."""
+    import public_tokenizers
+
+    ids = tokens.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    edge = trie.edges(fact_table(spark, sf).select(ids("fact").alias("tokens")), depth=2)
+    return edge.groupBy("depth").agg(F.sum("numleaves").alias("numleaves"))
+
+
+@query(f"""WITH {STEPS}, {PROBES} SELECT array_to_string(q, ' ') AS probe, t AS next_token, count(*) AS numleaves FROM probes JOIN steps ON p = q WHERE q IN ([]::VARCHAR[], ['<NATION_1>'], ['<NATION_1>', '<in', 'region>']) GROUP BY q, t""")
+def served_index(spark, sf):
+    """The same look-ups by a stored index and through its server, which must agree."""
+    import threading
+
+    from factloom.sources import served
+
+    path = stored_index(spark, sf)
+    stored = served.open_served(spark, path)
+    http = served.server({"facts": stored})
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    try:
+        client, rows = served.open_served(spark, f"http://127.0.0.1:{http.server_address[1]}/facts"), []
+        for prefix in ([], ["<NATION_1>"], ["<NATION_1>", "<in", "region>"]):
+            found = client.next_tokens(prefix)
+            if found != stored.next_tokens(prefix):
+                raise ValueError("the server and the index differ")
+            rows += [(" ".join(prefix), t, n) for t, n in found.items()]
+    finally:
+        http.shutdown()
+        http.server_close()
+    return spark.createDataFrame(rows, "probe string, next_token string, numleaves long")
+
+
 # decoding
 
 

@@ -70,10 +70,15 @@ def questions(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return qa.ADAPTERS[kind](spark.read.schema(schemas[kind]).json(path, multiLine=True))
 
 
-def dataset_path(name: str) -> str:
-    """A dataset's file below the folder that DATA_PATH names; it must be there. For local folders."""
-    path = os.path.join(os.environ.get("DATA_PATH", "."), name)
-    if not os.path.exists(path):
+def dataset_path(name: str, spark: SparkSession | None = None) -> str:
+    """A dataset's file below the folder that DATA_PATH names; it must be there. With a session, on any file system that Spark reads."""
+    path = f"{os.environ.get('DATA_PATH', '.').rstrip('/')}/{name}"
+    if spark is None:
+        there = os.path.exists(path)
+    else:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    if not there:
         raise FileNotFoundError(path)
     return path
 
@@ -129,7 +134,7 @@ def open_index(spark: SparkSession, url: str) -> DataFrame:
     if at["kind"] == "file":
         return spark.read.parquet(f"{url}/edges").select("prefix", "depth", "next_token", "numleaves")
     if at["kind"] == "http":
-        raise ValueError("an HTTP index answers single look-ups; read its table instead")
+        raise ValueError("an HTTP index answers single look-ups: see factloom.sources.served")
     return edges_of_rows(spark.read.format("jdbc").options(url="jdbc:" + at["url"], dbtable=at["options"]["tablename"]).load())
 
 

@@ -5,13 +5,14 @@ import random
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import scores
+from factloom.functions import scores, tokens
 from factloom.functions import text as T
-from factloom.operators import decode, facts, qa, report, trie
-from factloom.sources import readers, writers
+from factloom.operators import decode, facts, qa, report, series, trie
+from factloom.sources import readers, served, writers
 from factloom.streaming import modes
 
 
@@ -141,6 +142,67 @@ def test_samples_follow_their_quotas(spark):
     assert qa.stratified_sample(df.limit(0), ["x"], "id", size=5).count() == 0
 
 
+def test_quantiles_by_rank(spark):
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(20)])) for _ in range(700)] + [("one", 3)] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = {x["k"]: tuple(x[2:]) for x in series.summary(df, "v", ["k"], (0.0, 0.25, 0.9, 1.0)).select("k", "num", "q0", "q25", "q90", "q100").collect()}
+    for k in ("a", "b", None, "one"):
+        values = [v for key, v in rows if key == k and v is not None]
+        assert got[k] == pytest.approx([float(np.quantile(values, q)) for q in (0.0, 0.25, 0.9, 1.0)])
+    assert got["none"] == (None,) * 4
+    whole = series.summary(df, "v", quantiles=(0.5,)).first()
+    assert whole["q50"] == np.quantile([v for _, v in rows if v is not None], 0.5)
+
+
+def test_served_index_retries_and_refuses(spark, monkeypatch):
+    import threading
+    import urllib.error
+
+    class Shaky:
+        calls = 0
+
+        def next_tokens(self, prefix):
+            Shaky.calls += 1
+            if Shaky.calls == 1:
+                raise RuntimeError("once")
+            return {"a": len(prefix)}
+
+    http = served.server({"t": Shaky()})
+    monkeypatch.setattr(http, "handle_error", lambda *a: None)
+    threading.Thread(target=http.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{http.server_address[1]}"
+    assert served.open_served(spark, f"{url}/t").next_tokens(["x", "y"]) == {"a": 2} and Shaky.calls == 2
+    with pytest.raises(urllib.error.HTTPError):
+        served.HttpIndex(url, "other").next_tokens([])
+    http.shutdown()
+    http.server_close()
+    with pytest.raises(ValueError):
+        served.open_served(spark, "postgresql://h/db?tablename=t")
+    memory = served.MemoryIndex(trie.maximal_leaves(spark.createDataFrame([(["a", "b"],), (["a", "c"],)], "tokens array<string>")))
+    assert memory.next_tokens([]) == {"a": 2} and memory.next_tokens(["a"]) == {"b": 1, "c": 1} and memory.next_tokens(["z"]) == {}
+
+
+def test_dataset_paths(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.json").write_text("[]")
+    monkeypatch.setenv("DATA_PATH", str(tmp_path))
+    for session in (None, spark):
+        assert readers.dataset_path("x.json", session) == f"{tmp_path}/x.json"
+        with pytest.raises(FileNotFoundError):
+            readers.dataset_path("y.json", session)
+
+
+def test_tokenizers_by_name(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([("<a> <b c> .",), (None,), ("",)], "t string")
+    rows = df.select(tokens.tokenizer("words")("t").alias("w"), tokens.tokenizer("utf8")("t").alias("u"), tokens.tokenizer(path)("t").alias("s")).collect()
+    assert rows[0]["w"] == ["<a>", "<b", "c>", "."] and bytes(rows[0]["u"]) == b"<a> <b c> ."
+    assert rows[0]["s"] == Tokenizer.from_file(path).encode("<a> <b c> .", add_special_tokens=False).ids and rows[1]["s"] is None and rows[2]["s"] == []
+
+
 def test_stream_modes(spark, tmp_path):
     rows = [(1, k, w) for k, w in enumerate("Fact: a b Fact: c".split())] + [(2, 0, "x")]
     spark.createDataFrame(rows, "key long, seq long, token string").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -174,7 +236,7 @@ def test_command_lines(spark, tmp_path):
     assert sorted(out) == ["COMPLETE: <a> <p> <b> .", "COMPLETE: <a> <p> <c> .", out[-1]] and out[-1].startswith(("EXHAUSTED", "REFUSED"))
     assert walk.main([str(tmp_path / "facts.txt"), "--initial", "<x>"]) == ["REFUSED: "]
     build_index.main([str(tmp_path / "facts.txt"), str(tmp_path / "index"), "--switch", "2"])
-    assert readers.open_index(spark, str(tmp_path / "index")).where("depth = 0").first()["numleaves"] == 3
+    assert readers.open_index(spark, str(tmp_path / "index")).where("depth = 0").agg(F.sum("numleaves")).first()[0] == 3
 
 
 def test_analyses_pivot(spark, tmp_path):
