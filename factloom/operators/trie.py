@@ -6,6 +6,9 @@ A sequence that is a strict prefix of another is no leaf; repeats count once. Ot
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,35 @@ def edges(sequences: DataFrame, depth: int | None = None, leaves: bool = False)
     return _explode(sequences.select("tokens") if leaves else maximal_leaves(sequences), depth, F.count("*"))
 
 
+def compact_edges(leaves: DataFrame) -> DataFrame:
+    """Edges whose nodes are numbers instead of prefixes: parent, child (each 128 bits as two longs), depth, next_token, numleaves. The root is (0, 0).
+
+    A prefix's number is the sum of hashes of its tokens at their places, so all prefixes of a sequence cost its length, not the square of it; edges() with a depth suits
+    short prefixes, this one whole documents. leaves(tokens) are distinct and maximal. Sums come from Arrow batches, as SQL's would overflow.
+    """
+    kind = leaves.schema["tokens"].dataType.elementType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(0)
+            values, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            start = np.repeat(np.cumsum(size) - size, size)
+            depth = np.arange(len(values)) - start
+            out = {"depth": pa.array(depth.astype(np.int32)), "next_token": values}
+            raw = values.to_pandas().to_numpy()
+            for k, key in enumerate(("0123456789abcdef", "fedcba9876543210")):
+                x = pd.util.hash_array(raw, hash_key=key, categorize=False) + depth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(pd.util.hash_array(x + np.uint64(k)), dtype=np.uint64)])
+                first = total[start]
+                out[f"p{k}"] = pa.array((total[:-1] - first).view(np.int64))
+                out[f"c{k}"] = pa.array((total[1:] - first).view(np.int64))
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    rows = leaves.select("tokens").mapInArrow(run, f"depth int, next_token {kind}, p0 long, c0 long, p1 long, c1 long")
+    sums = rows.groupBy("depth", "p0", "p1", "c0", "c1", "next_token").agg(F.count("*").alias("numleaves"))
+    return sums.select(F.struct("p0", "p1").alias("parent"), F.struct("c0", "c1").alias("child"), "depth", "next_token", "numleaves")
+
+
 def edges_multiplicity(sequences: DataFrame, depth: int | None = None) -> DataFrame:
     """Edges in which every inserted sequence counts, repeats and strict prefixes too."""
     return _explode(sequences.select("tokens"), depth, F.count("*"))

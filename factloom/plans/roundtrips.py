@@ -403,6 +403,18 @@ def point_reads(spark, sf):
     return spark.createDataFrame(rows, "prefix string, next_token string, numleaves long")
 
 
+@query("""WITH docs AS (SELECT DISTINCT string_split(text, ' ') AS tok FROM documents WHERE text <> ''),
+leaves AS (SELECT tok FROM (SELECT tok, lead(tok) OVER (ORDER BY tok) AS nxt FROM docs) WHERE nxt IS NULL OR len(nxt) < len(tok) OR nxt[1:len(tok)] <> tok),
+near AS (SELECT tok, lag(tok) OVER (ORDER BY tok) AS before FROM leaves),
+shared AS (SELECT coalesce(list_position(list_transform(list_zip(tok, before), lambda x: x[1] IS NOT DISTINCT FROM x[2]), false) - 1, 0) AS n FROM near WHERE before IS NOT NULL)
+SELECT d AS depth, (sum(n))::BIGINT AS edges FROM (SELECT unnest(range(len(tok))) AS d, 1 AS n FROM leaves UNION ALL SELECT unnest(range(n)), -1 FROM shared) GROUP BY d""")
+def tree_widths(spark, sf):
+    """How many edges the tree of whole documents has at each depth, by neighbours' shared prefixes in SQL, by numbered nodes here."""
+    docs = table(spark, sf, "documents").where("text <> ''")
+    edge = trie.compact_edges(trie.maximal_leaves(docs.select(tokens.words("text").alias("tokens"))))
+    return edge.groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("edges"))
+
+
 @query(f"WITH {FACTS} SELECT array_to_string(tok, '.') AS key, len(tok)::BIGINT AS length FROM leaves")
 def token_keys(spark, sf):
     """Sequences as text keys."""

@@ -1,6 +1,7 @@
 """The trie against golden counts and a plain model."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,18 @@ def test_hot_groups_are_sorted_by_ranges(spark, monkeypatch, seed):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("text", [False, True])
+def test_numbered_nodes_are_the_same_tree(spark, text):
+    leaves = trie.maximal_leaves(frame(spark, random_sequences(1)))
+    if text:
+        leaves = leaves.select(F.transform("tokens", lambda t: F.concat(F.lit("w"), t)).alias("tokens"))
+    want = Counter((r["depth"], r["next_token"], r["numleaves"]) for r in trie.edges(leaves, leaves=True).collect())
+    rows = trie.compact_edges(leaves).collect()
+    assert Counter((r["depth"], r["next_token"], r["numleaves"]) for r in rows) == want
+    children, parents = {tuple(r["child"]) for r in rows}, {tuple(r["parent"]) for r in rows}
+    assert len(children) == len(rows) and parents <= children | {(0, 0)}
+
+
 def test_depth_cut_round_trip_and_dump(spark):
     f = frame(spark, ADDED)
     upper, lower = trie.depth_cut(f, 6)
