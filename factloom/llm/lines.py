@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_arrow, materialize, release, shared_dir
+from factloom.operators.lineage import shared_folder
+
+from .common import fresh, map_arrow, materialize, release
 
 #: What is stripped from a key, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -80,7 +82,7 @@ def _line_table(docs: DataFrame, least_chars: int) -> str:
     kind = docs.schema["doc_id"].dataType.simpleString()
     name = f"factloom_lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = f"{shared_dir(spark)}/factloom/{name}"
+    path = f"{shared_folder(spark)}/factloom/{name}"
     found = map_arrow(rows, run, f"chunk long, doc_id {kind}, digests binary, n long").where("n > 0")
     found.write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
     return name
@@ -170,7 +172,7 @@ def suspects(docs: DataFrame, least_chars: int) -> DataFrame:
         return materialize(_suspected(lines, replies(messages(lines, shape), shape), shape), "suspects")
     finally:
         spark.sql(f"DROP TABLE {name}")
-        release(f"{shared_dir(spark)}/factloom/{name}", spark=spark)
+        release(f"{shared_folder(spark)}/factloom/{name}", spark=spark)
 
 
 def _drops(found: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
