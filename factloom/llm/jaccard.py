@@ -7,9 +7,9 @@ boxes, then of points, that can't reach the similarity. What survives is verifie
 Counts of hashed shingles alone can't split a corpus between machines: all points of a size lie close together, and the tree would compare all
 with all. So trees are built in cells: a set goes into the cells of its rarest shingles, as many (all but the least overlap, plus one) that
 two similar sets meet in a cell for certain, whatever order "rarest" has; a sample of documents finds the frequent shingles that go last.
-Equal sets are one class before, known by 128 bits of its content. Every candidate comes out of a cell's tree, in two searches: the first asks the tree for what may link
-with the cell's first classes, by doc_id, which links groups of near copies in linear work; the second joins the tree with itself, without pairs of one component.
-No cell is cut short; a large one is dealt out in blocks, for the second search in pairs of blocks.
+Equal sets are one class before, known by 128 bits of its content. Every candidate comes out of a cell's tree, in two searches: the first takes what may link
+with the cell's first classes, by doc_id, and for each class the nearest few, by their bound, which joins groups of near copies with as many pairs as a few times their members;
+the second takes all pairs that may link and still lie in different components. No cell is cut short; a large one is dealt out in blocks, for the second search in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .common import BATCH_ROWS, components, grouped, labelled, map_arrow, materi
 GROUPS, LEAF, FAN = 64, 16, 8
 #: Frequent shingles that go last in the order, at most; the part of the documents that is sampled for them, and how many documents at least.
 FREQUENT, SAMPLE_PART, SAMPLE_LEAST = 200_000, 1 / 32, 8192
-#: Classes of a cell's block, and first classes of a block that the first search asks for.
-BLOCK, HUBS = 1024, 4
+#: Classes of a cell's block; first classes of a block, and nearest ones of each class, that the first search takes.
+BLOCK, HUBS, NEAREST = 1024, 2, 4
 #: Documents up to which the ids of those to verify are broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -144,18 +144,6 @@ class CountTree:
         keep = bound * (num + den) >= num * (low[i] + low[j])
         return i[keep], j[keep]
 
-    def near(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Points that may link with a given one."""
-        at = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            top, low, high, *_ = self.levels[level]
-            at = at[(high[at] * den >= size * num) & (size * den >= low[at] * num)]
-            at = at[np.minimum(top[at], point).sum(1, dtype=np.int64) * (num + den) >= num * (low[at] + size)]
-            if level:
-                at = (at[:, None] * self.steps[level - 1] + np.arange(self.steps[level - 1])).ravel()
-                at = at[at < len(self.levels[level - 1][0])]
-        return self.order[at]
-
     def pairs(self, num: int, den: int):
         """Yield arrays (i, j) of points, i < j by place, that may link."""
         frontier = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -341,8 +329,30 @@ def _points(t: pa.Table | pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, GROUPS)
 
 
+def nearest(points: np.ndarray, n: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows that may link by their counts: all of the first HUBS rows, and of each row the NEAREST with the greatest bound of similarity."""
+    found = [np.zeros((2, 0), np.int64)]
+    if len(n) > LEAF:
+        found += [np.stack([i, j]) for i, j in CountTree(points, n, np.arange(len(n))).pairs(sim.num, sim.den)]
+    else:  # the tree is one leaf
+        i, j = np.triu_indices(len(n), 1)
+        found.append(np.stack([i, j])[:, (n[i] * sim.den >= n[j] * sim.num) & (n[j] * sim.den >= n[i] * sim.num)])
+    x = open_ended(points)
+    i, j = np.concatenate(found, 1)
+    bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(x[i[k : k + 8192]], x[j[k : k + 8192]]).sum(1, dtype=np.int64) for k in range(0, len(i), 8192))])
+    keep = bound * (sim.num + sim.den) >= sim.num * (n[i] + n[j])
+    i, j, bound = i[keep], j[keep], bound[keep]
+    i, j, similar = np.minimum(i, j), np.maximum(i, j), bound / (n[i] + n[j])
+    take = i < HUBS
+    for one, two in ((i, j), (j, i)):
+        order = np.lexsort((two, -similar, one))
+        first = np.searchsorted(one[order], one[order])
+        take[order[np.arange(len(order)) - first < NEAREST]] = True
+    return i[take], j[take]
+
+
 def _near_first(dealt: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) of the first classes of a cell's block and what the block's tree finds near them. The cell's first class goes into every block."""
+    """Pairs (a, b) of nearest() in each block of each cell, in the order of doc. The cell's first class goes into every block."""
     blocks = F.when(F.col("is_first"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     rows = dealt.select("cell", F.explode(blocks).alias("block"), "doc", "node", "n", "counts")
 
@@ -352,20 +362,8 @@ def _near_first(dealt: DataFrame, sim: Similarity) -> DataFrame:
                 continue
             t = t.sort_by([("doc", "ascending"), ("node", "ascending")])
             node, n = t["node"].to_numpy(), t["n"].to_numpy()
-            points = _points(t)
-            x = open_ended(points)
-            tree = CountTree(points, n, node) if len(node) > LEAF else None  # else, the tree is one leaf
-            first, second = [], []
-            for at in range(min(HUBS, len(node) - 1)):
-                size = int(n[at])
-                if tree:
-                    found = tree.near(x[at], size, sim.num, sim.den)
-                else:
-                    found = np.flatnonzero((np.minimum(x, x[at]).sum(1, dtype=np.int64) * (sim.num + sim.den) >= sim.num * (n + size)) & (n * sim.den >= size * sim.num) & (size * sim.den >= n * sim.num))
-                found = node[found[found > at]]
-                first.append(np.full(len(found), node[at]))
-                second.append(found)
-            i, j = np.concatenate(first), np.concatenate(second)
+            i, j = nearest(_points(t), n, sim)
+            i, j = node[i], node[j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
     return rows.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(run, "a long, b long")
@@ -374,7 +372,7 @@ def _near_first(dealt: DataFrame, sim: Similarity) -> DataFrame:
 def _tree_pairs(dealt: DataFrame, classes: DataFrame, linked: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs (a, b) of different components that survive in the trees of the cells, and by their finer counts."""
     labels = dealt.select("cell", "node").join(linked, "node", "left").select("cell", F.coalesce("component", "node").alias("component"))
-    still_open = labels.groupBy("cell").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("members") > HUBS + 1).where("low <> high").select("cell")
+    still_open = labels.groupBy("cell").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("members >= 3 and low <> high").select("cell")
     rows = dealt.where("not is_first").join(still_open, "cell", "left_semi").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "component", "counts")
     rows = rows.join(classes.select("node", "fine"), "node").select("cell", "x", "y", "own", "node", "n", "component", "counts", "fine")

@@ -27,7 +27,7 @@ from .common import fresh, map_arrow, materialize, release
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bits that the filters have for a line, of a shard at least and at most, shards above which they grow, and lines of a chunk, about.
-BITS_PER_LINE, SHARD_BITS, MOST_BITS, SHARDS, CHUNK = 16, 1 << 22, 1 << 26, 4096, 1 << 19
+BITS_PER_LINE, SHARD_BITS, MOST_BITS, SHARDS, CHUNK = 16, 1 << 22, 1 << 26, 4096, 1 << 17
 #: Keys of so many documents or more are joined apart, and how many such keys there are at most.
 HOT_DOCS, HOT_KEYS = 1024, 10_000
 

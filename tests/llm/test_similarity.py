@@ -78,14 +78,24 @@ def test_an_id_with_two_texts_links_nothing(spark):
 
 def test_first_search_of_a_tree():
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 6, (6, jaccard.GROUPS))
-    points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(40)]).astype(np.uint16)
-    sizes = points.sum(1).astype(np.int64)
-    tree = jaccard.CountTree(points, sizes, np.arange(len(points)))
-    for at in range(0, len(points), 17):
-        both = np.minimum(points, points[at]).sum(1)
-        want = set(np.flatnonzero((both * 185 >= 85 * (sizes + sizes[at])) & (sizes * 100 >= 85 * sizes[at]) & (sizes[at] * 100 >= 85 * sizes)))
-        assert set(tree.near(points[at], int(sizes[at]), 85, 100)) == want
+    sim = jaccard.Similarity(4, 85, 100)
+    for size in (2, 9, 90):
+        base = rng.integers(0, 6, (6, jaccard.GROUPS))
+        points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(40)]).astype(np.uint16)[:size]
+        n = points.sum(1).astype(np.int64)
+        got = set(zip(*jaccard.nearest(points, n, sim), strict=True))
+        want = set()
+        for i in range(size):
+            near = []
+            for j in range(size):
+                both = int(np.minimum(points[i], points[j]).sum())
+                if i != j and both * 185 >= 85 * (n[i] + n[j]) and n[i] * 100 >= 85 * n[j] and n[j] * 100 >= 85 * n[i]:
+                    near.append((-both / (n[i] + n[j]), j))
+                    if min(i, j) < jaccard.HUBS:
+                        want.add((min(i, j), max(i, j)))
+            for side in ([x for x in near if x[1] > i], [x for x in near if x[1] < i]):
+                want |= {(min(i, j), max(i, j)) for _, j in sorted(side)[: jaccard.NEAREST]}
+        assert got == want
 
 
 def test_count_tree_loses_no_pair():
