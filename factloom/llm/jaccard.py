@@ -28,10 +28,12 @@ from .common import BATCH_ROWS, components, grouped, labelled, map_arrow, materi
 
 #: Groups of shingles, that is dimensions of the tree; points of a leaf; children of a box.
 GROUPS, LEAF, FAN = 64, 16, 8
+#: The largest count of a point, which stands for any larger one, too.
+OPEN = 255
 #: Frequent shingles that go last in the order, at most; the part of the documents that is sampled for them, and how many documents at least.
 FREQUENT, SAMPLE_PART, SAMPLE_LEAST = 200_000, 1 / 32, 8192
 #: Classes of a cell's block; first classes of a block, and nearest ones of each class, that the first search takes.
-BLOCK, HUBS, NEAREST = 1024, 2, 4
+BLOCK, HUBS, NEAREST = 1024, 1, 3
 #: Documents up to which the ids of those to verify are broadcast (16 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -80,7 +82,7 @@ def content(s: np.ndarray) -> tuple[int, int]:
 
 
 def counts(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
+    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), OPEN).astype(np.uint8)
 
 
 def fine_counts(s: np.ndarray) -> bytes:
@@ -112,14 +114,14 @@ def fine_bounds(fine: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def open_ended(points: np.ndarray) -> np.ndarray:
-    """Counts of which 65535 stands for any larger number."""
-    return np.where(points == 65535, 1 << 28, points).astype(np.int32)
+    """Counts of which OPEN stands for any larger number."""
+    return np.where(points == OPEN, 1 << 28, points).astype(np.int32)
 
 
 class CountTree:
     """An R-tree over count vectors, packed bottom-up from points sorted by size and by their most varying coordinate.
 
-    counts (points, groups); sizes, true set sizes; component, of which points of one need not be compared. Counts of 65535 stand for any larger number.
+    counts (points, groups); sizes, true set sizes; component, of which points of one need not be compared. Counts of OPEN stand for any larger number.
     """
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, component: np.ndarray):
@@ -326,7 +328,7 @@ def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _points(t: pa.Table | pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(t["counts"].to_pylist()), "<u2").reshape(-1, GROUPS)
+    return np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint8).reshape(-1, GROUPS)
 
 
 def nearest(points: np.ndarray, n: np.ndarray, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:

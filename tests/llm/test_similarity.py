@@ -81,7 +81,7 @@ def test_first_search_of_a_tree():
     sim = jaccard.Similarity(4, 85, 100)
     for size in (2, 9, 90):
         base = rng.integers(0, 6, (6, jaccard.GROUPS))
-        points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(40)]).astype(np.uint16)[:size]
+        points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(40)]).astype(np.uint8)[:size]
         n = points.sum(1).astype(np.int64)
         got = set(zip(*jaccard.nearest(points, n, sim), strict=True))
         want = set()
@@ -102,7 +102,7 @@ def test_count_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     for trial in range(5):
         base = rng.integers(0, 6, (12, jaccard.GROUPS))
-        points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(12)]).astype(np.uint16)
+        points = np.concatenate([np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0) for _ in range(12)]).astype(np.uint8)
         sizes, component = points.sum(1).astype(np.int64), rng.integers(0, 20, len(points)) if trial else np.arange(len(points))
         found = {(min(i, j), max(i, j)) for a, b in jaccard.CountTree(points, sizes, component).pairs(85, 100) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
         for i in range(len(points)):
