@@ -86,8 +86,8 @@ def counts(s: np.ndarray) -> np.ndarray:
 
 
 def fine_counts(s: np.ndarray) -> bytes:
-    """Counts of at least as many groups as shingles, a power of two of 256 at least, two in a byte; 15 stands for any larger number."""
-    bits = max(8, int(len(s) - 1).bit_length()) if len(s) else 8
+    """Counts of at least half as many groups as shingles, a power of two of 128 at least, two in a byte; 15 stands for any larger number."""
+    bits = max(7, int(len(s) - 1).bit_length() - 1) if len(s) else 7
     c = np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 15).astype(np.uint8)
     return (c[::2] | c[1::2] << 4).tobytes()
 
