@@ -7,7 +7,7 @@ from collections import OrderedDict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import trie
+from . import lineage, trie
 
 #: Status of a look-up. EXHAUSTED: the continuations are there, but used up.
 OK, COMPLETE, NOT_FOUND, EMPTY, EXHAUSTED = "OK", "COMPLETE", "NOT_FOUND", "EMPTY", "EXHAUSTED"
@@ -22,7 +22,7 @@ def next_tokens(probes: DataFrame, leaves: DataFrame, edge: DataFrame | None = N
 
     leaves(tokens) are distinct and maximal. A probe that is a leaf, or goes past one, is COMPLETE; one that leaves the tree is NOT_FOUND; without leaves all are EMPTY.
     """
-    p = probes.select("probe").distinct()
+    p = lineage.cut(probes.select("probe").distinct())  # read five times below
     edge = trie.edges_at(p, leaves) if edge is None else edge.join(p, F.col("prefix") == F.col("probe"), "left_semi")
     node = trie.nodes(edge).select("key", "next")
     some = leaves.limit(1).select(F.lit(True).alias("any"))
