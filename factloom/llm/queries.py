@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, html, jaccard, langid, lines, media, packing, pieces, quality, secrets
+from . import centroids, dialogues, embeddings, html, jaccard, langid, lines, media, packing, pieces, quality, secrets, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.passage_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_html_extraction": op2_html_extraction,
@@ -77,10 +89,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": jaccard.ORACLE_SQL,
     "op6_embedding_near_dedup": embeddings.ORACLE_SQL,
     "op9_line_dedup": lines.ORACLE_SQL,
+    "op11_centroid_clustering": centroids.ORACLE_SQL,
+    "op12_conversation_trie": dialogues.ORACLE_SQL,
+    "op13_suffix_dedup": suffixes.ORACLE_SQL,
 }
