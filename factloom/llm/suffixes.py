@@ -43,14 +43,18 @@ _BYTES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
 _ODD = 0x9E3779B97F4A7C15
 
 
-def keys(data: np.ndarray) -> np.ndarray:
-    """The key (48 bits) of each window of data."""
+def grams(data: np.ndarray) -> np.ndarray:
+    """Hashes (48 bits) of the GRAM-byte strings of data."""
     h, power, size = _BYTES[data], _ODD, 1
     while size < GRAM:
         h = h[:-size] * np.uint64(power) + h[size:]
         power, size = power * power % (1 << 64), 2 * size
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(16)
-    span, width = LEAST - GRAM + 1, 1
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(16)
+
+
+def keys(data: np.ndarray) -> np.ndarray:
+    """The key of each window of data."""
+    h, span, width = grams(data), LEAST - GRAM + 1, 1
     while 2 * width <= span:
         h, width = np.minimum(h[:-width], h[width:]), 2 * width
     return np.minimum(h[: len(h) - (span - width)], h[span - width :])
@@ -261,24 +265,43 @@ def ordered(place: np.ndarray, words: np.ndarray, rank: np.ndarray) -> np.ndarra
     word = words[place]
     by = np.lexsort((rank[place + STEP[kind, kind]], kind, word))  # right where all that tie lie alike to the cover
     place, kind, word = place[by], kind[by], word[by]
-    edges = np.array(_cuts(word), np.int64)
-    mixed = np.flatnonzero(np.maximum.reduceat(kind, edges[:-1]) != np.minimum.reduceat(kind, edges[:-1])) if len(edges) > 1 else []
-    for g in mixed:
-        s, e = edges[g], edges[g + 1]
-        own, less = place[s:e], np.zeros(e - s, np.int64)
-        kinds = kind[s:e]
-        for a in np.unique(kinds):
-            for b in np.unique(kinds):  # how many of kind b come before each of kind a, seen from where both meet the cover
-                step = STEP[a, b]
-                less[kinds == a] += np.searchsorted(np.sort(rank[own[kinds == b] + step]), rank[own[kinds == a] + step])
-        place[s:e] = own[np.argsort(less, kind="stable")]
+    new = np.append(True, word[1:] != word[:-1])
+    tie = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    mixed = np.maximum.reduceat(kind, start) != np.minimum.reduceat(kind, start) if len(start) else np.zeros(0, bool)
+    at = np.flatnonzero(mixed[tie]) if len(start) else start
+    if len(at):
+        own, kinds, base = place[at], kind[at], tie[at] * (len(rank) + 1)
+        less = np.zeros(len(at), np.int64)
+        members = [np.flatnonzero(kinds == k) for k in range(PERIOD)]
+        for a in range(PERIOD):
+            for b in range(PERIOD):  # how many of kind b come before each of kind a in its tie, seen from where both meet the cover
+                i, j, step = members[a], members[b], STEP[a, b]
+                there = np.sort(base[j] + rank[own[j] + step])
+                less[i] += np.searchsorted(there, base[i] + rank[own[i] + step]) - np.searchsorted(there, base[i])
+        place[at] = own[np.lexsort((less, base))]
     return place
 
 
-def least_docs(contents: list[bytes], docs: np.ndarray, shift: np.ndarray) -> list[np.ndarray]:
-    """For each of contents, the smallest of docs of any content that has the window, for each of its windows. shift: where each content meets the others, so that most windows lie alike to the cover."""
+def meetings(contents: list[bytes]) -> np.ndarray:
+    """Where in each strand the string lies that gives its key: in equal windows of other strands it is the same string."""
+    size = np.array([len(c) for c in contents])
+    start, n = np.cumsum(size) - size, size - GRAM + 1
+    h = grams(np.frombuffer(b"".join(contents), np.uint8))
+    base = np.repeat(np.cumsum(n) - n, n)
+    h = h[np.repeat(start, n) + np.arange(n.sum()) - base]
+    first = np.cumsum(n) - n
+    at = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, first), n))
+    return at[np.searchsorted(at, first)] - first
+
+
+def least_docs(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
+    """For each of contents, the smallest of docs of any content that has the window, for each of its windows.
+
+    Strands are laid out so that the strings that give their keys lie alike to the cover; so most windows that tie do.
+    """
     parts, starts, at = [], [], 0
-    for c, s in zip(contents, shift.tolist(), strict=True):
+    for c, s in zip(contents, meetings(contents).tolist(), strict=True):
         gap = -(at + s) % PERIOD
         parts.append(b"\0" * gap + c)
         starts.append(at + gap)
@@ -321,29 +344,37 @@ def shared_windows(sent: DataFrame) -> DataFrame:
         contents = [data[e - n : e] for e, n in zip(ends.tolist(), length.tolist(), strict=True)]
         masks = np.zeros(len(doc), np.uint64)
         order = np.lexsort((lot, key))
-        edges, block, size = _cuts(key[order] * 65537 + lot[order]), [], 0
-
-        def settle(rows: np.ndarray) -> None:
-            distinct: dict[bytes, int] = {}
-            of = np.array([distinct.setdefault(contents[r], len(distinct)) for r in rows.tolist()])
-            least = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(least, of, doc[rows])
-            texts = list(distinct)
-            found = least_docs(texts, least, np.array([_meeting(x) for x in texts]))
-            for r, k in zip(rows.tolist(), of.tolist(), strict=True):
-                low = np.flatnonzero(found[k] < doc[r])
-                if len(low):
-                    masks[r] = np.bitwise_or.reduce(np.uint64(1) << (low + max(window[r], 0)).astype(np.uint64))
+        edges, size = _cuts(key[order] * 65537 + lot[order]), 0
+        block: list[tuple[dict, np.ndarray, np.ndarray]] = []
+
+        def settle() -> None:
+            texts = [x for distinct, _, _ in block for x in distinct]
+            least = np.concatenate([np.minimum.reduceat(doc[rows][by := np.argsort(of, kind="stable")], np.flatnonzero(np.diff(of[by], prepend=-1))) for _, rows, of in block])
+            found, at = least_docs(texts, least), 0
+            for distinct, rows, of in block:
+                for r, k in zip(rows.tolist(), of.tolist(), strict=True):
+                    low = np.flatnonzero(found[at + k] < doc[r])
+                    if len(low):
+                        masks[r] = np.bitwise_or.reduce(np.uint64(1) << (low + max(window[r], 0)).astype(np.uint64))
+                at += len(distinct)
 
         for s, e in zip(edges, edges[1:], strict=False):
-            if e - s > 1:  # a strand alone with its key has no partner
-                block.append(order[s:e])
-                size += int(length[order[s:e]].sum())
+            if e - s == 1:  # a strand alone with its key has no partner
+                continue
+            rows, distinct = order[s:e], {}
+            of = np.array([distinct.setdefault(contents[r], len(distinct)) for r in rows.tolist()])
+            if len(distinct) == 1:  # one text, whose windows all have the same documents
+                for r in rows[doc[rows] > doc[rows].min()].tolist():
+                    n = length[r] - LEAST + 1
+                    masks[r] = ((1 << int(n)) - 1) << max(int(window[r]), 0)
+                continue
+            block.append((distinct, rows, of))
+            size += sum(map(len, distinct))
             if size > BLOCK:
-                settle(np.concatenate(block))
+                settle()
                 block, size = [], 0
         if block:
-            settle(np.concatenate(block))
+            settle()
         hit = np.flatnonzero(masks)
         by = hit[np.argsort(chunk[hit], kind="stable")]
         cuts = _cuts(chunk[by])
@@ -354,17 +385,6 @@ def shared_windows(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "chunk long, at binary, masks binary")
 
 
-def _meeting(content: bytes) -> int:
-    """Where in a strand the string lies that gives its key, modulo PERIOD: the same for equal windows, wherever their strands begin."""
-    data = np.frombuffer(content, np.uint8)
-    h, power, size = _BYTES[data], _ODD, 1
-    while size < GRAM:
-        h = h[:-size] * np.uint64(power) + h[size:]
-        power, size = power * power % (1 << 64), 2 * size
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(16)
-    return int(np.argmin(h)) % PERIOD
-
-
 def removed(c: Chunk, at: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Which bytes of a chunk go: those in windows that a smaller document has."""
     hit = np.zeros(len(c.data) + 1, np.int32)
