@@ -82,9 +82,49 @@ def lot(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+#: How many parts a stratum's lots are counted in, and a lot's rows by their contents, to find where the sample ends.
+PARTS = 1 << 16
+
+
+def _until(rows: DataFrame, strata: list[str], digit: str) -> tuple[DataFrame, DataFrame]:
+    """Of the first __take rows of each stratum by digit: those that belong for certain, and those of the digit at which a stratum's quota ends, with what is left of it as __take.
+
+    Counts of digits are summed before they move, and one row for each stratum comes back to the rows. A stratum with no more rows than its quota has no end.
+    """
+    w = Window.partitionBy(*strata).orderBy(digit)
+    counts = rows.groupBy(*strata, digit).agg(F.count("*").alias("__n"), F.max("__take").alias("__take")).withColumn("__upto", F.sum("__n").over(w))
+    end = counts.where("__upto - __n <= __take and __upto > __take").select(*[F.col(s).alias(f"{s}e") for s in strata], F.col(digit).alias("__end"), (F.col("__take") - F.col("__upto") + F.col("__n")).alias("__left"))
+    on = F.lit(True)
+    for s in strata:
+        on = on & F.col(s).eqNullSafe(F.col(f"{s}e"))
+    met = rows.join(end, on, "left")
+    certain = F.col("__end").isNull() | (F.col(digit) < F.col("__end"))
+    open_ = met.where((F.col(digit) == F.col("__end")) & (F.col("__left") > 0)).withColumn("__take", F.col("__left"))
+    return met.where(certain & (F.col("__take") > 0)).select(*rows.columns), open_.select(*rows.columns)
+
+
+def _bottom(rows: DataFrame, strata: list[str], columns: list[str], key: str, seed: int) -> DataFrame:
+    """Of each stratum exactly the first __take rows (all, if there are fewer) by lot, then contents; rows that repeat are taken as often as it needs.
+
+    The end is sought in counts, ever more finely: by the lot's first bits, the lot, the bits of the row's hash, at last the distinct rows. So nothing is sorted but the rows of one cell of a stratum,
+    however large the quota is and however often keys or rows repeat.
+    """
+    of = F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+    rows = rows.where("__take > 0").withColumn("__lot", F.coalesce(lot(seed, F.col(key)), F.lit("")))
+    rows = rows.withColumn("__part", F.coalesce(F.conv(F.substring("__lot", 1, 4), 16, 10).cast("int"), F.lit(0))).withColumn("__cell", F.pmod(of, F.lit(PARTS)))
+    out, rest = None, rows
+    for digit in ("__part", "__lot", "__cell"):
+        certain, rest = _until(rest, strata, digit)
+        out = certain.select(*columns) if out is None else out.unionByName(certain.select(*columns))
+    cells = rest.groupBy(*strata, *[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)]).agg(F.count("*").alias("__n"), F.max("__take").alias("__take"))
+    before = F.sum("__n").over(Window.partitionBy(*strata).orderBy(*[f"__v{i}" for i in range(len(columns))])) - F.col("__n")
+    taken = cells.withColumn("__copies", F.least(F.col("__n"), F.col("__take") - before)).where("__copies > 0")
+    return out.unionByName(taken.select(*[F.col(f"__v{i}").alias(c) for i, c in enumerate(columns)], F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*columns))
+
+
 def uniform_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, if there are fewer), without replacement."""
-    return df.orderBy(lot(seed, F.col(key)), key).limit(n)
+    """Exactly n rows (all, if there are fewer), without replacement: the first by their lots. Null keys have a lot too, rows may repeat; columns must be comparable."""
+    return _bottom(df.withColumns({"__s0": F.lit(0), "__take": F.lit(n).cast("long")}), ["__s0"], df.columns, key, seed)
 
 
 def quotas(counts: dict, size: int | None = None, fraction: float | None = None) -> dict:
@@ -100,30 +140,27 @@ def quotas(counts: dict, size: int | None = None, fraction: float | None = None)
 
 
 def stratified_sample(df: DataFrame, columns: list[str], key: str, size: int | None = None, fraction: float | None = None, seed: int = 42) -> DataFrame:
-    """A sample of exactly the size, its strata in proportion, as quotas() has it. Null values are a stratum of their own.
+    """A sample of exactly the size, its strata in proportion, as quotas() has it. Null values are a stratum of their own. Keys may repeat or be null, rows may repeat; columns must be comparable.
 
-    Quotas come from the counts of the strata by windows, as many rows as there are strata. A first cut by the lot keeps each stratum's sort within a bounded number of rows:
-    only rows whose lot is below a threshold that surely covers the quota are ranked.
+    Quotas come from the counts of the strata by windows, as many rows as there are strata; of each stratum its first rows by lot come, as _bottom() finds them.
     """
     if (size is None) == (fraction is None):
         raise ValueError("give exactly one of size and fraction")
     names = [f"__s{i}" for i in range(len(columns))]
-    counts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]).agg(F.count("*").alias("__n"))
+    strata = df.withColumns({n: F.col(c) for c, n in zip(columns, names, strict=True)})
     every = Window.partitionBy(F.lit(0))
     total = F.sum("__n").over(every)
     wanted = F.floor(total * F.lit(fraction) + 0.5) if size is None else F.lit(size)
-    shares = counts.withColumn("__size", F.least(total, wanted.cast("long"))).withColumn("__all", total).withColumn("__product", F.col("__n").cast("decimal(38,0)") * F.col("__size"))
+    shares = strata.groupBy(*names).agg(F.count("*").alias("__n")).withColumn("__size", F.least(total, wanted.cast("long"))).withColumn("__all", total)
+    shares = shares.withColumn("__product", F.col("__n").cast("decimal(38,0)") * F.col("__size"))
     shares = shares.withColumn("__base", F.expr("cast(__product div __all as bigint)")).withColumn("__left", F.expr("cast(__product % __all as bigint)"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__left"), *[F.asc_nulls_first(n) for n in names]))
     shares = shares.withColumn("__take", F.col("__base") + (rank <= F.col("__size") - F.sum("__base").over(every)).cast("long")).where("__take > 0")
-    # the quota's share of the stratum plus eight standard deviations, as a threshold of the lot
-    shares = shares.select(*names, "__take", F.least(F.lit(1.0), (F.col("__take") + 8 * F.sqrt("__take") + 16) / F.col("__n")).alias("__share"))
+    shares = shares.select(*[F.col(n).alias(f"{n}q") for n in names], "__take")
     on = F.lit(True)
-    for c, n in zip(columns, names, strict=True):
-        on = on & df[c].eqNullSafe(shares[n])
-    near = df.withColumn("__lot", lot(seed, F.col(key))).join(shares, on).where(F.conv(F.substring("__lot", 1, 12), 16, 10).cast("double") / float(1 << 48) <= F.col("__share"))
-    w = Window.partitionBy(*columns).orderBy("__lot", key)
-    return near.withColumn("__rank", F.row_number().over(w)).where("__rank <= __take").select(*df.columns)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}q"))
+    return _bottom(strata.join(shares, on).select(*strata.columns, "__take"), names, df.columns, key, seed)
 
 
 #: The prompt's slots, in the order in which they are filled.
