@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from factloom.plans import catalog, roundtrips  # noqa: F401  (registers its queries)
+from factloom.plans import catalog, grown, roundtrips  # noqa: F401  (registers its queries)
 
 
 def normal(frame):
