@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import tokens
-from factloom.operators import lineage, radix
+from factloom.operators import beams, lineage, radix, trie
 from factloom.sources import incremental
 
 from .catalog import _DOC_LEAVES, FACTS, edge_text, query, sequences, spaced, table
@@ -69,3 +69,56 @@ def compressed_tree_docs(spark, sf):
 def compressed_tree_facts(spark, sf):
     """The path-compressed tree of facts, which share their beginnings."""
     return _spelt(radix.of_sequences(sequences(spark, sf)))
+
+
+#: Beams of each supplier over the facts, with the tokens that its nation's facts have as candidates; costs from hashes, whole numbers so that sums are exact.
+_COST = "('0x' || substr(md5(c.batch || ':' || b.step || ':' || c.token), 1, 3))::BIGINT"
+
+
+@query(f"""WITH RECURSIVE {FACTS},
+edge AS (SELECT array_to_string(tok[1:d], ' ') AS p, tok[d + 1] AS t, count(*) AS n, bool_or(len(tok) = d + 1) AS whole FROM (SELECT tok, unnest(range(len(tok))) AS d FROM leaves) GROUP BY 1, 2),
+cand AS (SELECT DISTINCT s_suppkey AS batch, unnest(tok) AS token FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN leaves ON nation = n_name),
+beam AS (
+  SELECT 0 AS step, s_suppkey AS batch, 0::BIGINT AS beam, 0::BIGINT AS cost, '' AS told, 0 AS n_told, '' AS prefix, 'UNFINISHED' AS status FROM supplier
+  UNION ALL
+  SELECT step + 1, batch, rank - 1, cost, told, n_told, prefix, status FROM (
+    SELECT b.step, b.batch, b.cost + coalesce({_COST}, 0) AS cost, row_number() OVER (PARTITION BY b.batch ORDER BY b.cost + coalesce({_COST}, 0), b.beam, c.token) AS rank,
+      CASE WHEN c.whole THEN b.told || '|' || ltrim(b.prefix || ' ' || c.token) || ' ' ELSE b.told END AS told, b.n_told + coalesce(c.whole, false)::INT AS n_told,
+      CASE WHEN c.token IS NULL THEN b.prefix WHEN c.whole THEN '' ELSE ltrim(b.prefix || ' ' || c.token) END AS prefix,
+      CASE WHEN b.status <> 'UNFINISHED' THEN b.status WHEN c.token IS NULL THEN 'EXHAUSTED' WHEN c.whole AND b.n_told + 1 >= 2 THEN 'COMPLETE' ELSE 'UNFINISHED' END AS status
+    FROM beam b LEFT JOIN (SELECT cand.batch, cand.token, edge.* FROM cand JOIN edge ON edge.t = cand.token) c ON b.status = 'UNFINISHED' AND c.batch = b.batch AND c.p = b.prefix
+      AND c.n > (length(b.told) - length(replace(b.told, '|' || ltrim(b.prefix || ' ' || c.token) || ' ', ''))) // length('|' || ltrim(b.prefix || ' ' || c.token) || ' ')
+    WHERE b.step < 10) WHERE rank <= 4)
+SELECT batch, beam, cost, told, prefix, status FROM beam WHERE step = 10""")
+def beam_search(spark, sf):
+    """Ten steps of four beams for every supplier, up to two facts each."""
+    facts = sequences(spark, sf)
+    leaves = trie.maximal_leaves(facts.select("tokens"))
+    suppliers = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("batch"), F.col("n_name").alias("nation"))
+    known = suppliers.join(facts, "nation").select("batch", F.explode("tokens").alias("token")).distinct()
+
+    def candidates(live, step):
+        cost = F.conv(F.substring(F.md5(F.concat_ws(":", "batch", F.lit(step), "token")), 1, 3), 16, 10).cast("double")
+        return live.select("batch", "beam").join(known, "batch").select("batch", "beam", "token", (-cost).alias("score"))
+
+    out = beams.beam_search(suppliers, leaves, candidates, beams=4, steps=10, facts=2)
+    told = F.concat_ws("", F.transform("told", lambda f: F.concat(F.lit("|"), F.array_join(f, " "), F.lit(" "))))
+    return out.select("batch", F.col("beam").cast("long").alias("beam"), (-F.col("score")).cast("long").alias("cost"), told.alias("told"), spaced("prefix").alias("prefix"), "status")
+
+
+@query("""WITH keys AS (
+  SELECT n_name, c_name, ln(1 + abs(c_acctbal)) / 0.5 - ln(-ln((('0x' || substr(md5('7:' || n_name || ':' || c_name), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT n_name, draw::INTEGER AS draw, c_name FROM (SELECT n_name, c_name, row_number() OVER (PARTITION BY n_name ORDER BY k DESC, c_name) - 1 AS draw FROM keys) WHERE draw < 5""")
+def weighted_draws(spark, sf):
+    """Five customers of each nation, without replacement, more likely the larger their balance."""
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    scores = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_name", F.log(1 + F.abs("c_acctbal")).alias("score"))
+    return beams.draws(scores, ["n_name"], k=5, temperature=0.5, seed=7, token="c_name")
+
+
+@query("""WITH placed AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer)
+SELECT pos // 64 AS batch, count(*) AS n, min(c_custkey) AS least, max(pos % 64)::INTEGER AS last_slot FROM placed GROUP BY pos // 64""")
+def ragged_batches(spark, sf):
+    """Customers in batches of 64, the last of which is what is left."""
+    rows = beams.slices(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 64)
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.min("c_custkey").alias("least"), F.max("slot").alias("last_slot"))
