@@ -32,7 +32,7 @@ from .common import BATCH_ROWS, release
 #: Bytes of a window, and of the strings whose least hash is its key.
 LEAST, GRAM = 50, 32
 #: Windows of a strand at most; bytes of a chunk, about; bytes of documents for each shard of keys and for each bucket of strands; bytes hashed at once.
-RUN, CHUNK, SHARD, BUCKET, SLAB = 32, 1 << 24, 1 << 26, 1 << 25, 1 << 20
+RUN, CHUNK, SHARD, BUCKET, SLAB = 32, 1 << 24, 1 << 26, 1 << 23, 1 << 20
 #: Strands of a key above which it is dealt out by window; bytes of a block of strands; suffixes sorted at once.
 HOT, BLOCK, SORTED = 4096, 1 << 20, 1 << 15
 #: The period of the difference cover and the cover: any two residues are, by some step below the period, both in it.
@@ -65,17 +65,23 @@ def strands(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     found = []
     for at in range(0, max(len(data) - LEAST + 1, 0), SLAB):
         key = keys(data[at : at + SLAB + LEAST - 1])
-        place = at + np.arange(len(key))
-        end = ends[np.searchsorted(ends, place, "right")]
-        fit = place + LEAST <= end
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (end[1:] != end[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        new |= (np.arange(len(key)) - first) % RUN == 0
+        n = len(key)
+        near = ends[np.searchsorted(ends, at, "right") : np.searchsorted(ends, at + n + LEAST, "left")] - at  # documents that end within reach
+        new, past = np.ones(n, bool), np.zeros(n + 1, np.int32)
+        new[1:] = key[1:] != key[:-1]
+        new[near[near < n]] = True
+        np.add.at(past, np.clip(near - LEAST + 1, 0, n), 1)  # from here windows would go past the end
+        np.add.at(past, np.clip(near, 0, n), -1)
+        past = np.cumsum(past[:-1]) > 0
+        new[1:] |= past[1:] != past[:-1]
         s = np.flatnonzero(new)
-        n = np.add.reduceat(fit, s) if len(s) else s
-        some = n > 0
-        found.append((place[s[some]], n[some], key[s[some]]))
+        size = np.diff(np.append(s, n))
+        s, size = s[~past[s]], size[~past[s]]
+        parts = -(-size // RUN)
+        if (parts > 1).any():
+            step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            s, size = np.repeat(s, parts) + step * RUN, np.minimum(np.repeat(size, parts) - step * RUN, RUN)
+        found.append((at + s, size, key[s]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -88,7 +94,8 @@ class Chunk:
         self.table = t = t.sort_by("row")
         self.size = t["n_bytes"].to_numpy()
         self.ends = np.cumsum(self.size)
-        self.data = np.frombuffer(b"".join(t["data"].to_pylist()), np.uint8)
+        self.raw = b"".join(t["data"].to_pylist())
+        self.data = np.frombuffer(self.raw, np.uint8)
         ids = t["doc_id"].to_pylist()
         self.order = {d: k for k, d in enumerate(sorted({d for d in ids if d is not None}))}
         self.ids = sorted(self.order)
@@ -98,15 +105,14 @@ class Chunk:
         some = doc >= 0
         self.start, self.n, self.key, self.doc = start[some], n[some], key[some], doc[some]
 
-    def content(self, k: int) -> bytes:
-        return self.data[self.start[k] : self.start[k] + self.n[k] + LEAST - 1].tobytes()
-
-    def firsts(self, which: np.ndarray) -> dict[bytes, int]:
-        """For each content among strands which: the first strand of the smallest document that has it."""
-        found: dict[bytes, int] = {}
-        for k in which[np.lexsort((self.start[which], self.doc[which]))].tolist():
-            found.setdefault(self.content(k), k)
-        return found
+    def firsts(self, which: np.ndarray) -> np.ndarray:
+        """For each of strands which: the first strand of the smallest document that has its content."""
+        order = np.lexsort((self.start[which], self.doc[which]))
+        which, found, raw = which[order], {}, self.raw
+        spans = zip(which.tolist(), self.start[which].tolist(), (self.start + self.n)[which].tolist(), strict=True)
+        lead = np.empty(len(which), np.int64)
+        lead[order] = [found.setdefault(raw[s : e + LEAST - 1], k) for k, s, e in spans]
+        return lead
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -207,33 +213,34 @@ def strands_sent(table: DataFrame, answers: DataFrame, buckets: int) -> DataFram
     ids = pa.schema([pa.field("d", table.select("doc_id").limit(0).toArrow().schema.field(0).type)]).field(0).type
 
     def run(t: pa.Table, answer: pa.Table) -> pa.Table:
-        rows: dict[int, list] = {}
+        out, chunk = [], t["chunk"][0].as_py() if t.num_rows else None
         if t.num_rows and answer.num_rows:
             c = Chunk(t)
             live, parts = np.concatenate([_unpack(x.as_py()) for x in answer["keys"]]), np.concatenate([_wide(x.as_py(), "<u2") for x in answer["parts"]])
             order = np.argsort(live)
             live, parts = live[order], parts[order]
             at = np.minimum(np.searchsorted(live, c.key), len(live) - 1)
-            which = np.flatnonzero(live[at] == c.key)
-            for content, k in c.firsts(which).items():
-                key, start, doc, split = int(c.key[k]), int(c.start[k]), c.ids[c.doc[k]], int(parts[at[k]])
-                if not split:
-                    rows.setdefault(key % buckets, []).append((key, 0, content, doc, start, -1))
-                    continue
-                for w in range(int(c.n[k])):
-                    window = content[w : w + LEAST]
-                    lot = zlib.crc32(window) % split
-                    rows.setdefault((key + 1 + lot) % buckets, []).append((key, 1 + lot, window, doc, start, w))
-        out = []
-        for bucket, found in rows.items():
-            found.sort(key=lambda r: (r[0], r[1], r[2]))
-            k, lot, content, doc, start, w = zip(*found, strict=True)
-            numbers = [_pack(np.array(k, np.uint64)), *(_slim(np.array(x), y) for x, y in ((lot, "<u2"), ([len(x) for x in content], "<u1"), (start, "<i8"), (w, "<i2")))]
-            out.append((bucket, *numbers, zlib.compress(b"".join(content), 1), doc))
+            which = np.unique(c.firsts(np.flatnonzero(live[at] == c.key)))
+            split = parts[at[which]]
+            cold, hot = which[split == 0], which[split > 0]
+            n = c.n[hot]
+            w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # hot strands go window by window
+            single = np.repeat(c.start[hot], n) + w
+            lots = 1 + np.array([zlib.crc32(c.raw[s : s + LEAST]) for s in single.tolist()], np.int64) % np.repeat(split[split > 0], n)
+            strand = np.concatenate([cold, np.repeat(hot, n)])
+            begin, size = np.concatenate([c.start[cold], single]), np.concatenate([c.n[cold] + LEAST - 1, np.full(len(w), LEAST)])
+            lot, window = np.concatenate([np.zeros(len(cold), np.int64), lots]), np.concatenate([np.full(len(cold), -1), w])
+            bucket = ((c.key[strand] + lot.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((lot, c.key[strand], bucket))
+            cuts = _cuts(bucket[order])
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                o = order[s:e]
+                content = zlib.compress(b"".join([c.raw[x : x + y] for x, y in zip(begin[o].tolist(), size[o].tolist(), strict=True)]), 1)
+                numbers = (_slim(lot[o], "<u2"), _slim(size[o], "<u1"), _slim(c.start[strand[o]], "<i8"), _slim(window[o], "<i2"))
+                out.append((int(bucket[o[0]]), _pack(c.key[strand[o]]), *numbers, content, [c.ids[d] for d in c.doc[strand[o]].tolist()]))
         columns = list(zip(*out, strict=True)) or [[]] * 8
         types = (pa.int64(), *[pa.binary()] * 6, pa.list_(ids))
-        chunk = [t["chunk"][0].as_py()] * len(out) if out else []
-        return pa.table([pa.array(chunk, pa.int64()), *(pa.array(x, y) for x, y in zip(columns, types, strict=True))], names=["chunk", "bucket", "keys", "lots", "lengths", "at", "window", "content", "docs"])
+        return pa.table([pa.array([chunk] * len(out), pa.int64()), *(pa.array(x, y) for x, y in zip(columns, types, strict=True))], names=["chunk", "bucket", "keys", "lots", "lengths", "at", "window", "content", "docs"])
 
     return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"chunk long, bucket long, keys binary, lots binary, lengths binary, at binary, window binary, content binary, docs array<{kind}>")
 
@@ -295,8 +302,8 @@ def meetings(contents: list[bytes]) -> np.ndarray:
     return at[np.searchsorted(at, first)] - first
 
 
-def least_docs(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each of contents, the smallest of docs of any content that has the window, for each of its windows.
+def least_docs(contents: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each of contents, in order: the smallest of docs of any content that has it. And how many windows each has.
 
     Strands are laid out so that the strings that give their keys lie alike to the cover; so most windows that tie do.
     """
@@ -326,7 +333,7 @@ def least_docs(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
         group = np.flatnonzero(new)
         own = home[sa]
         best[own] = np.repeat(np.minimum.reduceat(doc[own], group), np.diff(np.append(group, len(sa))))
-    return np.split(best, np.cumsum(n)[:-1])
+    return best, n
 
 
 def shared_windows(sent: DataFrame) -> DataFrame:
@@ -343,38 +350,32 @@ def shared_windows(sent: DataFrame) -> DataFrame:
         data = b"".join(zlib.decompress(x.as_py()) for x in t["content"])
         contents = [data[e - n : e] for e, n in zip(ends.tolist(), length.tolist(), strict=True)]
         masks = np.zeros(len(doc), np.uint64)
-        order = np.lexsort((lot, key))
-        edges, size = _cuts(key[order] * 65537 + lot[order]), 0
-        block: list[tuple[dict, np.ndarray, np.ndarray]] = []
-
-        def settle() -> None:
-            texts = [x for distinct, _, _ in block for x in distinct]
-            least = np.concatenate([np.minimum.reduceat(doc[rows][by := np.argsort(of, kind="stable")], np.flatnonzero(np.diff(of[by], prepend=-1))) for _, rows, of in block])
-            found, at = least_docs(texts, least), 0
-            for distinct, rows, of in block:
-                for r, k in zip(rows.tolist(), of.tolist(), strict=True):
-                    low = np.flatnonzero(found[at + k] < doc[r])
-                    if len(low):
-                        masks[r] = np.bitwise_or.reduce(np.uint64(1) << (low + max(window[r], 0)).astype(np.uint64))
-                at += len(distinct)
-
-        for s, e in zip(edges, edges[1:], strict=False):
-            if e - s == 1:  # a strand alone with its key has no partner
-                continue
-            rows, distinct = order[s:e], {}
-            of = np.array([distinct.setdefault(contents[r], len(distinct)) for r in rows.tolist()])
-            if len(distinct) == 1:  # one text, whose windows all have the same documents
-                for r in rows[doc[rows] > doc[rows].min()].tolist():
-                    n = length[r] - LEAST + 1
-                    masks[r] = ((1 << int(n)) - 1) << max(int(window[r]), 0)
-                continue
-            block.append((distinct, rows, of))
-            size += sum(map(len, distinct))
-            if size > BLOCK:
-                settle()
-                block, size = [], 0
-        if block:
-            settle()
+        known: dict[bytes, int] = {}
+        code = np.array([known.setdefault(x, len(known)) for x in contents], np.int64)
+        order = np.lexsort((code, lot, key))
+        edges = np.array(_cuts(key[order] * 65537 + lot[order]), np.int64)
+        first, last = edges[:-1], edges[1:] - 1
+        one = code[order[first]] == code[order[last]]
+        # a key with one text: all its windows have the same documents
+        least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(edges))
+        beyond = order[np.repeat(one, np.diff(edges)) & (doc[order] > least)]
+        masks[beyond] = (np.uint64(1) << (length[beyond] - LEAST + 1).astype(np.uint64)) - np.uint64(1) << np.maximum(window[beyond], 0).astype(np.uint64)
+        # others in blocks of whole keys
+        groups = np.flatnonzero(~one)
+        size = np.cumsum([int(length[order[s:e]].sum()) for s, e in zip(edges[groups].tolist(), edges[groups + 1].tolist(), strict=True)])
+        cuts = _cuts(np.append(0, size[:-1]) // BLOCK) if len(groups) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            rows = np.concatenate([order[s:e] for s, e in zip(edges[groups[a:b]].tolist(), edges[groups[a:b] + 1].tolist(), strict=True)])
+            distinct, at_, of = np.unique(code[rows], return_index=True, return_inverse=True)
+            lowest = np.full(len(distinct), np.iinfo(np.int64).max)
+            np.minimum.at(lowest, of, doc[rows])
+            best, n = least_docs([contents[r] for r in rows[at_].tolist()], lowest)
+            n_row, base = n[of], (np.cumsum(n) - n)[of]
+            start = np.cumsum(n_row) - n_row
+            w = np.arange(n_row.sum()) - np.repeat(start, n_row)
+            low = best[np.repeat(base, n_row) + w] < np.repeat(doc[rows], n_row)
+            bits = low.astype(np.uint64) << (w + np.repeat(np.maximum(window[rows], 0), n_row)).astype(np.uint64)
+            masks[rows] = np.bitwise_or.reduceat(bits, start)
         hit = np.flatnonzero(masks)
         by = hit[np.argsort(chunk[hit], kind="stable")]
         cuts = _cuts(chunk[by])
@@ -398,15 +399,18 @@ def removed(c: Chunk, at: np.ndarray, masks: np.ndarray) -> np.ndarray:
     which[order[several]] = True
     which |= np.isin(c.start, at)
     which = np.flatnonzero(which)
-    first = c.firsts(which)
-    for k in which.tolist():
-        lead, s = first[c.content(k)], int(c.start[k])
-        if c.doc[lead] < c.doc[k]:
-            hit[s : s + int(c.n[k])] = 1
-        elif m := mask_at.get(int(c.start[lead]), 0):
-            for w in range(int(c.n[k])):
-                if m >> w & 1:
-                    hit[s + w] = 1
+    lead = c.firsts(which)
+    whole = c.doc[lead] < c.doc[which]
+    spans = np.zeros(len(c.data) + 1, np.int32)
+    np.add.at(spans, c.start[which[whole]], 1)
+    np.add.at(spans, (c.start + c.n)[which[whole]], -1)
+    hit[:-1] = np.cumsum(spans[:-1]) > 0
+    some = which[~whole]
+    for s, m in zip(c.start[some].tolist(), [mask_at.get(x, 0) for x in c.start[lead[~whole]].tolist()], strict=True):
+        while m:
+            low = m & -m
+            hit[s + low.bit_length() - 1] = 1
+            m ^= low
     covered = np.cumsum(hit[:-1])
     covered[LEAST:] -= covered[:-LEAST].copy()
     return covered > 0
