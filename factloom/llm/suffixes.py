@@ -32,7 +32,7 @@ from .common import BATCH_ROWS, release
 #: Bytes of a window, and of the strings whose least hash is its key.
 LEAST, GRAM = 50, 32
 #: Windows of a strand at most; bytes of a chunk, about; bytes of documents for each shard of keys and for each bucket of strands; bytes hashed at once.
-RUN, CHUNK, SHARD, BUCKET, SLAB = 32, 1 << 24, 1 << 26, 1 << 23, 1 << 20
+RUN, CHUNK, SHARD, BUCKET, SLAB = 32, 1 << 23, 1 << 24, 1 << 23, 1 << 20
 #: Strands of a key above which it is dealt out by window; bytes of a block of strands; suffixes sorted at once.
 HOT, BLOCK, SORTED = 4096, 1 << 20, 1 << 15
 #: The period of the difference cover and the cover: any two residues are, by some step below the period, both in it.
@@ -388,7 +388,7 @@ def shared_windows(sent: DataFrame) -> DataFrame:
 
 def removed(c: Chunk, at: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Which bytes of a chunk go: those in windows that a smaller document has."""
-    hit = np.zeros(len(c.data) + 1, np.int32)
+    hit = np.zeros(len(c.data) + 1, np.int8)
     order = np.argsort(c.key, kind="stable")
     cuts = np.array(_cuts(c.key[order]), np.int64)
     several = np.repeat(np.diff(cuts) > 1, np.diff(cuts))
@@ -404,14 +404,14 @@ def removed(c: Chunk, at: np.ndarray, masks: np.ndarray) -> np.ndarray:
     spans = np.zeros(len(c.data) + 1, np.int32)
     np.add.at(spans, c.start[which[whole]], 1)
     np.add.at(spans, (c.start + c.n)[which[whole]], -1)
-    hit[:-1] = np.cumsum(spans[:-1]) > 0
+    hit[:-1] = np.cumsum(spans[:-1], dtype=np.int32) > 0
     some = which[~whole]
     for s, m in zip(c.start[some].tolist(), [mask_at.get(x, 0) for x in c.start[lead[~whole]].tolist()], strict=True):
         while m:
             low = m & -m
             hit[s + low.bit_length() - 1] = 1
             m ^= low
-    covered = np.cumsum(hit[:-1])
+    covered = np.cumsum(hit[:-1], dtype=np.int32)
     covered[LEAST:] -= covered[:-LEAST].copy()
     return covered > 0
 
