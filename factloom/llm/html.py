@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, by_rows
 
-#: Labelled pages that training reads, about, by the hash of page_id (twice as many at most); open elements that are told apart.
-SAMPLE, DEPTH = 512, 512
+#: Labelled pages that training reads, about, by the hash of page_id (twice as many at most).
+SAMPLE = 512
 #: Words of evidence that the prior counts for, tags likewise, and the weight below which an element is boilerplate.
 PRIOR_WORDS, PRIOR_TAGS, BOILERPLATE = 200.0, 20.0, -1.0
 
@@ -44,8 +44,8 @@ NAMES = frozenset(
 DECOR = frozenset("site page main post entry article content block box container wrapper wrap inner outer section area region row col column left right top bottom list item items group slot unit body global primary secondary js the".split())
 #: Prior log odds: of a word, of link text outside prose, of an element by its name; of a token that is such a name, that has one beside decor, that has one beside other words.
 WORD, LINK, NAME, TOKEN, COMPOUND, HINT = 1.0, -0.5, -3.0, -3.0, -2.0, -0.9
-#: Scores of an inline and another tag without evidence; of a tag within a page's one article, of a word there at least, and of a word outside.
-INLINE_TAG, TAG, ARTICLE_TAG, ARTICLE_WORD, OUTSIDE = -0.01, -0.1, -0.001, 0.5, -1.0
+#: Scores of an inline and another tag without evidence; prior and most of what an article or main element that holds most of a page's words speaks for a word in it.
+INLINE_TAG, TAG, ARTICLE, ARTICLE_MOST = -0.01, -0.1, 2.0, 3.0
 
 _TAG = re.compile(r"""</?[a-zA-Z](?:[^>"'=]++|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+>""")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -56,14 +56,14 @@ _PROSE = frozenset("p article main td blockquote".split())
 
 
 class Element:
-    """An open element: its keys, its parent, whether it lies in a link outside prose, in an article or main element; the name of the block that holds its text; words in it that are no link text."""
+    """An open element: its keys, its parent, whether it lies in a link outside prose; the outermost article or main element around it; the name of the block that holds its text; words in it that are no link text."""
 
     __slots__ = ("own", "parent", "link", "inner", "prose", "block", "words", "bad", "labelled")
 
     def __init__(self, own: tuple[str, ...], parent: Element | None):
         name = own[0]
         self.own, self.parent, self.words, self.bad, self.labelled = own, parent, 0, False, [0, 0]
-        self.inner = bool(parent and parent.inner) or name in ("article", "main")
+        self.inner = parent and parent.inner or (self if name in ("article", "main") else None)
         self.prose = bool(parent and parent.prose) or name in _PROSE
         self.link = bool(parent and parent.link) or name == "a"
         self.block = parent.block if parent and name in INLINE else name
@@ -136,13 +136,11 @@ def _tokens(page: str):
 
 
 def pieces(page: str) -> tuple[list[Piece], list[Element]]:
-    """Texts and tags of a page in order, and its elements, parents first. Scripts, styles and the like are left out; broken markup never fails, and the time is in proportion to the length.
-
-    Elements deeper than DEPTH count as text of the deepest one.
-    """
+    """Texts and tags of a page in order, and its elements, parents first. Scripts, styles and the like are left out; broken markup never fails, and the time is in proportion to the length, however deep elements lie."""
     out: list[Piece] = []
     root = Element(("",), None)
-    elements, stack, open_names, below = [root], [root], Counter(), 0
+    elements, stack, open_names = [root], [root], Counter()
+    solid = [0]  # places on the stack of elements that aren't inline
     block = 0
     for text, tag in _tokens(page):
         if text is not None:
@@ -153,37 +151,33 @@ def pieces(page: str) -> tuple[list[Piece], list[Element]]:
         if name not in INLINE:
             block += 1
         if closing:
-            if below:
-                below -= 1
-            elif open_names[name]:
+            if open_names[name]:
                 while True:
                     e = stack.pop()
                     open_names[e.own[0]] -= 1
                     if e.own[0] == name:
                         break
+                while solid[-1] >= len(stack):
+                    solid.pop()
                 out.append(Piece("close", name, e, block))
             continue
         if name in RAW:
             continue
-        if name in _ENDS_PARAGRAPH and not below and (open_names["p"] or name in _CLOSED_BY and open_names[name]):
-            # an open paragraph ends where a block starts, an open item where the next one starts
-            for k in range(len(stack) - 1, 0, -1):
-                other = stack[k].own[0]
-                if other == "p" or other == name and name in _CLOSED_BY:
-                    for e in stack[k:]:
-                        open_names[e.own[0]] -= 1
-                    del stack[k:]
-                    break
-                if other not in INLINE:
-                    break
+        if name in _ENDS_PARAGRAPH:
+            # an open paragraph ends where a block starts, an open item where the next one starts, with the inline elements in it
+            other = stack[solid[-1]].own[0]
+            if other == "p" or other == name and name in _CLOSED_BY:
+                for e in stack[solid[-1] :]:
+                    open_names[e.own[0]] -= 1
+                del stack[solid.pop() :]
         if name in VOID or tag.endswith("/>"):
             out.append(Piece("open", name, Element((name,), stack[-1]), block))
-        elif below or len(stack) >= DEPTH:
-            below += 1
         else:
             e = Element(_keys(name, tag[1 + len(name) : -1]), stack[-1])
             out.append(Piece("open", name, e, block))
             elements.append(e)
+            if name not in INLINE:
+                solid.append(len(stack))
             stack.append(e)
             open_names[name] += 1
     for p in out:
@@ -227,6 +221,10 @@ class Weights:
         """Of a word in a context."""
         return self._remembered(context, lambda c: min(2.0, max(-2.0, _log_odds(*self.seen.get(c, (0, 0)), LINK if c.endswith("link") else WORD, PRIOR_WORDS))))
 
+    def article(self) -> float:
+        """Of lying in the element that holds most of a page's words, if that is an article or main element."""
+        return min(ARTICLE_MOST, max(-ARTICLE_MOST, _log_odds(*self.seen.get("article", (0, 0)), ARTICLE, PRIOR_WORDS)))
+
     def tag(self, name: str) -> float:
         """Of a tag: below zero."""
         start = INLINE_TAG if name in INLINE or name in ("p", "br") else TAG
@@ -274,16 +272,19 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text of a page: its blocks in order, white space inside a block as one space, joined by one space."""
     parts, elements = pieces(page or "")
     weights.judge(elements)
-    one = sum(e.own[0] in ("article", "main") and not e.bad for e in elements) == 1
+    held: Counter = Counter()
+    for kind, text, e, _ in parts:
+        if kind == "text" and not e.bad:
+            held[id(e.inner) if e.inner else None] += len(text.split())
+    most = {k for k, n in held.items() if k and 2 * n > held.total()}
     scores = []
     for kind, text, e, _ in parts:
         if e.bad:
             scores.append(0.0)
         elif kind == "text":
-            word = weights.word(e.context())
-            scores.append(len(text.split()) * (word if not one else max(word, ARTICLE_WORD) if e.inner else OUTSIDE))
+            scores.append(len(text.split()) * (weights.word(e.context()) + (weights.article() if id(e.inner) in most else 0.0)))
         else:
-            scores.append(ARTICLE_TAG if one and e.inner else weights.tag(text))
+            scores.append(weights.tag(text))
     start, end = best_region(scores)
     blocks: dict[int, list[str]] = {}
     for kind, text, e, block in parts[start:end]:

@@ -276,6 +276,25 @@ def test_pages_without_their_articles(sf):
         assert html.extract(page, weights) == html.extract(page.replace("<article>", "<div>").replace("</article>", "</div>"), weights)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div id=content><p>{WORDS}</p><p>{MORE}</p></div><div class=menu><article>{ADS}</article></div>", f"{WORDS} {MORE}"),
+    (f"<div id=content><p>{WORDS}</p><p>{MORE}</p></div><article>one short teaser</article>", f"{WORDS} {MORE} one short teaser"),
+    (f"<article><p>{WORDS}</p></article><nav>{ADS}</nav><article><p>{MORE}</p></article>", f"{WORDS} {MORE}"),
+    (f"<main><p>{WORDS}</p><ul><li><a href=x>one</a></li></ul></main><footer>{ADS}</footer>", f"{WORDS} one"),
+    ("<div>" * 2000 + f"<p>{WORDS}</p><div class=comments>{ADS}</div>" + "</div>" * 2000, WORDS),
+])
+def test_an_article_is_evidence_only(page, text):
+    assert html.extract(page, html.Weights()) == text
+
+
+def test_learned_weights_and_the_scan_decide():
+    """Weights that take paragraphs for boilerplate and list items for text turn the result round."""
+    page = f"<article><p>{WORDS}</p></article><ul><li>{MORE}</li></ul>"
+    assert html.extract(page, html.Weights()).startswith(WORDS)
+    wrong = html.Weights({"word p": (0, 9000), "word li": (9000, 0), "article": (0, 9000)})
+    assert html.extract(page, wrong) == MORE
+
+
 def test_learned_names_override_the_lists():
     page = "<article><div class=banner><p>" + "word " * 300 + "</p></div></article><div class=zone><p>" + "other " * 300 + "</p></div>"
     found = html.evidence(page)
