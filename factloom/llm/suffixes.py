@@ -12,6 +12,9 @@ What is compared are windows of LEAST bytes. Three steps keep sorting within bou
    LEAST bytes are one window, and its smallest document is known.
 
 A bucket answers each chunk with the windows of its strands that a smaller document has. The chunk marks them, and every window of a strand in all but the smallest of its own documents that have it.
+
+Chunks, shards and buckets are of a fixed size, so a chunk's message to a shard holds fewer keys the larger the input is, about 800,000 times SHARD over all bytes; beyond some ten terabytes CHUNK and SHARD
+should grow with the executors' memory, or messages come down to single keys, as in a plain shuffle.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.lineage import shared_folder
 
-from .common import BATCH_ROWS, release
+from .common import BATCH_ROWS, materialize, release
 
 #: Bytes of a window, and of the strings whose least hash is its key.
 LEAST, GRAM = 50, 32
@@ -448,12 +451,22 @@ def drop_repeated_passages(docs: DataFrame, hot: int = HOT, buckets: int | None
         return pa.table([c.table["doc_id"], c.table["n_bytes"], pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = table.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out._texts = name  # for forget()
     return out
 
 
+def forget(out: DataFrame) -> None:
+    """Delete the texts that a result of drop_repeated_passages() reads, when it has been read."""
+    out.sparkSession.sql(f"DROP TABLE {out._texts}")
+    release(f"{shared_folder(out.sparkSession)}/factloom/{out._texts}", spark=out.sparkSession)
+
+
 def passage_digest(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return drop_repeated_passages(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = drop_repeated_passages(docs)
+    out = materialize(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "passages")
+    forget(found)
+    return out
 
 
 ORACLE_SQL = """
