@@ -7,7 +7,7 @@ boxes, then of points, that can't reach the similarity. What survives is verifie
 Counts of hashed shingles alone can't split a corpus between machines: all points of a size lie close together, and the tree would compare all
 with all. So trees are built in cells: a set goes into the cells of its rarest shingles, as many (all but the least overlap, plus one) that
 two similar sets meet in a cell for certain, whatever order "rarest" has; a sample of documents finds the frequent shingles that go last.
-Equal sets are one class before, known by 128 bits of its content. Every candidate comes out of a cell's tree, in two searches: the first takes what may link
+Equal sets are one class before, known by 128 bits of its content. In cells of more than LEAF classes candidates come out of a tree, in smaller ones all pairs are held against the same bounds. There are two searches: the first takes what may link
 with the cell's first classes, by doc_id, and for each class the nearest few, by their bound, which joins groups of near copies with as many pairs as a few times their members;
 the second takes all pairs that may link and still lie in different components. No cell is cut short; a large one is dealt out in blocks, for the second search in pairs of blocks.
 """
