@@ -272,17 +272,19 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text of a page: its blocks in order, white space inside a block as one space, joined by one space."""
     parts, elements = pieces(page or "")
     weights.judge(elements)
-    held: Counter = Counter()
-    for kind, text, e, _ in parts:
-        if kind == "text" and not e.bad:
-            held[id(e.inner) if e.inner else None] += len(text.split())
-    most = {k for k, n in held.items() if k and 2 * n > held.total()}
+    sizes = [len(p.text.split()) if p.kind == "text" and not p.element.bad else 0 for p in parts]
+    held: dict[int, int] = {}
+    for (_, _, e, _), n in zip(parts, sizes, strict=True):
+        if n and e.inner:
+            held[id(e.inner)] = held.get(id(e.inner), 0) + n
+    total = sum(sizes)
+    most = {k for k, n in held.items() if 2 * n > total}
     scores = []
-    for kind, text, e, _ in parts:
+    for (kind, text, e, _), n in zip(parts, sizes, strict=True):
         if e.bad:
             scores.append(0.0)
         elif kind == "text":
-            scores.append(len(text.split()) * (weights.word(e.context()) + (weights.article() if id(e.inner) in most else 0.0)))
+            scores.append(n * (weights.word(e.context()) + (weights.article() if most and id(e.inner) in most else 0.0)))
         else:
             scores.append(weights.tag(text))
     start, end = best_region(scores)
