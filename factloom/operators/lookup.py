@@ -35,6 +35,24 @@ def next_tokens(probes: DataFrame, leaves: DataFrame, edge: DataFrame | None = N
     return found.select("probe", status.alias("status"), F.when(status == OK, F.col("next")).otherwise(_no_tokens(token)).alias("next"))
 
 
+def marked_next_tokens(probes: DataFrame, sequences: DataFrame) -> DataFrame:
+    """For each of probes(probe): is_fact (the probe is itself one of sequences(tokens)), numfacts (distinct facts that begin with it, itself included) and next, the map from tokens to facts.
+
+    Facts count whether or not others continue them, so a probe can be a fact and lead on. A probe that leads nowhere has an empty map; the empty probe is no fact, and all begin with it. Null probes are none.
+    Facts are cut only at lengths that probes have, and meet the probes before they are counted; partial counts keep a probe that many facts share, such as the empty one, from meeting in one task.
+    """
+    p = lineage.cut(probes.where("probe is not null").select("probe").distinct())  # read twice below
+    facts = sequences.select("tokens").where(F.size("tokens") > 0).distinct()
+    lengths = F.broadcast(p.agg(F.sort_array(F.collect_set(F.size("probe"))).alias("lengths")))  # one row; no longer than the longest probe
+    cuts = facts.join(lengths).select("tokens", F.explode(F.filter("lengths", lambda n: n <= F.size("tokens"))).alias("depth"))
+    rows = cuts.select(F.slice("tokens", F.lit(1), F.col("depth")).alias("probe"), F.get("tokens", F.col("depth")).alias("next_token"), (F.size("tokens") == F.col("depth")).alias("is_fact"))
+    counts = rows.join(p, "probe", "left_semi").groupBy("probe", "is_fact", "next_token").agg(F.count("*").alias("n"))
+    step = F.when(~F.col("is_fact"), F.struct("next_token", F.col("n").alias("numleaves")))
+    maps = counts.groupBy("probe").agg(F.bool_or("is_fact").alias("is_fact"), F.sum("n").alias("numfacts"), F.map_from_entries(F.sort_array(F.collect_list(step))).alias("next"))
+    none = _no_tokens(sequences.schema["tokens"].dataType.elementType.simpleString())
+    return p.join(maps, "probe", "left").select("probe", F.coalesce("is_fact", F.lit(False)).alias("is_fact"), F.coalesce("numfacts", F.lit(0).cast("long")).alias("numfacts"), F.coalesce("next", none).alias("next"))
+
+
 def subtract(a: Column | str, b: Column | str) -> Column:
     """Map a less map b, token by token; tokens with nothing left are gone. A null b takes nothing away."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))

@@ -115,6 +115,21 @@ def edges_multiplicity(sequences: DataFrame, depth: int | None = None) -> DataFr
     return _explode(sequences.select("tokens"), depth, F.count("*"))
 
 
+def marked_edges(sequences: DataFrame, depth: int | None = None) -> DataFrame:
+    """Edges with end marks: prefix, depth, next_token, numfacts and ends, so that a fact which another continues keeps its count, and a node can be both an end and inner.
+
+    numfacts counts the distinct sequences that start with prefix and next_token, ends tells whether one of them ends there. Empty sequences are none. Down to depth tokens if given.
+    """
+    last = F.size("tokens") - 1 if depth is None else F.least(F.size("tokens") - 1, F.lit(depth - 1))
+    rows = sequences.select("tokens").where(F.size("tokens") > 0).distinct().select("tokens", F.explode(F.sequence(F.lit(0), last)).alias("depth"))
+    return _marked(rows)
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    keyed = rows.select(F.slice("tokens", F.lit(1), F.col("depth")).alias("prefix"), "depth", F.element_at("tokens", F.col("depth") + 1).alias("next_token"), (F.size("tokens") == F.col("depth") + 1).alias("end"))
+    return keyed.groupBy("prefix", "depth", "next_token").agg(F.count("*").alias("numfacts"), F.bool_or("end").alias("ends"))
+
+
 def raw_visits(sequences: DataFrame) -> DataFrame:
     """prefix, depth and visits: how many insertions continue past each node, the root's empty prefix included. Nodes where all insertions end have 0."""
     some = sequences.where(F.size("tokens") > 0)

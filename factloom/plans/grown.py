@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.functions import tokens
-from factloom.operators import beams, lineage, radix, trie
+from factloom.operators import beams, digests, lineage, lookup, radix, trie
 from factloom.sources import incremental
 
 from .catalog import _DOC_LEAVES, FACTS, edge_text, query, sequences, spaced, table
@@ -122,3 +122,60 @@ def ragged_batches(spark, sf):
     """Customers in batches of 64, the last of which is what is left."""
     rows = beams.slices(table(spark, sf, "customer").select("c_custkey"), "c_custkey", 64)
     return rows.groupBy("batch").agg(F.count("*").alias("n"), F.min("c_custkey").alias("least"), F.max("slot").alias("last_slot"))
+
+
+_BROUGHT = f"""WITH {FACTS}, brought AS (SELECT tok FROM leaves UNION SELECT tok[1:3] FROM leaves)"""
+
+
+def _brought(spark, sf):
+    """The facts, and their first three tokens as facts of their own that others continue."""
+    own = sequences(spark, sf).select("tokens")
+    return own.unionByName(own.select(F.slice("tokens", 1, 3).alias("tokens")))
+
+
+@query(f"""{_BROUGHT} SELECT array_to_string(tok[1:d], ' ') AS prefix, d AS depth, tok[d + 1] AS next_token, count(*) AS numfacts, bool_or(len(tok) = d + 1) AS ends
+FROM (SELECT tok, unnest(range(len(tok))) AS d FROM brought) GROUP BY ALL""")
+def marked_edges(spark, sf):
+    """Edges with end marks: facts that others continue keep their counts."""
+    return trie.marked_edges(_brought(spark, sf)).select(spaced("prefix").alias("prefix"), F.col("depth").cast("long").alias("depth"), "next_token", "numfacts", "ends")
+
+
+@query(f"""{_BROUGHT}, probes AS (SELECT tok AS p FROM brought UNION SELECT list_concat(tok, ['more']) FROM brought UNION SELECT tok[1:1] FROM brought UNION SELECT tok[1:0] FROM brought),
+cuts AS (SELECT array_to_string(tok[1:d], ' ') AS p, d = len(tok) AS is_fact, coalesce(tok[d + 1], '') AS t FROM (SELECT tok, unnest(range(len(tok) + 1)) AS d FROM brought)),
+sums AS (SELECT p, bool_or(is_fact) AS is_fact, sum(n)::BIGINT AS numfacts, coalesce(string_agg(t || '=' || n, ',' ORDER BY t) FILTER (NOT is_fact), '') AS next FROM (SELECT p, is_fact, t, count(*) AS n FROM cuts GROUP BY ALL) GROUP BY p)
+SELECT array_to_string(probes.p, ' ') AS probe, coalesce(is_fact, false) AS is_fact, coalesce(numfacts, 0) AS numfacts, md5(coalesce(next, '')) AS next_md5 FROM probes LEFT JOIN sums ON array_to_string(probes.p, ' ') = sums.p""")
+def marked_lookup(spark, sf):
+    """Look-ups of every fact, its beginnings and what continues none: whether the probe is a fact, how many begin with it, and what follows."""
+    facts = _brought(spark, sf)
+    probes = facts.select(F.explode(F.array("tokens", F.concat("tokens", F.array(F.lit("more"))), F.slice("tokens", 1, 1), F.slice("tokens", 1, 0))).alias("probe"))
+    found = lookup.marked_next_tokens(probes, facts)
+    told = F.array_join(F.transform(F.map_entries("next"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return found.select(spaced("probe").alias("probe"), "is_fact", "numfacts", F.md5(told).alias("next_md5"))
+
+
+#: Two trees: facts without those of some nations, and all facts with those of some nations continued.
+_TWO_TREES = f"""WITH {FACTS}, one AS (SELECT DISTINCT tok FROM leaves WHERE md5(nation) >= '4'),
+two AS (SELECT DISTINCT CASE WHEN md5(nation) >= 'c' THEN list_concat(tok, ['and']) ELSE tok END AS tok FROM leaves),
+a AS (SELECT tok[1:d] AS p, d, tok[d + 1] AS t, count(*) AS n FROM (SELECT tok, unnest(range(len(tok))) AS d FROM one) GROUP BY ALL),
+b AS (SELECT tok[1:d] AS p, d, tok[d + 1] AS t, count(*) AS n FROM (SELECT tok, unnest(range(len(tok))) AS d FROM two) GROUP BY ALL),
+diff AS (SELECT p, d, t, a.n AS a, b.n AS b FROM a FULL JOIN b USING (p, d, t) WHERE a.n IS DISTINCT FROM b.n)"""
+
+
+def _two_trees(spark, sf):
+    own = sequences(spark, sf)
+    continued = F.when(F.md5("nation") >= "c", F.concat("tokens", F.array(F.lit("and")))).otherwise(F.col("tokens"))
+    one, two = own.where(F.md5("nation") >= "4").select("tokens"), own.select(continued.alias("tokens"))
+    return digests.difference(*[digests.fold(trie.edges(t)) for t in (one, two)])
+
+
+@query(f"{_TWO_TREES} SELECT array_to_string(p, ' ') AS prefix, d AS depth, t AS next_token, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM diff")
+def tree_difference(spark, sf):
+    """The edges in which two trees differ, by their digests."""
+    found = _two_trees(spark, sf)[0]
+    return found.select(spaced("prefix").alias("prefix"), "depth", "next_token", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("a", "b")])
+
+
+@query(f"{_TWO_TREES} SELECT level, count(*) AS nodes FROM (SELECT DISTINCT level, p[1:level] AS node FROM (SELECT p, unnest(range(len(p) + 1)) AS level FROM diff)) GROUP BY level")
+def tree_difference_visits(spark, sf):
+    """How many nodes of each level the search for differing edges opened: those above a difference, no others."""
+    return _two_trees(spark, sf)[1]
