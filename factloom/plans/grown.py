@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from factloom.functions import tokens
 from factloom.operators import beams, digests, lineage, lookup, radix, trie
 from factloom.sources import incremental
+from factloom.streaming import ordered
 
-from .catalog import _DOC_LEAVES, FACTS, edge_text, query, sequences, spaced, table
+from .catalog import _DOC_LEAVES, FACTS, ORACLE, conversation_words, edge_text, query, sequences, spaced, table
 
 #: What three batches bring: the first three tokens of every fact, then all facts, then those again of nations whose name ends in a digit's or letter's half, continued.
 _BATCHES = f"""WITH {FACTS}, brought AS (
@@ -179,3 +180,18 @@ def tree_difference(spark, sf):
 def tree_difference_visits(spark, sf):
     """How many nodes of each level the search for differing edges opened: those above a difference, no others."""
     return _two_trees(spark, sf)[1]
+
+
+@query(ORACLE["mode_switch"])
+def mode_switch_stream(spark, sf):
+    """mode_switch as a stream: words come in the order of a hash, in several micro-batches, and between two halves the stream is stopped and started again."""
+    path = lineage.scratch(spark, "stream")
+    words = conversation_words(spark, sf)
+    lot = F.pmod(F.xxhash64("conv_id", "seq"), F.lit(8))
+    rows = words.select(F.col("conv_id").alias("key"), "seq", F.col("word").alias("token"), F.timestamp_seconds("seq").alias("at"), lot.alias("lot"))
+    for half in (F.col("lot") < 4, F.col("lot") >= 4):
+        rows.where(half).repartition("lot").drop("lot").write.mode("append").parquet(f"{path}/words")
+        source = spark.readStream.schema(rows.drop("lot").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/words")
+        ordered.run_available(ordered.ordered_modes(source, "the", late="36500 days", idle="36500 days"), f"{path}/told", f"{path}/checkpoint")
+    told = spark.read.parquet(f"{path}/told")
+    return told.select(F.col("key").alias("conv_id"), "seq", "starts", "run", F.coalesce("cursor", F.lit(-1).cast("long")).alias("cursor"))
