@@ -33,13 +33,16 @@ def bleu(reference: list[str], candidate: list[str], order: int) -> float:
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one row of the table at a time."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a row of the table at a time: a row is one number, whose unset bits are where it rises."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        met = row & at.get(x, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(b) - row.bit_count()
 
 
 def _measure(stem: str) -> int:
@@ -133,7 +136,8 @@ def meteor(reference: list[str], candidate: list[str], alpha: float = 0.9, beta:
     pairs: dict[int, int] = {}
     for key in (lambda w: w, stem):
         left: dict[str, list[int]] = {}
-        for j in reversed([j for j in range(len(a)) if j not in set(pairs.values())]):
+        taken = set(pairs.values())
+        for j in reversed([j for j in range(len(a)) if j not in taken]):
             left.setdefault(key(a[j]), []).append(j)
         for i, w in enumerate(b):
             if i not in pairs and left.get(key(w)):

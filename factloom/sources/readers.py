@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import os
 import zipfile
 from urllib.parse import parse_qs, urlsplit
@@ -106,8 +107,9 @@ def zipped_csv(spark: SparkSession, path: str, columns: list[str], password: str
                     for name in z.namelist():
                         if name.endswith(".csv"):
                             with z.open(name, pwd=password.encode() if password else None) as f:
-                                found = list(csv.DictReader(io.TextIOWrapper(f, "utf-8", newline="")))
-                            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in found], pa.string()) for c in columns], names=columns)
+                                lines = csv.DictReader(io.TextIOWrapper(f, "utf-8", newline=""))
+                                while found := list(itertools.islice(lines, 10_000)):
+                                    yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in found], pa.string()) for c in columns], names=columns)
 
     schema = ", ".join(f"`{c}` string" for c in columns)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)

@@ -41,6 +41,17 @@ def test_small_functions(spark):
     assert [r[0] for r in df.select(T.reached_max(F.col("p"), F.col("f"), "<pad>")).collect()] == [True, False, False]
 
 
+def test_common_subsequence_against_the_table():
+    r = random.Random(3)
+    for _ in range(200):
+        a, b = ([r.choice("abcde") for _ in range(r.choice([0, 1, 5, 70]))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert scores.common_subsequence(a, b) == table[-1][-1]
+
+
 def test_scores():
     assert scores.bleu("a b c d".split(), "a b c d".split(), 4) == 1.0
     assert scores.bleu("a b c d".split(), "a b".split(), 1) == pytest.approx(2.718281828 ** (1 - 2))
