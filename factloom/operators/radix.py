@@ -9,18 +9,17 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import lineage, trie
+from . import lineage
 
 
-def shared(a: list, b: list) -> int:
-    """How many tokens two facts begin with alike."""
+def shared(a: list[str], b: list[str]) -> int:
+    """How many parts two facts begin with alike."""
     n = 0
     for x, y in zip(a, b, strict=False):
         if x != y:
@@ -60,73 +59,115 @@ def nodes_of(facts: Iterable[list], before: list[int], behind: list[int]) -> Ite
         yield 0, -1, last, stack[0][1]
 
 
-def compressed(leaves: DataFrame) -> DataFrame:
+def written(tokens: Column) -> Column:
+    """A sequence as one text, each token closed by character 0, so that texts sort with all that share a beginning side by side, and a text begins with another just if its sequence does. See read()."""
+    code = lambda t: F.concat(F.coalesce(F.replace(F.replace(t, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1")), F.lit("\1\3")), F.lit("\0"))
+    return F.array_join(F.transform(tokens.cast("array<string>"), code), "")
+
+
+def read(parts: list[str]) -> list[str | None]:
+    """Tokens of the parts of a written text."""
+    return [p if "\1" not in p else None if p == "\1\3" else p.replace("\1\1", "\0").replace("\1\2", "\1") for p in parts]
+
+
+def maximal(texts: Iterable[str], continued: bool) -> Iterator[list[str]]:
+    """The distinct ones of sorted written texts that no other continues, in parts. continued: the first text of the next range continues or repeats the last one here."""
+    held = None
+    for text in texts:
+        if held is not None and not text.startswith(held):
+            yield held.split("\0")[:-1]
+        held = text
+    if held is not None and not continued:
+        yield held.split("\0")[:-1]
+
+
+def compressed(sequences: DataFrame) -> DataFrame:
     """node and parent (16-byte digests of the tokens from the root; the root has no parent), depth, label (the tokens from the parent to the node) and numleaves.
 
-    leaves(tokens) are distinct and no one continues another, as trie.maximal_leaves gives them. A fact is a node with numleaves 1 and nothing below. At most twice as many nodes as facts; without facts none.
+    Of sequences(tokens) those count that no other continues, repeats once; null and empty ones are none. A fact is a node with numleaves 1 and nothing below. At most twice as many nodes as facts; without facts none.
+    Tokens are text, or of a type that goes into text and back. Sequences move once, each as one text: sorted by ranges, in which repeats and beginnings of a successor are left out. Copies of a sequence may lie in
+    several ranges, so none is larger for them. Nodes deeper than
+    what a range shares with its neighbours are whole; only the others are added up over ranges.
     """
-    spark, kind = leaves.sparkSession, leaves.schema["tokens"].dataType.simpleString()
-    local = lineage.cut(leaves.select("tokens").repartitionByRange("tokens").sortWithinPartitions("tokens").withColumn("part", F.spark_partition_id()))
+    kind = sequences.schema["tokens"].dataType.simpleString()
+    rows = sequences.where(F.size("tokens") > 0).select(written(F.col("tokens")).alias("text"), F.monotonically_increasing_id().alias("copy"))
+    local = lineage.cut(rows.repartitionByRange("text", "copy").sortWithinPartitions("text").select("text", F.spark_partition_id().alias("part")))
+
+    def opened(batches):
+        """The part of a range and its texts; None and nothing where it is empty."""
+        batches = (b for b in batches if b.num_rows)
+        head = next(batches, None)
+        return (None, iter(())) if head is None else (head.column(1)[0].as_py(), (x for b in itertools.chain([head], batches) for x in b.column(0).to_pylist()))
+
+    def borders(batches):
+        first = last = None
+        for b in batches:
+            if b.num_rows:
+                first = b.slice(0, 1) if first is None else first
+                last = b.column(0).slice(b.num_rows - 1, 1)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([first.column(1), first.column(0), last], names=["part", "first", "last"])
+
+    place = Window.partitionBy(F.lit(0)).orderBy("part")  # one row for each range
+    ends = local.mapInArrow(borders, "part int, first string, last string").withColumn("next", F.lead("first").over(place))
+    continued = {r["part"] for r in ends.where(F.startswith("next", "last")).select("part").collect()}
 
     def summary(batches):
-        first = last = part = None
+        part, texts = opened(batches)
+        first = last = None
         low: list[int] = []  # lengths that none before undercuts, descending
         tail: list[int] = []  # lengths that none behind undercuts, ascending
-        for b in batches:
-            for tokens in b.column(0).to_pylist():
-                if first is None:
-                    first, part = tokens, b.column(1)[0].as_py()
-                else:
-                    n = shared(last, tokens)
-                    if not low or n < low[-1]:
-                        low.append(n)
-                    while tail and tail[-1] >= n:
-                        tail.pop()
-                    tail.append(n)
-                last = tokens
+        for fact in maximal(texts, part in continued):
+            if first is None:
+                first = fact
+            else:
+                n = shared(last, fact)
+                if not low or n < low[-1]:
+                    low.append(n)
+                while tail and tail[-1] >= n:
+                    tail.pop()
+                tail.append(n)
+            last = fact
         if first is not None:
-            types = {"part": pa.int32(), "low": pa.list_(pa.int32()), "tail": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip((part, low, tail), types.values(), strict=True)), pa.array([first], b.schema.field(0).type), pa.array([last], b.schema.field(0).type)], names=[*types, "first", "last"])
+            types = {"part": pa.int32(), "low": pa.list_(pa.int32()), "tail": pa.list_(pa.int32()), "first": pa.list_(pa.string()), "last": pa.list_(pa.string())}
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, low, tail, first, last), types.values(), strict=True)], names=list(types))
 
-    told = local.mapInArrow(summary, f"part int, low array<int>, tail array<int>, first {kind}, last {kind}")
-    place = Window.partitionBy(F.lit(0)).orderBy("part")  # one row for each range
+    told = local.mapInArrow(summary, "part int, low array<int>, tail array<int>, first array<string>, last array<string>")
     alike = F.array_position(F.zip_with("last", F.lead("first").over(place), lambda x, y: x.eqNullSafe(y)), False)
     ranges = told.select("part", "low", "tail", (alike - 1).cast("int").alias("border")).orderBy("part").collect()
-    before, behind = {}, {}
+    before, behind, reach = {}, {}, {}  # reach: no deeper node of a range goes on beyond it
     open_: list[int] = []
+    left = 0
     for r in ranges:
         before[r["part"]] = open_
+        reach[r["part"]], left = max(left, r["border"] or 0), r["border"] or 0
         least = r["low"][-1] if r["low"] else None
         open_ = sorted({d for d in open_ if least is None or d <= least} | set(r["tail"]))
         open_ = [d for d in open_ if d < (r["border"] or 0)] + ([r["border"]] if r["border"] else [])
-    open_, border = [], None
+    open_ = []
     for r in reversed(ranges):
         behind[r["part"]] = open_ = sorted({d for d in open_ if r["border"] is not None and d < r["border"]} | ({r["border"]} if r["border"] else set()))
         least = r["low"][-1] if r["low"] else None
         open_ = sorted({d for d in open_ if least is None or d <= least} | set(r["low"]))
-    digest = lambda tokens: hashlib.blake2b(json.dumps(tokens).encode(), digest_size=16).digest()
+    digest = lambda parts: hashlib.blake2b("".join(p + "\0" for p in parts).encode(), digest_size=16).digest()
 
-    def scan(batches):
-        batches = (b for b in batches if b.num_rows)
-        head = next(batches, None)
-        if head is None:
-            return
-        part, type_ = head.column(1)[0].as_py(), head.schema.field(0).type
-        facts = (x for b in itertools.chain([head], batches) for x in b.column(0).to_pylist())
-        found = ((digest(fact[:d]), digest(fact[:p]) if p >= 0 else None, d, fact[max(p, 0) : d], n) for d, p, fact, n in nodes_of(facts, before[part], behind[part]))
-        while some := list(itertools.islice(found, 1000)):
-            columns = zip(zip(*some, strict=True), (pa.binary(), pa.binary(), pa.int32(), type_, pa.int64()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["node", "parent", "depth", "label", "n"])
+    def scan(at_borders: bool):
+        def run(batches):
+            part, texts = opened(batches)
+            if part not in before:  # all of its facts go on elsewhere
+                return
+            nodes = (x for x in nodes_of(maximal(texts, part in continued), before[part], behind[part]) if (x[0] <= reach[part]) == at_borders)
+            found = ((digest(fact[:d]), digest(fact[:p]) if p >= 0 else None, d, read(fact[max(p, 0) : d]), n) for d, p, fact, n in nodes)
+            while some := list(itertools.islice(found, 1000)):
+                columns = zip(zip(*some, strict=True), (pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.int64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["node", "parent", "depth", "label", "numleaves"])
+
+        return local.mapInArrow(run, "node binary, parent binary, depth int, label array<string>, numleaves long")
 
-    rows = local.mapInArrow(scan, f"node binary, parent binary, depth int, label {kind}, n long")
-    return rows.groupBy("node", "depth").agg(F.max("parent").alias("parent"), F.first("label").alias("label"), F.sum("n").alias("numleaves")).select("node", "parent", "depth", "label", "numleaves")
+    spread = scan(True).groupBy("node", "depth").agg(F.max("parent").alias("parent"), F.first("label").alias("label"), F.sum("numleaves").alias("numleaves"))
+    return scan(False).unionByName(spread).withColumn("label", F.col("label").cast(kind))
 
 
 def expanded(tree: DataFrame) -> int:
     """How many nodes the tree has without compression: the tokens of all labels."""
     return tree.agg(F.coalesce(F.sum(F.size("label")), F.lit(0))).first()[0]
-
-
-def of_sequences(sequences: DataFrame) -> DataFrame:
-    """compressed() of any sequences(tokens)."""
-    return compressed(trie.maximal_leaves(sequences))

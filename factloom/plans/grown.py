@@ -54,22 +54,22 @@ FROM spelt v LEFT JOIN above USING (text) JOIN below USING (text)"""
 
 
 def _spelt(tree):
-    """A tree's nodes by the text of their paths, for comparison: each path is put together once from the labels above it."""
-    parents = tree.select(F.col("node").alias("parent"), F.col("depth").alias("up"))
-    return tree.join(parents, "parent", "left").select(F.col("depth").cast("long").alias("depth"), F.coalesce("up", F.lit(-1)).cast("long").alias("parent_depth"), F.md5(spaced("label")).alias("label_md5"), "numleaves")
+    """A tree's nodes by the texts of their labels, for comparison; a label begins where the parent ends."""
+    up = F.when(F.col("parent").isNull(), F.lit(-1)).otherwise(F.col("depth") - F.size("label"))
+    return tree.select(F.col("depth").cast("long").alias("depth"), up.cast("long").alias("parent_depth"), F.md5(spaced("label")).alias("label_md5"), "numleaves")
 
 
 @query(f"WITH {_DOC_LEAVES}, {_TREE}, told AS ({_SPELT}) SELECT depth, parent_depth, label_md5, numleaves FROM told")
 def compressed_tree_docs(spark, sf):
     """The path-compressed tree of whole documents."""
     docs = table(spark, sf, "documents").where("text <> ''")
-    return _spelt(radix.of_sequences(docs.select(tokens.words("text").alias("tokens"))))
+    return _spelt(radix.compressed(docs.select(tokens.words("text").alias("tokens"))))
 
 
 @query(f"WITH {FACTS}, {_TREE}, told AS ({_SPELT}) SELECT depth, parent_depth, label_md5, numleaves FROM told")
 def compressed_tree_facts(spark, sf):
     """The path-compressed tree of facts, which share their beginnings."""
-    return _spelt(radix.of_sequences(sequences(spark, sf)))
+    return _spelt(radix.compressed(sequences(spark, sf)))
 
 
 #: Beams of each supplier over the facts, with the tokens that its nation's facts have as candidates; costs from hashes, whole numbers so that sums are exact.

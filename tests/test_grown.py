@@ -111,11 +111,14 @@ def plain_tree(leaves):
 @pytest.mark.parametrize(("seed", "letters", "n", "ranges"), [(1, "ab", 40, 1), (2, "ab", 60, 7), (3, "abcdef", 120, 9), (4, "a", 1, 3), (5, "ab", 90, 60)])
 def test_compressed_tree_against_all_pairs(spark, seed, letters, n, ranges):
     r = random.Random(seed)
-    leaves = maximal([["z"] * r.choice([0, 3]) + [r.choice(letters) for _ in range(r.choice([1, 4, 9, 12]))] for _ in range(n)])
+    given = [["z"] * r.choice([0, 3]) + [r.choice(letters) for _ in range(r.choice([1, 4, 9, 12]))] for _ in range(n)]
+    given += [given[0]] * n + [given[-1][:k] for k in range(len(given[-1]))]  # a hot copy, beginnings, an empty one
+    r.shuffle(given)
+    leaves = maximal([g for g in given if g])
     spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        tree = radix.compressed(frame(spark, leaves)).collect()
+        tree = radix.compressed(frame(spark, given)).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -125,7 +128,7 @@ def test_compressed_tree_against_all_pairs(spark, seed, letters, n, ranges):
 
 
 def test_compressed_tree_of_nothing(spark):
-    tree = radix.of_sequences(frame(spark, [[], []]))
+    tree = radix.compressed(frame(spark, [[], []]))
     assert tree.count() == 0 and radix.expanded(tree) == 0
 
 
@@ -134,3 +137,15 @@ def test_labels_spell_the_whole_tree(spark):
     df = frame(spark, leaves)
     nodes = trie.edges(df, leaves=True).select(F.concat("prefix", F.array("next_token")).alias("path")).distinct().count()
     assert radix.expanded(radix.compressed(df)) == nodes
+
+
+def test_compressed_tree_of_other_tokens(spark):
+    df = spark.createDataFrame([([1, 2, 3],), ([1, 2, 4],), ([1, 2],), ([5],), (None,)], "tokens array<long>")
+    got = {(r["depth"], tuple(r["label"]), r["numleaves"]) for r in radix.compressed(df).collect()}
+    assert got == {(0, (), 3), (2, (1, 2), 2), (3, (3,), 1), (3, (4,), 1), (1, (5,), 1)}
+    odd = ["\0", "\1", "", "\1\2", "\0\2", "\1\0", "\1\3"]
+    got = {(r["depth"], tuple(r["label"]), r["numleaves"]) for r in radix.compressed(frame(spark, [odd, odd[:3], ["\0", "\1"], [*odd[:3], "b"]])).collect()}
+    assert got == {(0, (), 2), (3, tuple(odd[:3]), 2), (7, tuple(odd[3:]), 1), (4, ("b",), 1)}
+    df = frame(spark, [["a", None, 'x"y'], ["a", None], ["a", "None"]])
+    got = {(r["depth"], tuple(r["label"]), r["numleaves"]) for r in radix.compressed(df).collect()}
+    assert got == {(0, (), 2), (1, ("a",), 2), (3, (None, 'x"y'), 1), (2, ("None",), 1)}
