@@ -1,15 +1,15 @@
-"""Queries of the index that grows by batches, of the path-compressed tree, and of beams and draws."""
+"""Queries of the index that grows by batches or lies in buckets, of the path-compressed tree, of beams and draws, and of sketches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from factloom.functions import tokens
-from factloom.operators import beams, digests, lineage, lookup, radix, trie
-from factloom.sources import incremental
+from factloom.operators import beams, digests, lineage, lookup, radix, sketches, trie
+from factloom.sources import bucketed, incremental
 from factloom.streaming import ordered
 
-from .catalog import _DOC_LEAVES, FACTS, ORACLE, conversation_words, edge_text, query, sequences, spaced, table
+from .catalog import _DOC_LEAVES, _NEXT, FACTS, ORACLE, conversation_words, edge_text, probes, query, sequences, spaced, table
 
 #: What three batches bring: the first three tokens of every fact, then all facts, then those again of nations whose name ends in a digit's or letter's half, continued.
 _BATCHES = f"""WITH {FACTS}, brought AS (
@@ -195,3 +195,49 @@ def mode_switch_stream(spark, sf):
         ordered.run_available(ordered.ordered_modes(source, "the", late="36500 days", idle="36500 days"), f"{path}/told", f"{path}/checkpoint")
     told = spark.read.parquet(f"{path}/told")
     return told.select(F.col("key").alias("conv_id"), "seq", "starts", "run", F.coalesce("cursor", F.lit(-1).cast("long")).alias("cursor"))
+
+
+@query(ORACLE["persisted_next_tokens"])
+def bucketed_lookup(spark, sf):
+    """persisted_next_tokens of an index stored in buckets, which stays where it is; lots of ten rows, so that hot keys are dealt out."""
+    path = lineage.scratch(spark, "buckets")
+    bucketed.build(sequences(spark, sf), path, 3, 8, hot=10)
+    found = bucketed.next_tokens(probes(spark, sf), bucketed.attach(spark, path))
+    return found.select(spaced("probe").alias("probe"), F.size("probe").cast("long").alias("length"), F.expr(_NEXT).alias("next"))
+
+
+def _batched(spark, values, keys, value):
+    """The sketches of values by keys, of four batches that were stored one after another and read back as one."""
+    path = lineage.scratch(spark, "sketches")
+    for batch in range(4):
+        sketches.store(sketches.sketch(values.where(F.col("batch") == batch), keys, value), path, str(batch))
+    return sketches.told(sketches.merged(sketches.stored(spark, path), keys), keys, (0.75, 0.9))
+
+
+def _within(values, found, keys, value):
+    """found with min, max and num, and whether the ranks of its quantiles in the values are right within the bound."""
+    out = found
+    for name, q in (("q75", 0.75), ("q90", 0.9)):
+        at = sketches.ranks(values, found, keys, value, name)
+        right = (F.col("below") - sketches.rank_error() <= q) & (F.col("upto") + sketches.rank_error() >= q)
+        out = out.join(at.select(*keys, right.alias(f"{name}_right")), keys)
+    return out.select(*keys, "num", "min", "max", "q75_right", "q90_right")
+
+
+@query("""SELECT event_type, count(value) AS num, min(value)::DOUBLE AS min, max(value)::DOUBLE AS max, true AS q75_right, true AS q90_right FROM events WHERE value IS NOT NULL GROUP BY event_type""")
+def timing_sketches(spark, sf):
+    """Sketches of the values of each type of event from four stored batches; whether the ranks of their quantiles are right."""
+    values = table(spark, sf, "events").select("event_type", F.col("value").cast("double").alias("value"), F.pmod("event_id", F.lit(4)).alias("batch"))
+    return _within(values, _batched(spark, values, ["event_type"], "value"), ["event_type"], "value")
+
+
+@query("""WITH docs AS (SELECT DISTINCT doc_id % 4 AS batch, string_split(text, ' ') AS tok FROM documents WHERE text <> ''),
+nodes AS (SELECT batch, d, count(*)::DOUBLE AS visits FROM (SELECT batch, tok, unnest(range(1, least(len(tok), 3) + 1)) AS d FROM docs) GROUP BY batch, d, tok[1:d])
+SELECT d AS level, count(*) AS num, min(visits) AS min, max(visits) AS max, true AS q75_right, true AS q90_right FROM nodes GROUP BY d""")
+def level_sketches(spark, sf):
+    """Sketches of how many texts go through each node of the first three levels of the documents' trees, a tree for each of four stored batches."""
+    docs = table(spark, sf, "documents").where("text <> ''").select(F.pmod("doc_id", F.lit(4)).alias("batch"), tokens.words("text").alias("tokens")).distinct()
+    nodes = docs.select("batch", "tokens", F.explode(F.sequence(F.lit(1), F.least(F.size("tokens"), F.lit(3)))).alias("level"))
+    visits = nodes.groupBy("batch", F.col("level").cast("long").alias("level"), F.slice("tokens", F.lit(1), F.col("level")).alias("node")).agg(F.count("*").alias("visits"))
+    visits = lineage.cut(visits.select("batch", "level", "visits"))  # read by every batch
+    return _within(visits, _batched(spark, visits, ["level"], "visits"), ["level"], "visits")
