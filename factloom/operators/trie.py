@@ -169,16 +169,18 @@ def nodes(edge: DataFrame) -> DataFrame:
     return edge.groupBy(F.col("prefix").alias("key"), "depth").agg(F.sum("numleaves").alias("numleaves"), F.map_from_entries(kv).alias("next"))
 
 
-def depth_cut(sequences: DataFrame, switch: int) -> tuple[DataFrame, DataFrame]:
+def depth_cut(sequences: DataFrame, switch: int, leaves: bool = False) -> tuple[DataFrame, DataFrame]:
     """The persisted form: edges below prefixes shorter than switch tokens, and suffixes(key, suffix) of what leaves hold below keys of switch tokens.
 
+    leaves: the sequences are distinct and maximal already.
+
     Edges stay rows, one for each child, so that no row grows with a node's children; nodes() makes maps of them.
 
     With a root token in front of every key, as the original counts, its switch parameter is one more than ours.
     """
-    leaves = maximal_leaves(sequences)
-    upper = edges(leaves, depth=switch, leaves=True)
-    lower = leaves.where(F.size("tokens") > switch).select(F.slice("tokens", 1, switch).alias("key"), F.expr(f"slice(tokens, {switch + 1}, size(tokens))").alias("suffix"))
+    whole = sequences.select("tokens") if leaves else maximal_leaves(sequences)
+    upper = edges(whole, depth=switch, leaves=True)
+    lower = whole.where(F.size("tokens") > switch).select(F.slice("tokens", 1, switch).alias("key"), F.expr(f"slice(tokens, {switch + 1}, size(tokens))").alias("suffix"))
     return upper, lower
 
 

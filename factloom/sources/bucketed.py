@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import lookup, trie
+from factloom.operators import lineage, lookup, trie
 
 #: Rows of a key that one lot holds.
 HOT = 100_000
@@ -52,7 +52,7 @@ def build(sequences: DataFrame, path: str, switch: int = 6, buckets: int = 200,
     With at least as many buckets as spark.sql.shuffle.partitions, joins keep the index where it is.
     """
     spark = sequences.sparkSession
-    upper, lower = trie.depth_cut(sequences, switch)
+    upper, lower = trie.depth_cut(lineage.cut(trie.maximal_leaves(sequences)), switch, leaves=True)  # read by both parts and their heads
     edges, hot_edges = _dealt(upper.select("prefix", "next_token", "numleaves"), "edges", "prefix", "next_token", hot)
     suffixes, hot_keys = _dealt(lower, "suffixes", "key", "suffix", hot)
     for name, rows in (("edges", edges), ("suffixes", suffixes)):
