@@ -140,25 +140,38 @@ def strength(sums: DataFrame, mean: Column) -> float:
     return float(min(max(noise / between if between > 0 else 1e4, 1.0), 1e4))
 
 
-def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
-    """Of scored(host, path, log_odds): path_mean for each host and path, shrunk toward its host, which is shrunk toward the corpus; and the corpus mean."""
+class Prior(NamedTuple):
+    """The corpus mean, and the prior strengths of hosts around it and of paths around their hosts."""
+
+    corpus: float
+    host: float
+    path: float
+
+    def means(self, p: Column | None = None) -> tuple[Column, Column]:
+        """host_mean, shrunk toward the corpus, and path_mean, shrunk toward its host, of rows with the sums host_n, host_p, n, p of posteriors(); without a document of probability p, if given."""
+        one, own = (0, F.lit(0.0)) if p is None else (1, p)
+        host = (F.col("host_p") - own + self.host * self.corpus) / (F.col("host_n") - one + self.host)
+        return host, (F.col("p") - own + self.path * host) / (F.col("n") - one + self.path)
+
+
+def posteriors(scored: DataFrame) -> tuple[DataFrame, Prior]:
+    """Of scored(host, path, log_odds): documents n, host_n and summed probabilities p, host_p of each host and path; and the prior that makes means of them."""
     p = 1 / (1 + F.exp(-F.col("log_odds")))
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(p).alias("p"), F.sum(p * (1 - p)).alias("v"))
     total = paths.agg(F.sum("n"), F.sum("p")).first()
     corpus = (total[1] + 0.5) / (total[0] + 1) if total[0] else 0.5
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "p", "v")])
     k = strength(hosts, F.lit(corpus))
-    hosts = hosts.select("host", ((F.col("p") + k * corpus) / (F.col("n") + k)).alias("host_mean"))
-    both = paths.join(hosts.toDF("h", "host_mean"), F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "p", "v", "host_mean")
-    k = strength(both, F.col("host_mean"))
-    return both.select("host", "path", "host_mean", ((F.col("p") + k * F.col("host_mean")) / (F.col("n") + k)).alias("path_mean")), corpus
+    both = paths.join(hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("p").alias("host_p")), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    prior = Prior(corpus, k, strength(both, Prior(corpus, k, 0.0).means()[0]))
+    return both.select("host", "path", "n", "p", "host_n", "host_p"), prior
 
 
 def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE, carry: tuple[Column, ...] = ()) -> DataFrame:
     """Score each row of docs(doc_id, text and what host and path need): doc_id, doc_score, host_score, path_score, quality_score, kept; with the named columns of carry after doc_id.
 
     host and path default to source, and source with lang. Null hosts and paths are groups of their own. A row is kept if quality_score >= threshold.
-    Null and empty texts are scored as empty. Repeated rows are scored each. An empty table gives an empty result; with no usable label all scores are 0.5 or so and all rows are kept.
+    host_score and path_score are the posteriors without the row itself; a row alone in its host has the corpus mean. Null and empty texts are scored as empty. Repeated rows are scored each. An empty table gives an empty result; with no usable label all scores are 0.5 or so and all rows are kept.
     The groups' sums are small and the texts don't move: the rows that are joined with the groups hold a doc_id, a host, a path and a number.
     """
     host = F.col("source") if host is None else host
@@ -166,11 +179,13 @@ def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     slim = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), *carry, "text")
     scored = evidence(slim, learn(docs.select("doc_id", "text"), labels, sample), slim.columns[:-1])
     scored = materialize(scored, "evidence")
-    means, corpus = posteriors(scored)
-    means = means.toDF("h", "p", "host_mean", "path_mean")
+    sums, prior = posteriors(scored)
+    sums = sums.withColumnsRenamed({"host": "of_host", "path": "of_path"})
     logit = lambda x: F.log(x / (1 - x))
-    joined = scored.join(means, scored["host"].eqNullSafe(means["h"]) & scored["path"].eqNullSafe(means["p"]))
-    shift = logit(F.least(F.greatest("path_mean", F.lit(1e-3)), F.lit(1 - 1e-3))) - F.log(F.lit(corpus / (1 - corpus)))
+    joined = scored.join(sums, scored["host"].eqNullSafe(sums["of_host"]) & scored["path"].eqNullSafe(sums["of_path"]))
+    host_mean, path_mean = prior.means(1 / (1 + F.exp(-F.col("log_odds"))))  # what the others tell, so that no document confirms itself
+    joined = joined.withColumns({"host_mean": host_mean, "path_mean": path_mean})
+    shift = logit(F.least(F.greatest("path_mean", F.lit(1e-3)), F.lit(1 - 1e-3))) - F.log(F.lit(prior.corpus / (1 - prior.corpus)))
     combined = 1 / (1 + F.exp(-(F.col("log_odds") + SITE_WEIGHT * shift)))
     out = joined.select("doc_id", *slim.columns[3:-1], (1 / (1 + F.exp(-F.col("log_odds")))).alias("doc_score"), F.col("host_mean").alias("host_score"), F.col("path_mean").alias("path_score"), combined.alias("quality_score"))
     return out.withColumn("kept", F.col("quality_score") >= threshold)

@@ -106,7 +106,7 @@ def plain_log_odds(text, c):
 
 
 def plain_scores(rows, c):
-    """rows (host, path, text): host, path and quality scores, by the formulas of empirical Bayes."""
+    """rows (host, path, text): host, path and quality scores, by the formulas of empirical Bayes; a row's means leave it out."""
     sigmoid = lambda x: 1 / (1 + math.exp(-x))
     odds = [plain_log_odds(t or "", c) for _, _, t in rows]
 
@@ -128,12 +128,16 @@ def plain_scores(rows, c):
 
     hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
     corpus = (sum(map(sigmoid, odds)) + 0.5) / (len(rows) + 1)
-    k = strength(hosts, lambda _: corpus)
-    host_mean = {h: (p + k * corpus) / (n + k) for h, (n, p, _) in hosts.items()}
-    k = strength(paths, lambda key: host_mean[key[0]])
-    path_mean = {key: (p + k * host_mean[key[0]]) / (n + k) for key, (n, p, _) in paths.items()}
+    a = strength(hosts, lambda _: corpus)
+    b = strength(paths, lambda key: (hosts[key[0]][1] + a * corpus) / (hosts[key[0]][0] + a))
     logit = lambda x: math.log(x / (1 - x))
-    return [(host_mean[h], path_mean[h, q], sigmoid(x + quality.SITE_WEIGHT * (logit(min(max(path_mean[h, q], 1e-3), 1 - 1e-3)) - logit(corpus)))) for (h, q, _), x in zip(rows, odds, strict=True)]
+    out = []
+    for (h, q, _), x in zip(rows, odds, strict=True):
+        p = sigmoid(x)
+        host = (hosts[h][1] - p + a * corpus) / (hosts[h][0] - 1 + a)
+        path = (paths[h, q][1] - p + b * host) / (paths[h, q][0] - 1 + b)
+        out.append((host, path, sigmoid(x + quality.SITE_WEIGHT * (logit(min(max(path, 1e-3), 1 - 1e-3)) - logit(corpus)))))
+    return out
 
 
 def test_quality_against_plain(spark, sf):
