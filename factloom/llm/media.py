@@ -442,5 +442,5 @@ def media_features(docs: DataFrame) -> DataFrame:
 
     return by_rows(
         docs.select("doc_id", "text"), rows,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long",
+        f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long",
     )

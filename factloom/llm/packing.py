@@ -77,16 +77,19 @@ def cut(docs: DataFrame, files: tuple, room: int = 2048) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 b = whole.slice(at, BATCH_ROWS)
-                out = []
+                out, docs_of = [], []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     ids = np.append(t.encode(text or ""), np.uint32(END)).astype("<u4")
                     for start in range(0, len(ids), room):
                         n = min(room, len(ids) - start)
-                        out.append((doc, start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), chunk, seen[n]))
+                        docs_of.append(doc)
+                        out.append((start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids), chunk, seen[n]))
                         seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7)], names=names)
+                numbers = [pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)]
+                yield pa.RecordBatch.from_arrays([pa.array(docs_of, b.schema.field(0).type), *numbers], names=names)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names)), "pieces")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return materialize(docs.select("doc_id", "text").mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{n} long" for n in names[1:]]])), "pieces")
 
 
 def shortest_pack_first(histogram: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
@@ -168,4 +171,4 @@ def pack(docs: DataFrame, files: tuple, room: int = 2048) -> DataFrame:
                 offset[rows] = offsets[run]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

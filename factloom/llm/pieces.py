@@ -25,8 +25,6 @@ from .common import by_rows
 MEMORY, PAIRS = 400_000, 500_000
 #: Moves of the automaton that a worker remembers. Units of texts that are encoded together, about.
 MOVES, TOGETHER = 500_000, 400_000
-#: Moves of the automaton that a worker remembers. Units of texts that are encoded together, about.
-MOVES, TOGETHER = 500_000, 400_000
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -108,7 +106,7 @@ class PieceModel:
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
-        """The model of a file. Raises ValueError where the file asks for what this encoder doesn't do: other algorithms than BPE with byte fallback, a normaliser, no space in front, user-defined pieces."""
+        """The model of a file. Raises ValueError where the file asks for what this encoder doesn't do: other algorithms than BPE with byte fallback, a normaliser, no space in front, user-defined or unused pieces."""
         with open(path, "rb") as f:
             found = list(_fields(f.read()))
         trainer, normalizer = ({k: v for part, v in found if part == which for k, v in _fields(v)} for which in (2, 3))
@@ -117,7 +115,7 @@ class PieceModel:
         wrong = {
             "not BPE": trainer.get(3, 1) != 2, "no byte fallback": not trainer.get(35), "space as suffix": trainer.get(24),
             "a normaliser": normalizer.get(2) or normalizer.get(6), "no space in front": not normalizer.get(3, 1),
-            "extra spaces go": normalizer.get(4, 1), "spaces not escaped": not normalizer.get(5, 1), "user-defined pieces": 4 in kinds,
+            "extra spaces go": normalizer.get(4, 1), "spaces not escaped": not normalizer.get(5, 1), "user-defined pieces": 4 in kinds, "unused pieces": 5 in kinds,
         }
         if any(wrong.values()):
             raise ValueError(f"{path}: " + ", ".join(k for k, v in wrong.items() if v))
@@ -323,7 +321,7 @@ def piece_digest(docs: DataFrame, path: str) -> DataFrame:
             decoded.append(hashlib.sha256(text.encode()).hexdigest())
         return {"doc_id": b.column(0), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded}
 
-    return by_rows(docs.select("doc_id", "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_rows(docs.select("doc_id", "text"), rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(docs: DataFrame, path: str) -> DataFrame:
@@ -334,7 +332,7 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
         ids = [list(map(int, x.split(","))) if x else [] for x, _ in m.encode_texts([t or "" for t in b.column(1).to_pylist()])]
         return {"doc_id": b.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
-    return by_rows(docs.select("doc_id", "text"), rows, "doc_id long, ids array<int>")
+    return by_rows(docs.select("doc_id", "text"), rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_column(ids: DataFrame, path: str) -> DataFrame:
@@ -344,4 +342,4 @@ def decode_column(ids: DataFrame, path: str) -> DataFrame:
         m = model(path)
         return {"doc_id": b.column(0), "text": [m.decode_ids(x)[1:] if x else "" for x in b.column(1).to_pylist()]}
 
-    return by_rows(ids.select("doc_id", "ids"), rows, "doc_id long, text string")
+    return by_rows(ids.select("doc_id", "ids"), rows, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string")

@@ -171,7 +171,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         return {"doc_id": b.column(0), "base_spans": pa.array([shape(x) for x, _ in found], kind), "spans": pa.array([shape(y) for _, y in found], kind)}
 
-    return by_rows(docs.select("doc_id", "text"), rows, f"doc_id long, base_spans {one}, spans {one}")
+    return by_rows(docs.select("doc_id", "text"), rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base_spans {one}, spans {one}")
 
 
 def span_text(spans: str) -> F.Column:

@@ -16,7 +16,7 @@ from brute import dedup_lines
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import html, langid, lines, packing, pieces, quality, secrets
+from factloom.llm import html, langid, lines, media, packing, pieces, quality, secrets
 from factloom.llm.queries import byte_bpe_files
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -196,10 +196,11 @@ def test_quality_edge_cases(spark):
 
 def test_posteriors_shrink(spark):
     rows = [("big", "big/a", 2.0)] * 400 + [("big", "big/b", -2.0)] * 400 + [("small", "small/x", -2.0)] + [("c", "c/y", 2.0)] * 300
-    means, corpus = quality.posteriors(spark.createDataFrame(rows, "host string, path string, log_odds double"))
-    m = {r["path"]: r for r in means.collect()}
+    sums, prior = quality.posteriors(spark.createDataFrame(rows, "host string, path string, log_odds double"))
     own = 1 / (1 + math.exp(2.0))
-    assert own < m["small/x"]["path_mean"] < corpus and abs(m["big/b"]["path_mean"] - own) < 0.05 and m["big/a"]["path_mean"] > 0.8
+    m = {r["path"]: r for r in sums.select("path", prior.means()[1].alias("path_mean"), prior.means(F.lit(own))[1].alias("others")).collect()}
+    assert abs(m["small/x"]["others"] - prior.corpus) < 1e-9  # a document alone tells its site nothing
+    assert own < m["small/x"]["path_mean"] < prior.corpus and abs(m["big/b"]["path_mean"] - own) < 0.05 and m["big/a"]["path_mean"] > 0.8
 
 
 # HTML
@@ -431,3 +432,16 @@ def test_shortest_pack_first_uses_every_piece():
             assert ranks[0] == 0 and (np.diff(ranks) > 0).all() and n in h
     with pytest.raises(ValueError):
         packing.shortest_pack_first({65: 1}, 64)
+
+
+# identifiers
+
+
+def test_ids_of_any_type(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "some words password = abcdef12"), (None, None), ("b", "x " * 3000)], "doc_id string, text string")
+    model, bpe = PIECES, byte_bpe_files()
+    for found in (media.media_features(docs), secrets.secret_spans(docs), pieces.piece_digest(docs, model), pieces.encode_column(docs, model), packing.pack(docs, bpe, 2048)):
+        assert found.schema["doc_id"].dataType.simpleString() == "string"
+        assert {r["doc_id"] for r in found.collect()} == {"a", "b", None}
+    assert {r["doc_id"] for r in pieces.decode_column(pieces.encode_column(docs, model), model).collect()} == {"a", "b", None}
+    assert packing.pack(docs.limit(0), bpe, 2048).isEmpty()
