@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from factloom.operators import lineage, lookup, trie
 
-#: Rows of a key that one lot holds.
-HOT = 100_000
+#: Rows of a key that one lot holds, and over how many tasks a key's rows are dealt while their lots are looked up.
+HOT, SALTS = 100_000, 64
+_HEADS = "part string, key_text string, lots int"
 
 
 @dataclass(frozen=True)
@@ -37,13 +38,18 @@ def _place(key_text: Column, lot: Column) -> Column:
     return F.concat_ws("#", lot.cast("string"), key_text)
 
 
-def _dealt(rows: DataFrame, part: str, key: str, by: str, hot: int) -> tuple[DataFrame, DataFrame]:
-    """rows with their place, and the heads of this part."""
-    keyed = rows.withColumn("key_text", _text(key))
+def _heads(rows: DataFrame, part: str, key: str, hot: int) -> DataFrame:
+    """part, key_text and lots of the keys of more than hot rows."""
     lots = F.ceil(F.count("*") / hot).cast("int")
-    heads = keyed.groupBy("key_text").agg(lots.alias("lots")).where("lots > 1").select(F.lit(part).alias("part"), "key_text", "lots")
-    placed = keyed.join(heads.drop("part"), "key_text", "left").withColumn("place", _place(F.col("key_text"), F.coalesce(F.pmod(F.xxhash64(by), "lots"), F.lit(0))))
-    return placed.select("place", *rows.columns), heads
+    return rows.groupBy(_text(key).alias("key_text")).agg(lots.alias("lots")).where("lots > 1").select(F.lit(part).alias("part"), "key_text", "lots")
+
+
+def _dealt(rows: DataFrame, heads: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with their place. Heads stand once for each salt, so that where they are too many to broadcast, a hot key's rows still meet theirs in many tasks."""
+    salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = rows.withColumns({"key_text": _text(key), "salt": F.pmod(F.hash(by), F.lit(SALTS))})
+    place = _place(F.col("key_text"), F.coalesce(F.pmod(F.xxhash64(by), "lots"), F.lit(0)))
+    return keyed.join(salted, ["key_text", "salt"], "left").select(place.alias("place"), *rows.columns)
 
 
 def build(sequences: DataFrame, path: str, switch: int = 6, buckets: int = 200, hot: int = HOT) -> None:
@@ -53,14 +59,15 @@ def build(sequences: DataFrame, path: str, switch: int = 6, buckets: int = 200,
     """
     spark = sequences.sparkSession
     upper, lower = trie.depth_cut(lineage.cut(trie.maximal_leaves(sequences)), switch, leaves=True)  # read by both parts and their heads
-    edges, hot_edges = _dealt(upper.select("prefix", "next_token", "numleaves"), "edges", "prefix", "next_token", hot)
-    suffixes, hot_keys = _dealt(lower, "suffixes", "key", "suffix", hot)
+    upper = lineage.cut(upper.select("prefix", "next_token", "numleaves"))
+    _heads(upper, "edges", "prefix", hot).unionByName(_heads(lower, "suffixes", "key", hot)).write.mode("overwrite").parquet(f"{path}/heads")
+    heads = lambda part: spark.read.schema(_HEADS).parquet(f"{path}/heads").where(F.col("part") == part).drop("part")
+    edges, suffixes = _dealt(upper, heads("edges"), "prefix", "next_token"), _dealt(lower, heads("suffixes"), "key", "suffix")
     for name, rows in (("edges", edges), ("suffixes", suffixes)):
         table = _name(path, name)
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         out = rows.repartition(buckets, "place").sortWithinPartitions("place").write.mode("overwrite").bucketBy(buckets, "place").sortBy("place")
         out.format("parquet").option("path", f"{path}/{name}").saveAsTable(table)
-    hot_edges.unionByName(hot_keys).write.mode("overwrite").parquet(f"{path}/heads")
     kind = lower.schema["suffix"].dataType.simpleString()
     spark.createDataFrame([(switch, buckets, kind)], "switch int, buckets int, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
 
@@ -76,7 +83,7 @@ def attach(spark: SparkSession, path: str) -> BucketedIndex:
     columns = {"edges": f"prefix {kind}, next_token {element}, numleaves bigint", "suffixes": f"key {kind}, suffix {kind}"}
     for part, own in columns.items():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {_name(path, part)} (place string, {own}) USING parquet CLUSTERED BY (place) SORTED BY (place) INTO {config['buckets']} BUCKETS LOCATION '{path}/{part}'")
-    return BucketedIndex(spark.table(_name(path, "edges")), spark.table(_name(path, "suffixes")), spark.read.schema("part string, key_text string, lots int").parquet(f"{path}/heads"), config["switch"])
+    return BucketedIndex(spark.table(_name(path, "edges")), spark.table(_name(path, "suffixes")), spark.read.schema(_HEADS).parquet(f"{path}/heads"), config["switch"])
 
 
 def detach(spark: SparkSession, path: str) -> None:
